@@ -4,13 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, sql
+from . import fingerprint, htmltext, langid, minhash, mixing, quality, sql, topk, toxicity
 from .session import table
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Params(width=4, percent=80))
 
 
-QUERIES = {f.__name__: f for f in (op6_minhash_near_dedup,)}
-ORACLES = {"op6_minhash_near_dedup": sql.NEAR_DUPLICATES}
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_exact_top_k,
+        op4_language_id,
+        op5_html_extraction,
+        op6_minhash_near_dedup,
+        op7_source_mixing,
+        op8_toxicity,
+        op9_fingerprints,
+        op10_quality,
+    )
+}
+ORACLES = {"op3_exact_top_k": sql.TOP_K, "op6_minhash_near_dedup": sql.NEAR_DUPLICATES}
