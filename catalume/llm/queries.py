@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, htmltext, langid, minhash, mixing, quality, sql, topk, toxicity
+from . import fingerprint, htmltext, langid, minhash, mixing, quality, sql, suffixdedup, topk, toxicity
 from .session import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"), suffixdedup.Params(length=200))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -43,6 +47,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_suffix_array_dedup,
         op3_exact_top_k,
         op4_language_id,
         op5_html_extraction,
