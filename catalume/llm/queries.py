@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprint, htmltext, langid, minhash, mixing, quality, sql, suffixdedup, topk, toxicity
+from . import fingerprint, htmltext, langid, minhash, mixing, pieces, quality, sql, suffixdedup, topk, toxicity
 from .session import table
 
 
@@ -12,6 +13,15 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup(table(spark, sf_dir, "documents"), suffixdedup.Params(length=200))
 
 
+#: Public vocabulary file; its path is a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(PIECES))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "round_trip")
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -48,6 +58,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup,
+        op2_sentencepiece,
         op3_exact_top_k,
         op4_language_id,
         op5_html_extraction,
