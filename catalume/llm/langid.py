@@ -146,6 +146,20 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
     return Model(names, idf, w, t)
 
 
+def _predictions(data: np.ndarray, ofs: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Class index (the number of classes: unknown) and score of each row."""
+    bits, n = int(np.log2(len(m.idf))), len(ofs) - 1
+    best, score = np.full(n, len(m.names)), np.ones(n)
+    for i, c in enumerate(_counts(data, ofs, bits)):
+        if c is not None and m.names:
+            at, value = _vector(c, m.idf)
+            prob = softmax(value @ m.w[at] / m.temperature)
+            best[i], score[i] = prob.argmax(), prob.max()
+        elif c is not None:
+            score[i] = 0
+    return best, np.clip(score, 0, 1)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, lang_pred, score)`` of each row, from its whole text alone.
 
@@ -155,23 +169,30 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = held.value
-        bits = int(np.log2(len(m.idf)))
-        names = np.array([*m.names, UNKNOWN], object)
+        names = np.array([*held.value.names, UNKNOWN], object)
         for part, data, ofs in X.row_blocks(batches, 1):
-            best, score = np.full(part.num_rows, len(m.names)), np.ones(part.num_rows)
-            for i, c in enumerate(_counts(data, ofs, bits)):
-                if c is not None and m.names:
-                    at, value = _vector(c, m.idf)
-                    prob = softmax(value @ m.w[at] / m.temperature)
-                    best[i], score[i] = prob.argmax(), prob.max()
-                elif c is not None:
-                    score[i] = 0
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], ["doc_id", "lang_pred", "score"])
+            best, score = _predictions(data, ofs, held.value)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``.
+
+    Rows with null or letterless text are rejected. Nothing is shuffled.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, ofs in X.row_blocks(batches, at):
+            best, score = _predictions(data, ofs, held.value)
+            yield part.filter(pa.array((best < len(held.value.names)) & (score >= least)))
+
+    return docs.mapInArrow(of, docs.schema)
+
+
 def fold(key: str, parts: int) -> F.Column:
     """crc32 of the key as text, modulo ``parts``; null keys fall in fold -1."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(parts)), F.lit(-1))
