@@ -2,11 +2,11 @@
 
 A shard's transform lists, in the order of its sorted (cyclic, terminated) suffixes, the
 ``m`` symbols in front of each suffix. Merging doesn't sort the suffixes of all shards
-again: it keeps one number per suffix, the shard it comes from, and refines that interleave.
+again: it keeps the interleave of the shards' own orders (one number per suffix) and refines it.
 When it is right for the first h symbols, one stable counting sort by the symbols in front
 makes it right for h + m. Blocks of equal prefixes are carried along, so after ``length``
 symbols each block is a repeated interval: the suffixes whose longest common prefix is at
-least ``length``.
+least ``length``. A suffix that is alone in its block leaves the interleave: it stays alone.
 """
 
 from __future__ import annotations
@@ -75,29 +75,37 @@ def repeated_starts(strings: list[bytes], length: int, shard_bytes: int = 1 << 1
         if start[i] - start[cut[-1]] >= room:
             cut.append(i)
     cut.append(len(strings))
-    suffixes, shard = [], np.zeros(len(symbols), np.uint8)
-    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+    suffixes = []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
         lo, hi = start[a], start[b]
         suffixes.append(lo + sort_shard(symbols[lo:hi], start[a : b + 1] - lo))
-        shard[lo:hi] = k
     suffix = np.concatenate(suffixes)  # sorted within each shard, shard after shard
     front = codes[suffix]  # the shards' transforms
-    z = shard
-    block = np.zeros(len(z), np.int32)
-    merged = np.empty_like(front)
-    for _ in range(length // m):
-        merged[np.argsort(z, kind="stable")] = front
-        order = np.argsort(merged, kind="stable")
-        z, merged_o, block = z[order], merged[order], block[order]
-        edge = (merged_o[1:] != merged_o[:-1]) | (block[1:] != block[:-1])
-        block[0] = 0
-        block[1:] = np.cumsum(edge)
-    place = np.empty(len(z), np.int64)
-    place[np.argsort(z, kind="stable")] = suffix  # text position of each merged suffix
+    # rank, within its own shard's part, of the suffix that begins m symbols earlier
+    rank, back = np.empty(len(suffix), np.int32), suffix
+    rank[suffix] = np.arange(len(suffix), dtype=np.int32)
+    for _ in range(m):
+        back = before[back]
+    step = rank[back]
+    ranks = np.arange(len(suffix), dtype=np.int32)  # the interleave: shard after shard to begin with
+    block = np.zeros(len(ranks), np.int32)
+    for turn in range(length // m):
+        symbol = front[ranks]
+        order = np.argsort(symbol, kind="stable")
+        symbol, block, ranks = symbol[order], block[order], step[ranks][order]
+        edge = np.ones(len(ranks) + 1, bool)
+        edge[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        block = np.cumsum(edge[:-1], dtype=np.int32)
+        if turn % 4 == 3:  # a suffix alone in its block stays alone when it grows to the left
+            shared = ~(edge[:-1] & edge[1:])
+            ranks, block = ranks[shared], block[shared]
+        if not len(ranks):
+            return [np.zeros(0, np.int64)] * len(strings)
+    place = suffix[ranks].astype(np.int64)  # text position of each merged suffix
     owner = np.searchsorted(start, place, "right") - 1
     offset = place - start[owner]
     valid = offset + length < start[owner + 1] - start[owner]
-    count = np.bincount(block[valid], minlength=int(block[-1]) + 1)
+    count = np.bincount(block[valid], minlength=int(block.max()) + 1)
     hit = valid & (count[block] > 1)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(strings)
     at = np.argsort(owner[hit], kind="stable")
