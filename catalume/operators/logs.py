@@ -79,7 +79,7 @@ def active_median(daily: DataFrame, window: int, column: str = "recognized") ->
 
 def sessions(logs: DataFrame, max_gap: float) -> DataFrame:
     """Runs of each (day, context): consecutive lines at most ``max_gap`` seconds apart, by gap islands."""
-    lines = logs.select(F.to_date("ts").alias("day"), "context", job_class(F.col("context")).alias("class"), F.unix_micros("ts").alias("t")).where("class is not null")
+    lines = logs.select(F.to_date("ts").alias("day"), "context", job_class(F.col("context")).alias("class"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).where("class is not null")
     w = Window.partitionBy("day", "context").orderBy("t")
     cut = F.coalesce((F.col("t") - F.lag("t").over(w) > int(max_gap * 1_000_000)).cast("int"), F.lit(0))
     marked = lines.withColumn("cut", cut).withColumn("run", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -95,7 +95,7 @@ def run_durations(logs: DataFrame, max_gap: float) -> DataFrame:
 
 def slope(points: DataFrame, window_hours: float, ts: str = "ts", value: str = "value") -> DataFrame:
     """Least squares over the trailing window: change per second and span in hours, null with fewer than two times."""
-    t = F.unix_micros(ts) / 1e6
+    t = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     top = points.agg(F.max(t).alias("_top"))
     near = points.select(t.alias("t"), F.col(value).cast("double").alias("v")).crossJoin(F.broadcast(top)).where(F.col("t") >= F.col("_top") - window_hours * 3600)  # one row beside
     x = F.col("t") - F.col("_top")
