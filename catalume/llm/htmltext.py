@@ -132,6 +132,8 @@ def main_text(html: str) -> str:
     parser = _Lines()
     for i in range(0, len(html), _FEED):
         parser.feed(html[i : i + _FEED])
+    if re.match("<[!/?a-zA-Z]", parser.rawdata):
+        parser.rawdata = ""  # a tag or comment that the page's end cuts off is no text
     parser.close()
     parser.flush()
     lines = parser.lines

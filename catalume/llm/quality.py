@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model | N
     total = labels.count()
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1_000_003))
     chosen = labels.where(draw < p.sample / max(total, p.sample) * 1_000_003)  # at most about ``sample`` rows
-    taught = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    taught = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
     df, n = X.document_frequency(docs.select("text"), present, p.size)
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
 

@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model | N
     """Fit on ``labels(doc_id, toxic)`` and the texts they name; None without both kinds."""
     labels = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     chosen = X.bounded_sample(labels, "toxic", "doc_id", p.sample)
-    taught = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    taught = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     bits = p.bits
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
