@@ -2,8 +2,8 @@
 
 Features are hashed letter 5-grams within words (a space marks the start of a word), taken
 as present or absent. Labels give toxic or not; the severity grade of a toxic training text
-is the tercile, among toxic texts, of its share of marked words, where a mark is a feature
-that toxic training texts hold more often than chance explains. One weight vector is shared by
+is the tercile, among toxic texts, of the number of its marks, where a mark is a feature that
+toxic training texts hold more often than chance explains. One weight vector is shared by
 the ordered thresholds of the cumulative logits: P(grade >= k) = sigmoid(w.x - t_k). The
 output is the expected grade. The fit uses at most ``sample`` labelled texts.
 """
@@ -27,23 +27,20 @@ GRADES = 3
 
 @dataclass(frozen=True)
 class Params:
-    """``evidence``: least likelihood-ratio statistic of a feature that toxic texts hold more often."""
+    """``evidence``: least likelihood-ratio statistic of a mark, less with few toxic texts (half their number, 12 at least)."""
 
     bits: int = 20
     sample: int = 10000
-    evidence: float = 12.0
+    evidence: float = 60.0
     steps: int = 300
     l2: float = 0.02
 
 
-def _features(data: np.ndarray, ofs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature of every position (-1 where a 5-gram would cross a word's end or row), the rows' offsets, words per row."""
+def _features(data: np.ndarray, ofs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature of every position (-1 where a 5-gram would cross a word's end or row) and the rows' offsets."""
     points, at = X.codes(data, ofs)
     points = X.folded(points).copy()
     space = points == 32
-    begin = np.concatenate([[True], space[:-1]]) & ~space if len(points) else space
-    begin[at[:-1][at[:-1] < len(points)]] &= True
-    words = np.diff(np.concatenate([[0], np.cumsum(begin)])[at])
     f = X.grams(points, 5, bits)
     bad = np.zeros(len(points), bool)
     for k in range(1, 5):
@@ -52,7 +49,7 @@ def _features(data: np.ndarray, ofs: np.ndarray, bits: int) -> tuple[np.ndarray,
     for k in range(1, 5):
         edge = at[1:] - k
         bad[edge[(edge >= 0) & (edge < len(points))]] = True
-    return np.where(bad, -1, f), at, words
+    return np.where(bad, -1, f), at
 
 
 @dataclass
@@ -106,31 +103,31 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model | N
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, ofs in X.row_blocks(batches, 1):
-            f, at, words = _features(data, ofs, bits)
+            f, at = _features(data, ofs, bits)
             got = [np.unique(f[at[i] : at[i + 1]]) for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(words, pa.int64()), pa.array([x[x >= 0].astype(np.uint32).tobytes() for x in got], pa.binary())], ["doc_id", "toxic", "words", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x[x >= 0].astype(np.uint32).tobytes() for x in got], pa.binary())], ["doc_id", "toxic", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         y = np.array([r[1] > 0 for r in got], bool)
         if not y.any() or y.all():
             return
-        rows = [np.frombuffer(r[3], np.uint32).astype(np.int64) for r in got]
+        rows = [np.frombuffer(r[2], np.uint32).astype(np.int64) for r in got]
         with_, without = (np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(k)]), minlength=1 << bits) for k in (y, ~y))
         expected = (with_ + without) * y.mean()
         part = lambda seen, mean: seen * np.log(np.maximum(seen, 1e-9) / np.maximum(mean, 1e-9))
         evidence = 2 * (part(with_, expected) + part(without, with_ + without - expected))
-        ids = np.flatnonzero((with_ > expected) & (evidence >= p.evidence))
+        ids = np.flatnonzero((with_ > expected) & (evidence >= min(p.evidence, max(12.0, y.sum() / 2))))
         rank = np.full(1 << bits, -1)
         rank[ids] = np.arange(len(ids))
         kept = [rank[r][rank[r] >= 0] for r in rows]
-        share = np.array([len(k) / max(r[2], 1) for k, r in zip(kept, got, strict=True)])
-        edges = np.quantile(share[y], [1 / GRADES, 2 / GRADES])
-        grade = np.where(y, 1 + (share > edges[0]) + (share > edges[1]), 0)
+        marks = np.array([len(k) for k in kept])
+        edges = np.quantile(marks[y], [1 / GRADES, 2 / GRADES])
+        grade = np.where(y, 1 + (marks > edges[0]) + (marks > edges[1]), 0)
         w, cuts = fit(kept, grade, len(ids), p)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((ids, w, cuts))], pa.binary())], ["model"])
 
-    got = taught.mapInArrow(sparse, "doc_id long, toxic int, words long, x binary").repartition(1).mapInArrow(learn, "model binary").first()
+    got = taught.mapInArrow(sparse, "doc_id long, toxic int, x binary").repartition(1).mapInArrow(learn, "model binary").first()
     return Model(*pickle.loads(got[0])) if got else None
 
 
@@ -154,7 +151,7 @@ def score(docs: DataFrame, model: Model | None, p: Params = Params()) -> DataFra
             prob = np.zeros((n, GRADES + 2))
             prob[:, 0] = 1
             if m is not None:
-                f, at, _ = _features(data, ofs, bits)
+                f, at = _features(data, ofs, bits)
                 hit = np.flatnonzero((rank[np.maximum(f, 0)] > 0) & (f >= 0))
                 row = np.searchsorted(at, hit, "right") - 1
                 pair = np.unique(row * (len(m.ids) + 1) + rank[f[hit]])
