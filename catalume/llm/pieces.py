@@ -8,8 +8,8 @@ marks or a line feed, so texts split there into units, and each distinct unit is
 * substrings up to the longest piece are exploded and equi-joined to the piece table (one row
   per vocabulary entry, broadcast: its size is the vocabulary's);
 * the matching edges are grouped by unit and end position;
-* Spark's higher-order ``aggregate`` folds them left to right (best score and last piece of
-  every position) and a second fold walks back.
+* Spark's higher-order ``aggregate`` folds them left to right, with the best score and path
+  of as many last positions as the longest piece spans.
 
 Characters that no piece covers fall back to byte pieces. The solved units meet the texts
 again in chunks of bounded bytes; a chunk brings each of its distinct units once.
@@ -103,35 +103,33 @@ def solve(distinct: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """
     edges = lattice(distinct, vocabulary)
     grouped = edges.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct((F.col("at") + F.col("len")).alias("end"), F.col("len"), F.col("id"), F.col("score")))).alias("edges"))
-    zero = F.struct(F.array(F.lit(0.0)).alias("best"), F.array().cast("array<struct<len:int,id:int>>").alias("back"), F.lit(-1e300).cast("double").alias("top"), F.struct(F.lit(0).alias("len"), F.lit(0).alias("id")).alias("via"), F.lit(2).alias("end"))
+    state = lambda s, ids: F.struct(s.alias("s"), ids.alias("ids"))
+    start = F.struct(F.array().cast("array<struct<s:double,ids:string>>").alias("done"), state(F.lit(0.0), F.lit("")).alias("cur"), F.lit(1).alias("end"))
+    keep = vocabulary.longest
 
-    def closed(acc):
-        """The state with the current end position written down."""
-        return F.concat(acc["best"], F.array(acc["top"])), F.concat(acc["back"], F.array(acc["via"]))
+    def bound(value, use):
+        """``use`` of a value that is computed once."""
+        return F.transform(F.array(value), use)[0]
 
     def step(acc, e):
-        fresh = e["end"] > acc["end"]
-        best, back = closed(acc)
-        best, back = F.when(fresh, best).otherwise(acc["best"]), F.when(fresh, back).otherwise(acc["back"])
-        score = F.element_at(best, e["end"] - e["len"]) + e["score"]
-        better = fresh | (score >= acc["top"])
-        return F.struct(best.alias("best"), back.alias("back"), F.when(better, score).otherwise(acc["top"]).alias("top"), F.when(better, F.struct(e["len"].alias("len"), e["id"].alias("id"))).otherwise(acc["via"]).alias("via"), e["end"].alias("end"))
+        # ``done`` has the best paths to the last positions, the nearest last; ``cur`` the best so far to ``end``
+        grown = F.when(e["end"] > acc["end"], F.array_append(F.when(F.size(acc["done"]) < keep, acc["done"]).otherwise(F.slice(acc["done"], 2, keep - 1)), acc["cur"])).otherwise(acc["done"])
 
-    def finish(acc):
-        _, back = closed(acc)
-        return F.struct(back.alias("back"), acc["top"].alias("score"))
+        def use(done):
+            def choose(before):
+                better = (e["end"] > acc["end"]) | (before["s"] + e["score"] >= acc["cur"]["s"])
+                path = state(before["s"] + e["score"], F.concat(before["ids"], F.lit(" "), e["id"].cast("string")))
+                return F.struct(done.alias("done"), F.when(better, path).otherwise(acc["cur"]).alias("cur"), e["end"].alias("end"))
 
-    folded = grouped.select("unit", F.aggregate("edges", zero, step, finish).alias("r"))
-    start = F.struct(F.size("r.back").alias("pos"), F.lit("").alias("ids"))
+            return bound(F.element_at(done, -e["len"]), choose)
 
-    def walk(acc, i):
-        here = F.element_at(F.col("r.back"), i)
-        return F.when(acc["pos"] == i, F.struct((acc["pos"] - here["len"]).alias("pos"), F.concat(here["id"].cast("string"), F.lit(" "), acc["ids"]).alias("ids"))).otherwise(acc)
+        return bound(grown, use)
 
-    return folded.select("unit", F.aggregate(F.sequence(F.size("r.back"), F.lit(1), F.lit(-1)), start, walk, lambda acc: F.rtrim(acc["ids"])).alias("ids"), F.col("r.score").alias("score"))
+    best = F.aggregate("edges", start, step, lambda acc: acc["cur"])
+    return grouped.select("unit", best.alias("r")).select("unit", F.ltrim("r.ids").alias("ids"), F.col("r.s").alias("score"))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = 48 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = 24 << 20) -> DataFrame:
     """``(doc_id, ids, score, round_trip)`` of every row: piece ids, total score, and whether decoding gives the text back.
 
     Null and empty texts have no pieces. Texts that hold the mark itself decode with a
@@ -163,8 +161,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = 48 << 20)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk, np.int32))], ["unit", "chunk"])
 
     used = durable(laid.mapInArrow(words, "unit string, chunk int"))
-    with _set(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "400000"):
-        solved = durable(solve(used.select("unit").distinct(), vocabulary))
+    parts = max(1, -(-used.count() // 60000))
+    with _set(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000"):
+        solved = durable(solve(used.select("unit").repartition(parts, "unit").distinct(), vocabulary))
     known = used.join(solved, "unit")
     held = spark.sparkContext.broadcast(vocabulary)
 
