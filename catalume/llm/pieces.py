@@ -129,7 +129,7 @@ def solve(distinct: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return grouped.select("unit", best.alias("r")).select("unit", F.ltrim("r.ids").alias("ids"), F.col("r.s").alias("score"))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = 24 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = 16 << 20) -> DataFrame:
     """``(doc_id, ids, score, round_trip)`` of every row: piece ids, total score, and whether decoding gives the text back.
 
     Null and empty texts have no pieces. Texts that hold the mark itself decode with a
@@ -147,18 +147,24 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = 24 << 20)
             packed = [zlib.compress(t.as_py().encode(), 1) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], ["doc_id", "packed", "chunk"])
 
-    laid = numbered.mapInArrow(pack, "doc_id long, packed binary, chunk int").repartition(chunks, "chunk")
+    laid = numbered.mapInArrow(pack, "doc_id long, packed binary, chunk int").repartition(chunks, "chunk").sortWithinPartitions("chunk")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+        def rows(chunk: int, found: set[str]) -> Iterator[pa.RecordBatch]:
+            ordered = sorted(found)
+            for lo in range(0, len(ordered), 50000):
+                part = ordered[lo : lo + 50000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk, np.int32))], ["unit", "chunk"])
+
+        last, seen = -1, set()  # a chunk's rows come together
         for batch in batches:
             for packed, chunk in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                seen.setdefault(chunk, set()).update(units(zlib.decompress(packed.as_py()).decode()))
-        for chunk, found in seen.items():
-            found = sorted(found)
-            for lo in range(0, len(found), 50000):
-                part = found[lo : lo + 50000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk, np.int32))], ["unit", "chunk"])
+                if chunk != last and seen:
+                    yield from rows(last, seen)
+                    seen = set()
+                last = chunk
+                seen.update(units(zlib.decompress(packed.as_py()).decode()))
+        yield from rows(last, seen)
 
     used = durable(laid.mapInArrow(words, "unit string, chunk int"))
     parts = max(1, -(-used.count() // 60000))

@@ -33,7 +33,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, ofs - ofs[0]
 
 
-def slices(ofs: np.ndarray, limit: int = 4_000_000) -> list[tuple[int, int]]:
+def slices(ofs: np.ndarray, limit: int = 1 << 20) -> list[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes each (a longer single row stands alone)."""
     out, at, n = [], 0, len(ofs) - 1
     while at < n:
