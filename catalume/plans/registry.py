@@ -66,8 +66,8 @@ _add("f9_list_under", lambda t: _files(C.list_under(t.files, "/VOL/europe/")), f
 _add("f10_find_by_suffix", lambda t: _files(C.find_by_suffix(t.files, ".mkv")), f"SELECT {_BASE} FROM {{v_catalog}} WHERE full_path LIKE '%.mkv' ORDER BY full_path LIMIT 1")
 _add("f11_find_by_tag", lambda t: C.find_by_tag(t.files, t.v_tags, "priority", "urgent").select("full_path", "tag_name", "value"), "SELECT full_path, tag_name, value FROM {v_catalog} JOIN {v_tags} USING (file_id) WHERE tag_name = 'priority' AND lower(value) LIKE '%urgent%'")
 _add("f12_where", lambda t: C.where(t.files, t.v_tags, "size > 100000 and (value = 'F' or value is null)"), "SELECT DISTINCT full_path, dir, filename FROM {v_catalog} LEFT JOIN {v_tags} USING (file_id) WHERE size > 100000 AND (value = 'F' OR value IS NULL)")
-_stamp = F.when(F.col("file_id") % 5 == 0, F.lit(None).cast("timestamp")).otherwise(F.timestamp_seconds(F.lit(1700400000)))
-_add("f13_needs_metadata", lambda t: C.needs_metadata(t.files.withColumn("metadata_scanned_at", _stamp), ("flac", "mp3")).select("file_id", "full_path"), f"SELECT file_id, full_path FROM {{v_catalog}} WHERE {_EXT} IN ('flac', 'mp3') AND (file_id % 5 = 0 OR mtime > 1700400000)")
+_stamp = lambda: F.when(F.col("file_id") % 5 == 0, F.lit(None).cast("timestamp")).otherwise(F.timestamp_seconds(F.lit(1700400000)))
+_add("f13_needs_metadata", lambda t: C.needs_metadata(t.files.withColumn("metadata_scanned_at", _stamp()), ("flac", "mp3")).select("file_id", "full_path"), f"SELECT file_id, full_path FROM {{v_catalog}} WHERE {_EXT} IN ('flac', 'mp3') AND (file_id % 5 = 0 OR mtime > 1700400000)")
 _add("f14_titles_matching", lambda t: P.titles_matching(t.part.select("p_partkey", F.col("p_name").alias("title")), "RED"), "SELECT p_partkey, p_name AS title FROM {part} WHERE contains(lower(p_name), 'red')")
 _add("j2_file_tags", lambda t: C.file_tags(t.files, t.v_tags).select("full_path", "tag_name", "value"), "SELECT full_path, tag_name, value FROM {v_catalog} JOIN {v_tags} USING (file_id)")
 _add("j8_orphan_blobs", lambda t: C.orphan_blobs(t.v_prev.select("hash", "size").distinct(), t.v_cur), "SELECT DISTINCT hash, size FROM {v_prev} WHERE hash NOT IN (SELECT hash FROM {v_cur} WHERE hash IS NOT NULL)")
