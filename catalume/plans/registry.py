@@ -174,3 +174,80 @@ _add("c1_cue_tracks", lambda t: Q.cue_tracks(_sheets(t)).select("file_id", "trac
 _add("c3_cue_toc", lambda t: Q.cue_toc(Q.cue_offsets(Q.cue_tracks(_sheets(t)), _durations(t))), f'WITH {_SHEET} SELECT file_id, track, start, coalesce(lead(start) OVER w, 500000) - start AS length, coalesce(lead(start) OVER w, 500000) - 1 AS "end" FROM x WINDOW w AS (PARTITION BY file_id ORDER BY start, track)')
 _add("c4_cue_disc_ids", lambda t: Q.cue_disc_ids(Q.cue_offsets(Q.cue_tracks(_sheets(t)), _durations(t))))
 _add("c5_cue_summary", lambda t: Q.cue_summary(Q.cue_tracks(_sheets(t))), f"WITH {_SHEET} SELECT file_id, 'Album' AS album, 'Artist' AS album_artist, track, title AS line FROM x")
+
+
+# more joins and plan steps over the same views
+def _text_logs(t: _Tables) -> DataFrame:
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss:SSS")
+    return t.v_logs.select(F.concat(F.lit("["), stamp, F.lit("] "), "level", F.lit("|"), "context", F.lit(" > "), "message").alias("value"))
+
+
+_add("src5_parse_log_lines", lambda t: L.parse_log_lines(_text_logs(t)).groupBy("level", "message").agg(F.count("*").alias("n"), F.count_distinct("context").alias("contexts")), "SELECT level, message, count(*) AS n, count(DISTINCT context) AS contexts FROM {v_logs} GROUP BY 1, 2")
+_add("a12_error_counts", lambda t: L.error_counts(t.events.select(F.to_date("ts").alias("day"), F.concat(F.lit("[2024-01-01 00:00:00:000] "), F.when(F.col("event_type") == "error", "Error").otherwise("Info"), F.lit("|ctx > Job a.HashFileJob failed")).alias("value")), "day"), "SELECT CAST(ts AS DATE) AS day, 'HashFileJob' AS class, count(*) AS errors FROM {events} WHERE event_type = 'error' GROUP BY 1")
+_add("a12_group_pivot", lambda t: L.group_pivot(L.throughput(t.v_logs)), f"WITH t AS (SELECT CAST(ts AS DATE) AS day, {_JOB} AS class, count(DISTINCT context) AS tasks FROM {{v_logs}} GROUP BY 1, 2) SELECT day, CAST(0 AS BIGINT) AS \"File\", CAST(0 AS BIGINT) AS \"AniDB\", CAST(0 AS BIGINT) AS \"TMDB\", CAST(0 AS BIGINT) AS \"Trakt\", CAST(0 AS BIGINT) AS \"Stats\", CAST(sum(tasks) AS BIGINT) AS \"Other\" FROM t GROUP BY 1")
+_add(
+    "j16_phrase_domain",
+    lambda t: M.phrase_domain(t.supplier.select(F.concat(F.lit("The "), "s_name", F.lit(" story")).alias("title")), t.supplier.where("s_suppkey % 3 = 0").select(F.lower(F.regexp_replace("s_name", "[^A-Za-z0-9]+", " ")).alias("key"), F.concat(F.lit("d"), "s_nationkey").alias("domain"), F.col("s_suppkey").alias("pos"))),
+    "WITH i AS (SELECT trim(lower(regexp_replace(s_name, '[^A-Za-z0-9]+', ' ', 'g'))) AS key, 'd' || s_nationkey AS domain, s_suppkey AS pos FROM {supplier} WHERE s_suppkey % 3 = 0), t AS (SELECT DISTINCT 'The ' || s_name || ' story' AS title, 'the ' || trim(lower(regexp_replace(s_name, '[^A-Za-z0-9]+', ' ', 'g'))) || ' story' AS tk FROM {supplier}) SELECT title, arg_min(domain, pos) AS domain, 'contained' AS matched_by FROM t JOIN i ON contains(' ' || tk || ' ', ' ' || key || ' ') WHERE length(replace(key, ' ', '')) >= 8 GROUP BY 1",
+)
+_add(
+    "j18_existing_dir",
+    lambda t: M.existing_dir(t.part.select(F.col("p_brand").alias("block"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("title"), F.lit(2000).alias("year")), t.part.where("p_partkey % 2 = 0").select(F.concat(F.lit("/lib/"), "p_partkey").alias("dir"), F.concat("p_name", F.lit(" (2000) {id-"), "p_partkey", F.lit("}")).alias("name"))),
+    "WITH j AS (SELECT a.p_brand AS block, a.p_partkey AS pos, '/lib/' || b.p_partkey AS dir FROM {part} a JOIN {part} b ON a.p_name = b.p_name AND b.p_partkey % 2 = 0) SELECT block, arg_min(dir, (pos, dir)) AS dir FROM j GROUP BY 1",
+)
+_add(
+    "j19_size_twins",
+    lambda t: M.size_twins(t.v_source.select(F.col("path").alias("source"), "size", F.col("series_key").alias("dest_dir"), F.lit("new.mkv").alias("dest_name")), t.v_download.select("size", F.col("series_key").alias("dir"), F.col("path").alias("filename"))),
+    "WITH j AS (SELECT s.path AS source, s.series_key <> d.series_key AS far, d.series_key AS dir, d.path AS name FROM {v_source} s JOIN {v_download} d ON s.size = d.size) SELECT source, CASE WHEN arg_min(far, (far, dir, name)) THEN 'skip' ELSE 'conflict' END AS action, arg_min(dir || '/' || name, (far, dir, name)) AS twin FROM j GROUP BY 1",
+)
+_add(
+    "j20_pick_candidate",
+    lambda t: M.pick_candidate(
+        t.customer.select(F.col("c_custkey").cast("string").alias("title"), F.array(F.lit("1 urgent")).alias("wanted"), F.lit(0).alias("year")),
+        t.orders.select(F.col("o_custkey").cast("string").alias("title"), F.col("o_orderkey").alias("rank"), F.col("o_orderkey").alias("pid"), F.col("o_orderpriority").alias("name"), F.lit("").alias("original"), F.lit(0).alias("year")),
+    ),
+    "WITH g AS (SELECT CAST(c_custkey AS VARCHAR) AS title, count(o_orderkey) AS k, count(*) FILTER (o_orderpriority = '1-URGENT') AS e, min(o_orderkey) FILTER (o_orderpriority = '1-URGENT') AS best, min(o_orderkey) AS first_pid FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY 1) SELECT title, CASE WHEN e = 1 THEN 'exact' WHEN e = 0 AND k = 1 THEN 'high' WHEN k = 0 THEN 'none' ELSE 'ambiguous' END AS verdict, CASE WHEN e = 1 THEN best WHEN e = 0 AND k = 1 THEN first_pid END AS pid FROM g",
+)
+_add("j21_library_pick", lambda t: M.library_pick(t.orders.select(F.col("o_custkey").alias("title"), F.col("o_orderkey").alias("pid")), t.orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("pid"))), "SELECT o_custkey AS title, min(o_orderkey) AS pid FROM {orders} WHERE o_orderkey % 5 = 0 GROUP BY 1 HAVING count(DISTINCT o_orderkey) = 1")
+_add(
+    "j22_resolve_ids",
+    lambda t: M.resolve_ids(t.customer.select(F.col("c_custkey").alias("title")), [("config", t.customer.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("title"), (F.col("c_custkey") * 10).alias("pid"))), ("search", t.orders.select(F.col("o_custkey").alias("title"), F.col("o_orderkey").alias("pid")))]),
+    "SELECT c_custkey AS title, CASE WHEN c_custkey % 7 = 0 THEN c_custkey * 10 ELSE min(o_orderkey) END AS pid, CASE WHEN c_custkey % 7 = 0 THEN 'config' WHEN min(o_orderkey) IS NOT NULL THEN 'search' END AS origin FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY 1",
+)
+_add(
+    "j24_sidecars",
+    lambda t: M.sidecars(t.v_names.select(F.lit("d").alias("dir"), F.col("name").alias("filename")), t.v_names.where("episode % 2 = 0").select(F.lit("d").alias("dir"), F.concat(F.regexp_replace("name", r"\.mkv$", ""), F.lit(".fr.srt")).alias("filename"))).select("filename", "subtitle", "language"),
+    "SELECT name AS filename, substr(name, 1, length(name) - 4) || '.fr.srt' AS subtitle, 'fr' AS language FROM {v_names} WHERE episode % 2 = 0",
+)
+_add(
+    "j25_episode_titles",
+    lambda t: M.episode_titles(t.v_source.select("path", F.col("series_key").alias("series"), "season", F.array("episode", F.col("episode") + 1).alias("episodes")), t.v_names.select(F.col("series"), "season", F.col("episode").alias("number"), F.when(F.col("episode") % 2 == 0, F.concat(F.lit("E"), "episode")).otherwise("").alias("english"), F.concat(F.lit("R"), "episode").alias("romaji")).distinct()),
+    "WITH e AS (SELECT DISTINCT series, season, episode AS number, CASE WHEN episode % 2 = 0 THEN 'E' ELSE 'R' END || episode AS t FROM {v_names}), f AS (SELECT path, series_key AS series, season, episode AS number, 0 AS pos FROM {v_source} UNION ALL SELECT path, series_key, season, episode + 1, 1 FROM {v_source}) SELECT path, string_agg(t, ' + ' ORDER BY pos) AS title FROM f JOIN e USING (series, season, number) GROUP BY 1",
+)
+_add(
+    "j27_files_for_series",
+    lambda t: M.files_for_series(t.v_source.select("path", F.when(F.col("episode") == 7, F.lit(None)).otherwise(F.col("series_key")).alias("title")), t.part.where("p_partkey % 50 = 0").select(F.substring("p_name", 1, 6).alias("title"))).select("path"),
+    "WITH i AS (SELECT DISTINCT regexp_replace(substr(p_name, 1, 6), '[^a-z0-9]', '', 'g') AS k FROM {part} WHERE p_partkey % 50 = 0), f AS (SELECT path, CASE WHEN episode = 7 THEN '' ELSE regexp_replace(lower(series_key), '[^a-z0-9]', '', 'g') END AS key FROM {v_source}) SELECT path FROM f WHERE key = '' OR EXISTS (SELECT 1 FROM i WHERE key = k OR (least(length(key), length(k)) >= 4 AND (starts_with(key, k) OR starts_with(k, key))))",
+)
+_add(
+    "j28_existing_episode",
+    lambda t: P.existing_episode(t.v_source.select(F.col("path").alias("source"), F.col("series_key").alias("dest_dir"), F.concat(F.lit("a S0"), "season", F.lit("E"), "episode").alias("dest_name")), t.v_download.select(F.col("series_key").alias("dir"), F.concat(F.lit("b s"), "season", F.lit("e0"), "episode").alias("filename")).distinct()).select("source", "existing"),
+    "SELECT DISTINCT s.path AS source, 'b s' || d.season || 'e0' || d.episode AS existing FROM {v_source} s JOIN {v_download} d USING (series_key, season, episode)",
+)
+_add("j32_reuse_probe", lambda t: S.reuse_probe(t.files.select(F.col("full_path").alias("path"), "size", "mtime"), t.files.where("file_id % 3 <> 0").select(F.col("full_path").alias("path"), "size", (F.col("mtime") + F.when(F.col("file_id") % 5 == 0, 1).otherwise(0)).alias("mtime")))[1].select("path"), "SELECT full_path AS path FROM {v_catalog} WHERE file_id % 3 = 0 OR file_id % 5 = 0")
+_add("i4_replace_children", lambda t: S.replace_children(t.v_tags, t.v_tags.where("file_id % 10 = 1").select("file_id", "tag_name", F.lit("new").alias("value"))), "SELECT file_id, tag_name, CASE WHEN file_id % 10 = 1 THEN 'new' ELSE value END AS value FROM {v_tags}")
+_add("w2_drop_twins", lambda t: P.drop_twins(t.v_files.select("file_id", F.when(F.col("file_id") % 4 == 0, F.lit(None)).otherwise(F.lit(1)).alias("dev"), (F.col("size") % 100).alias("inode"), F.col("file_id").alias("pos"))).select("file_id"), "SELECT file_id FROM {v_files} WHERE file_id % 4 = 0 UNION ALL SELECT min(file_id) FROM {v_files} WHERE file_id % 4 <> 0 GROUP BY size % 100")
+_add("w5_merge_titles", lambda t: P.merge_titles(t.orders.select(F.col("o_orderkey").alias("block"), F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("pid"), F.lit("").alias("edition"))).select("block", "into"), "SELECT o_orderkey AS block, min(o_orderkey) OVER (PARTITION BY o_custkey) AS \"into\" FROM {orders}")
+_add("w6_assign_special_numbers", lambda t: P.assign_special_numbers(t.v_source.select("path", F.col("series_key").alias("series"), F.lit("c").alias("counter"), F.col("episode").alias("pair"), F.lit("k").alias("kind")), t.v_source.select(F.col("series_key").alias("series"), F.col("season").alias("number"))).select("path", "number"), "SELECT path, CAST(100 + row_number() OVER (PARTITION BY series_key ORDER BY episode, path) - 1 AS INT) AS number FROM {v_source}")
+_add("r15_download_keys", lambda t: R.download_keys(R.parse_names(t.v_names.select("name"), 2026).withColumn("path", F.col("name"))).select("path", "season", "episode").distinct(), "SELECT name AS path, season, episode FROM {v_names}")
+_add("r14_group_titles", lambda t: R.group_titles(R.parse_names(t.v_names.select("name"), 2026).withColumn("path", F.col("name"))).select("group_key", "files"), "SELECT regexp_replace(lower(series), '[^a-z0-9]', '', 'g') AS group_key, count(*) AS files FROM {v_names} GROUP BY 1")
+_add("r12_coverage", lambda t: R.coverage(t.v_names.select(F.col("name").alias("path"))).select("path", F.size("reasons").alias("n_reasons")), "SELECT name AS path, 0 AS n_reasons FROM {v_names}")
+_add("src3_media_files", lambda t: R.media_files(t.files.select(F.col("full_path").alias("path")), include_audio=True), f"SELECT full_path AS path FROM {{v_catalog}} WHERE {_EXT} IN ('flac', 'mp3', 'mkv')")
+_add("snk6_register_add", lambda t: W.register_add(t.v_source.select(F.col("path").alias("source")), t.v_download.select(F.col("path").alias("source"))), "SELECT path AS source FROM {v_source} UNION SELECT path FROM {v_download}")
+_add("p5_catalog_reports", lambda t: _reports(t), "WITH u AS (SELECT scan_id, a.path AS \"at\", CAST(sum(size) AS BIGINT) AS total_size, count(*) AS n_files FROM {v_catalog} c JOIN {v_dirs} a USING (scan_id) WHERE a.path = '' OR c.dir = a.path OR starts_with(c.dir, a.path || '/') GROUP BY 1, 2) SELECT scan_id, \"at\", total_size, n_files, round(total_size / max(total_size) OVER (PARTITION BY scan_id), 9) AS share FROM u")
+
+
+def _reports(t: _Tables) -> DataFrame:
+    from .pipelines import catalog_reports
+
+    return catalog_reports(t.files).withColumn("share", F.round("share", 9))
