@@ -170,33 +170,32 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = 16 << 20)
     parts = max(1, -(-used.count() // 60000))
     with _set(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000"):
         solved = durable(solve(used.select("unit").repartition(parts, "unit").distinct(), vocabulary))
-    known = used.join(solved, "unit")
+    known = used.join(solved.select("unit", "ids"), "unit")
     held = spark.sparkContext.broadcast(vocabulary)
 
     def assemble(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         v: Vocabulary = held.value
+        scores = np.array(v.scores)
 
-        def ids_of(s: str) -> list[int]:
+        def entry(ids: str) -> tuple[bytes, int, bytes]:
+            """Packed ids, characters without a piece, and what the ids decode to."""
+            found = list(map(int, ids.split()))
+            if not found or min(found) >= 0:
+                return np.array(found, np.int32).tobytes(), 0, b"".join([v.encoded[i] for i in found])
             out: list[int] = []
-            for x in map(int, s.split()):
-                if x >= 0:
-                    out.append(x)
-                else:
-                    coded = [v.byte_ids[b] for b in chr(-1 - x).encode()]
-                    out += coded if min(coded) >= 0 else [v.unknown]
-            return out
-
-        book = {u: (i, s) for u, i, s in zip(table["unit"], table["ids"], table["score"], strict=True)}
-        ready: dict[str, np.ndarray] = {}
+            for x in found:
+                coded = [x] if x >= 0 else [v.byte_ids[b] for b in chr(-1 - x).encode()]
+                out += coded if min(coded) >= 0 else [v.unknown]
+            return np.array(out, np.int32).tobytes(), sum(x < 0 for x in found), b"".join([v.encoded[i] for i in out])
+
+        book = {u: entry(i) for u, i in zip(table["unit"], table["ids"], strict=True)}
         rows = []
         for doc_id, packed in zip(texts["doc_id"], texts["packed"], strict=True):
             text = zlib.decompress(packed).decode()
-            parts = units(text)
-            for u in parts:
-                if u not in ready:
-                    ready[u] = np.array(ids_of(book[u][0]), np.int32)
-            ids = np.concatenate([ready[u] for u in parts]) if parts else np.zeros(0, np.int32)
-            rows.append((doc_id, ids, float(sum(book[u][1] for u in parts)), decode_ids(ids, v) == text))
+            parts = [book[u] for u in units(text)]
+            ids = np.frombuffer(b"".join([e[0] for e in parts]), np.int32)
+            back = b"".join([e[2] for e in parts]).decode("utf-8", "replace").replace(MARK, " ")
+            rows.append((doc_id, ids, float(scores[ids].sum() + v.fallback * sum(e[1] for e in parts)), (back[1:] if back[:1] == " " else back) == text))
         return pd.DataFrame(rows, columns=["doc_id", "ids", "score", "round_trip"])
 
     return laid.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(assemble, "doc_id long, ids array<int>, score double, round_trip boolean")

@@ -6,9 +6,9 @@ NEAR_DUPLICATES = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), s AS (
-  SELECT doc_id, list_distinct(CASE WHEN text_words IS NULL OR len(text_words) = 0 THEN []
-    WHEN len(text_words) < 4 THEN [array_to_string(text_words, ' ')]
-    ELSE list_transform(range(1, len(text_words) - 2), lambda i: array_to_string(text_words[i:i + 3], ' ')) END) AS sh
+  SELECT doc_id, list_distinct(CASE WHEN text_words IS NULL OR len(text_words) = 0 THEN CAST([] AS UBIGINT[])
+    WHEN len(text_words) < 4 THEN [hash(array_to_string(text_words, ' '))]
+    ELSE list_transform(range(1, len(text_words) - 2), lambda i: hash(array_to_string(text_words[i:i + 3], ' '))) END) AS sh
   FROM (SELECT doc_id, ws AS text_words FROM w) q
 ), n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
 e AS (SELECT doc_id, unnest(sh) AS h FROM s),
