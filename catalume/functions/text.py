@@ -16,10 +16,10 @@ def extension(name: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Binary units with two decimals, bytes as they are."""
+    """Binary units with two decimals (ties to even), bytes as they are."""
     out = F.when(n < 1024, F.format_string("%d B", n.cast("long")))
     for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB")):
-        value = F.format_string(f"%.2f {unit}", n / F.lit(float(1024 ** (i + 1))))
+        value = F.format_string(f"%.2f {unit}", F.bround(n / F.lit(float(1024 ** (i + 1))), 2))
         out = out.when(n < 1024 ** (i + 2), value) if unit != "TiB" else out.otherwise(value)
     return F.when(n.isNotNull(), out)
 
