@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extension, human_size
 
-# Names of system files and directories.
-SYSTEM_NAMES = ("@eaDir", "@eaStream", "@tmp", "@SynoResource", "@SynoEAStream", "#recycle", ".SynologyWorkingDirectory", ".etp.db", ".etp.db-wal", ".etp.db-shm")
+# Names of system files and directories. A catalog file kept inside the tree is added by its owner.
+SYSTEM_NAMES = ("@eaDir", "@eaStream", "@tmp", "@SynoResource", "@SynoEAStream", "#recycle", ".SynologyWorkingDirectory")
 
 
 @dataclass(frozen=True)

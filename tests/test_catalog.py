@@ -35,11 +35,11 @@ def test_title_keys(spark):
 
 
 def test_system_names_match_whole_components(spark):
-    df = spark.createDataFrame([("a/@eaDir", "x"), ("a/@eaDirectory", "x"), ("not@eaDir", "x"), ("a", "@eaDir"), ("a", ".etp.db"), ("a", ".dot"), ("a", "n.jpg")], "dir string, filename string")
+    df = spark.createDataFrame([("a/@eaDir", "x"), ("a/@eaDirectory", "x"), ("not@eaDir", "x"), ("a", "@eaDir"), ("a", "#recycle"), ("a", ".dot"), ("a", "n.jpg")], "dir string, filename string")
     assert [r[0] for r in df.select(C.is_system(F.col("dir"), F.col("filename"))).collect()] == [True, False, False, True, True, False, False]
     shown = lambda c: [tuple(r) for r in df.where(C.visible(c)).collect()]
     assert shown(C.Visibility()) == [("a/@eaDirectory", "x"), ("not@eaDir", "x"), ("a", "n.jpg")]
-    assert ("a", ".dot") in shown(C.Visibility(show_hidden=True)) and ("a", ".etp.db") in shown(C.Visibility(show_system=True))
+    assert ("a", ".dot") in shown(C.Visibility(show_hidden=True)) and ("a", "#recycle") in shown(C.Visibility(show_system=True))
     assert ("a", "n.jpg") not in shown(C.Visibility(globs=("*.jpg", "[bad")))
 
 
