@@ -173,7 +173,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = 16 << 20)
     known = used.join(solved.select("unit", "ids"), "unit")
     held = spark.sparkContext.broadcast(vocabulary)
 
-    def assemble(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    def assemble(texts: pa.Table, table: pa.Table) -> pa.Table:
         v: Vocabulary = held.value
         scores = np.array(v.scores)
 
@@ -188,17 +188,22 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = 16 << 20)
                 out += coded if min(coded) >= 0 else [v.unknown]
             return np.array(out, np.int32).tobytes(), sum(x < 0 for x in found), b"".join([v.encoded[i] for i in out])
 
-        book = {u: entry(i) for u, i in zip(table["unit"], table["ids"], strict=True)}
-        rows = []
-        for doc_id, packed in zip(texts["doc_id"], texts["packed"], strict=True):
-            text = zlib.decompress(packed).decode()
+        book = {u: entry(i) for u, i in zip(table.column("unit").to_pylist(), table.column("ids").to_pylist(), strict=True)}
+        ids: list[bytes] = []
+        total: list[float] = []
+        same: list[bool] = []
+        for packed in texts.column("packed"):
+            text = zlib.decompress(packed.as_py()).decode()
             parts = [book[u] for u in units(text)]
-            ids = np.frombuffer(b"".join([e[0] for e in parts]), np.int32)
+            ids.append(b"".join([e[0] for e in parts]))
             back = b"".join([e[2] for e in parts]).decode("utf-8", "replace").replace(MARK, " ")
-            rows.append((doc_id, ids, float(scores[ids].sum() + v.fallback * sum(e[1] for e in parts)), (back[1:] if back[:1] == " " else back) == text))
-        return pd.DataFrame(rows, columns=["doc_id", "ids", "score", "round_trip"])
+            total.append(float(scores[np.frombuffer(ids[-1], np.int32)].sum() + v.fallback * sum([e[1] for e in parts])))
+            same.append((back[1:] if back[:1] == " " else back) == text)
+        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        return pa.table([texts.column("doc_id"), lists, pa.array(total, pa.float64()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "score", "round_trip"])
 
-    return laid.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(assemble, "doc_id long, ids array<int>, score double, round_trip boolean")
+    return laid.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(assemble, "doc_id long, ids array<int>, score double, round_trip boolean")
 
 
 def decode_ids(ids: np.ndarray, v: Vocabulary) -> str:
