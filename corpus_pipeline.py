@@ -19,9 +19,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest doc_id, of each group of near copies (five words, 0.8)."""
-    gone = minhash.near_duplicates(docs, minhash.Params(width=5, percent=80)).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near copies (five words, 0.8): that of the smallest doc_id, nulls last.
+
+    Rows are told apart by a hash of id and text, so copies that share a doc_id or have none
+    are copies like others, and different texts under one doc_id stand each for itself. Of
+    rows that agree in both, the one with the smallest other columns stays.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = minhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), minhash.Params(width=5, percent=80)).where("n_shingles > 0")
+    found = durable(found.groupBy(F.col("doc_id").alias("_key"), "component_id").agg(F.count("*").alias("n")))
+    groups = found.groupBy("component_id").agg(F.count("*").alias("k")).where("k > 1").select("component_id")
+    rivals = found.join(groups, "component_id").select("_key", "component_id")
+    first = keyed.select("_key", "doc_id").join(rivals, "_key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
+    gone = rivals.join(first.select("first._key"), "_key", "left_anti").select("_key")
+    left = keyed.join(gone, "_key", "left_anti")
+    again = found.where("n > 1").select("_key")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    one = left.join(again, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.join(again, "_key", "left_anti").select(*docs.columns).union(one)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

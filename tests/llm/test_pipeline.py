@@ -70,3 +70,17 @@ def test_stages_take_an_empty_table(spark, corpus, tmp_path):
         docs = stage(spark, docs, folder)
         assert docs.collect() == []
         docs = spark.createDataFrame([], docs.schema)
+
+
+def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark, corpus):
+    rng = random.Random(12)
+    folder, _ = corpus
+    a, b, c, d, e = (sentence(rng, 60) for _ in range(5))
+    rows = [(1, a, "s1"), (1, a, "s1"), (1, a, "s0"), (None, b, "s0"), (None, b, "s0"), (None, b + " end", "s0"), (2, c, "s0"), (3, c + " end", "s0"), (3, d, "s0"), (None, e, "s0"), (9, e, "s0"), (None, None, "s0"), (None, None, "s0"), (9, "", "s0")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()]
+    one_b = [r for r in got if r[1] in (b, b + " end")]
+    assert len(one_b) == 1 and one_b[0][0] is None
+    assert Counter(r for r in got if r not in one_b) == Counter([(1, a, "s0"), (2, c, "s0"), (3, d, "s0"), (9, e, "s0"), (None, None, "s0"), (None, None, "s0"), (9, "", "s0")])
+    cut = corpus_pipeline.repeat_removal(spark, docs.where("text is not null").transform(lambda x: corpus_pipeline.near_dedup(spark, x, folder)), folder).collect()
+    assert Counter(r["text"] for r in cut) == Counter([a, one_b[0][1], c, d, e, ""])
