@@ -27,17 +27,18 @@ WEIGHTS = (5.0, 2.0, 1.0)
 _EPS = 1e-9
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size)`` with the number of words; null texts have none."""
+def sizes(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``(doc_id, source, size, row_key)`` with the number of words; null texts have none. ``row_key`` is the long column ``key``, or 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ofs = T.flat(batch.column(2))
             parts = [T.words(data[ofs[lo] : ofs[hi]], ofs[lo : hi + 1] - ofs[lo])[2] for lo, hi in T.slices(ofs)]
             n = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], ["doc_id", "source", "size", "row_key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(count, "doc_id long, source string, size long")
+    row_key = F.lit(0) if key is None else F.col(key)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), row_key.cast("long").alias("row_key")).mapInArrow(count, "doc_id long, source string, size long, row_key long")
 
 
 def targets(totals: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> dict[str | None, float]:
@@ -106,15 +107,18 @@ def _draws(key: tuple, n: int) -> np.ndarray:
     return np.random.default_rng(xxhash.xxh64_intdigest(repr(key))).random(n)
 
 
-def mix(docs: DataFrame, chunk_rows: int = 20000, fan: int = 64) -> DataFrame:
+def mix(docs: DataFrame, chunk_rows: int = 20000, fan: int = 64, key: str | None = None) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` of every row.
 
     Reruns agree: chunks follow a hash of doc_id and all draws follow the chunk. Rows of
     null source form the last source; documents without words take nothing and keep no
-    copy; repeated rows are rounded one by one; an empty table gives an empty result.
+    copy; repeated rows are rounded one by one; an empty table gives an empty result. With
+    ``key``, a long column of ``docs``, each row brings it along as ``row_key``, and it settles
+    the order of rows of one doc_id and size.
     """
     spark = docs.sparkSession
-    rows = durable(sizes(docs))
+    rows = durable(sizes(docs, key))
+    names = ["doc_id", "source", "size", "source_size", "target", "copies", "taken", *(["row_key"] if key else [])]
     stats = [(r["source"], int(r["size"]), r["rows"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()]
     goal = targets([(s, n) for s, n, _ in stats])
     order = sorted(goal, key=lambda s: (s is None, s or ""))
@@ -124,7 +128,7 @@ def mix(docs: DataFrame, chunk_rows: int = 20000, fan: int = 64) -> DataFrame:
     laid = laid.withColumn("chunk", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), F.col("chunks")))
 
     def first(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["size", "doc_id"], ascending=[False, True]).reset_index(drop=True)
+        f = f.sort_values(["size", "doc_id", "row_key"], ascending=[False, True, True]).reset_index(drop=True)
         z = f["size"].to_numpy(np.float64)
         ratio = f["target"].iloc[0] / max(int(f["source_size"].iloc[0]), 1)
         whole = int(np.floor(ratio + _EPS))
@@ -132,9 +136,9 @@ def mix(docs: DataFrame, chunk_rows: int = 20000, fan: int = 64) -> DataFrame:
         got, held = pivotal(p, z, _draws((*map(int, key), 0), len(z)))
         f["copies"] = np.where(z > 0, whole + np.floor(got), 0).astype(np.int64)
         f["open"] = np.where(np.arange(len(z)) == held, got, np.nan)
-        return f[["doc_id", "source", "rank", "chunk", "size", "source_size", "target", "copies", "open"]]
+        return f[["doc_id", "source", "rank", "chunk", "size", "source_size", "target", "copies", "open", "row_key"]]
 
-    done = durable(laid.groupBy("rank", "chunk").applyInPandas(first, "doc_id long, source string, rank int, chunk long, size long, source_size long, target double, copies long, open double"))
+    done = durable(laid.groupBy("rank", "chunk").applyInPandas(first, "doc_id long, source string, rank int, chunk long, size long, source_size long, target double, copies long, open double, row_key long"))
     done = done.withColumn("open", F.when(~F.isnan("open"), F.col("open")))
 
     def meet(level: int, last: bool):
@@ -161,7 +165,7 @@ def mix(docs: DataFrame, chunk_rows: int = 20000, fan: int = 64) -> DataFrame:
             break
         left, most, level = got.where("more < 0").select("rank", "chunk", "up", "size", "p"), -(-most // fan), level + 1
     if settled is None:
-        return done.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        return done.withColumn("taken", F.col("copies") * F.col("size")).select(*names)
     settled = settled.withColumn("is_open", F.lit(True))
     out = done.withColumn("is_open", F.col("open").isNotNull()).join(settled, ["rank", "chunk", "is_open"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*names)

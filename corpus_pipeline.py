@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalume.llm import langid, minhash, mixing, pieces, suffixdedup
@@ -18,6 +18,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.accept(docs, model, least=0.5)
 
 
+def _row_key(*names: str) -> Column:
+    """A hash of the columns that tells nulls in different places apart."""
+    return F.xxhash64(*[x for c in names for x in (F.col(c).isNull(), F.col(c))])
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies (five words, 0.8): that of the smallest doc_id, nulls last.
 
@@ -25,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are copies like others, and different texts under one doc_id stand each for itself. Of
     rows that agree in both, the one with the smallest other columns stays.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("_key", _row_key("doc_id", "text"))
     found = minhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), minhash.Params(width=5, percent=80)).where("n_shingles > 0")
     found = durable(found.groupBy(F.col("doc_id").alias("_key"), "component_id").agg(F.count("*").alias("n")))
     groups = found.groupBy("component_id").agg(F.count("*").alias("k")).where("k > 1").select("component_id")
@@ -47,11 +52,15 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that each source takes its share of words."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id"])  # copies of repeated rows are added up
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Repeats or leaves out documents so that each source takes its share of words.
+
+    Rows are told apart by a hash of all columns; copies of rows that agree in all of them are added up.
+    """
+    keyed = docs.withColumn("_key", _row_key(*docs.columns))
+    copies = durable(mixing.mix(keyed, key="_key").groupBy(F.col("row_key").alias("_key")).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n")).where("copies > 0"))
+    if not copies.where("n > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["_key"])
+    return keyed.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

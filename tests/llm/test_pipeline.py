@@ -84,3 +84,24 @@ def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark, corpus):
     assert Counter(r for r in got if r not in one_b) == Counter([(1, a, "s0"), (2, c, "s0"), (3, d, "s0"), (9, e, "s0"), (None, None, "s0"), (None, None, "s0"), (9, "", "s0")])
     cut = corpus_pipeline.repeat_removal(spark, docs.where("text is not null").transform(lambda x: corpus_pipeline.near_dedup(spark, x, folder)), folder).collect()
     assert Counter(r["text"] for r in cut) == Counter([a, one_b[0][1], c, d, e, ""])
+
+
+def test_source_mix_keeps_null_and_reused_ids(spark, corpus):
+    rng = random.Random(13)
+    folder, _ = corpus
+    rows = [(None if i % 3 == 0 else i % 20, sentence(rng, rng.randint(1, 40)), f"s{i % 3 if i % 5 else 1}") for i in range(90)]
+    rows += [(7, "the same row", "s0")] * 4 + [(None, None, "s1"), (None, "", None)]
+    rows = [(i, t, "en", s, len(t or "")) for i, t, s in rows]
+    rows += [(50, "only nulls differ", "s0", None, 17), (50, "only nulls differ", None, "s0", 17)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got, again = (Counter(map(tuple, corpus_pipeline.source_mix(spark, x, folder).collect())) for x in (docs, docs.repartition(5)))
+    given = Counter(map(tuple, docs.collect()))
+    assert got == again and set(got) <= set(given) and all(got[r] <= 3 * given[r] for r in got)
+    planned = mixing.mix(docs).collect()
+    tally = lambda rs: Counter({k: n for k, n in rs.items() if n})
+    want, have = Counter(), Counter()
+    for r in planned:
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    for (i, t, _, s, _), n in got.items():
+        have[i, s, len((t or "").split())] += n
+    assert tally(want) == have and any(i is None for i, _, _ in have)
