@@ -28,24 +28,33 @@ def drift(members: DataFrame) -> DataFrame:
     return m.join(in_both, "name", "left_semi").withColumn("k", F.count("*").over(w)).where("k = 1").select("name", "pid", F.col("library").alias("only_in"))
 
 
-def claims(pairs: DataFrame, rounds: int = 20) -> DataFrame:
+def claims(pairs: DataFrame) -> DataFrame:
     """One-to-one pairs by repeated mutual best choice; ties go to the smaller name.
 
     Each round settles every pair that is best for both of its names; pairs of settled
-    names leave. Pair tables are small (overlapping sets only); rounds end when none is left.
+    names leave. Names that tie all with all (each best for each, and no others) settle in
+    one round, in order of name on both sides, as single rounds would pair them. Pair
+    tables are small (overlapping sets only); rounds end when none is left, and each
+    settles a pair at least. Null names are no names.
     """
     from ..plans.durable import durable
 
-    left, out = durable(pairs), None
-    for _ in range(rounds):
-        best_a = Window.partitionBy("name_a").orderBy(F.desc("overlap"), "name_b")
-        best_b = Window.partitionBy("name_b").orderBy(F.desc("overlap"), "name_a")
-        won = durable(left.withColumn("ra", F.row_number().over(best_a)).withColumn("rb", F.row_number().over(best_b)).where("ra = 1 and rb = 1").select("name_a", "name_b", "overlap"))
-        if won.isEmpty():
-            break
-        out = won if out is None else out.union(won)
+    left, out, rounds = durable(pairs.where("name_a is not null and name_b is not null").distinct()), None, 0
+    best_a = Window.partitionBy("name_a").orderBy(F.desc("overlap"), "name_b")
+    best_b = Window.partitionBy("name_b").orderBy(F.desc("overlap"), "name_a")
+    tied_a, tied_b, block = Window.partitionBy("name_a", "overlap"), Window.partitionBy("name_b", "overlap"), Window.partitionBy("ta", "tb", "overlap")
+    tied = lambda name, w: F.struct(F.count("*").over(w).alias("n"), F.min(name).over(w).alias("first"), F.bit_xor(F.xxhash64(name)).over(w).alias("names"))
+    while not left.isEmpty():
+        ranked = left.withColumn("ra", F.row_number().over(best_a)).withColumn("top_a", F.max("overlap").over(Window.partitionBy("name_a"))).withColumn("ta", tied("name_b", tied_a))
+        ranked = ranked.withColumn("rb", F.row_number().over(best_b)).withColumn("top_b", F.max("overlap").over(Window.partitionBy("name_b"))).withColumn("tb", tied("name_a", tied_b))
+        top = ranked.where("overlap = top_a and overlap = top_b").withColumn("whole", F.count("*").over(block) == F.col("ta.n") * F.col("tb.n"))
+        top = top.withColumn("ka", F.dense_rank().over(block.orderBy("name_a"))).withColumn("kb", F.dense_rank().over(block.orderBy("name_b")))
+        won = durable(top.where("ra = 1 and rb = 1 or whole and ka = kb").select("name_a", "name_b", "overlap"))
+        out, rounds = won if out is None else out.union(won), rounds + 1
+        if rounds % 20 == 0:
+            out = durable(out)  # keeps the plan short
         left = durable(left.join(won.select("name_a"), "name_a", "left_anti").join(won.select("name_b"), "name_b", "left_anti").select("name_a", "name_b", "overlap"))
-    return pairs.limit(0) if out is None else out
+    return pairs.select("name_a", "name_b", "overlap").limit(0) if out is None else out
 
 
 def reconcile(members: DataFrame, least: float = 0.5, doubtful: float = 0.8, false_matches: tuple[tuple[str, str], ...] = ()) -> DataFrame:

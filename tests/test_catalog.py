@@ -1,5 +1,6 @@
 """Golden cases of the catalog, text, snapshot, planning and cue operators."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -150,6 +151,26 @@ def test_overlap_claims(spark):
     assert got == {("rename", "x", "y"), ("only_b", "z", None), ("only_a", "only", None), ("drifted", "both", None)}
 
 
+def test_overlap_claims_settle_all_ties_and_chains(spark):
+    rows = [(lib, f"{n}{k:02}", i) for lib, n in (("A", "x"), ("B", "y")) for k in range(30 if n == "x" else 31) for i in range(3)]
+    got = {(r["kind"], r["name"], r["other"]) for r in O.reconcile(spark.createDataFrame(rows, "library string, name string, pid int")).collect()}
+    assert got == {("rename", f"x{k:02}", f"y{k:02}") for k in range(30)} | {("only_b", "y30", None)}
+    chain = [(f"a{k:02}", f"b{k:02}", 0.5 + 2 * k / 100) for k in range(23)] + [(f"a{k + 1:02}", f"b{k:02}", 0.51 + 2 * k / 100) for k in range(22)]
+    got = {tuple(r) for r in O.claims(spark.createDataFrame(chain, "name_a string, name_b string, overlap double")).collect()}
+    assert got == set(chain[:23])
+
+
+def test_overlap_claims_equal_greedy_choice(spark):
+    rng = random.Random(3)
+    pairs = [(f"a{i}", f"b{j}", rng.choice([0.5, 0.6, 0.75])) for i in range(12) for j in range(12) if rng.random() < 0.6]
+    want, seen = set(), set()
+    for a, b, x in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if not {a, b} & seen:
+            want.add((a, b, x))
+            seen |= {a, b}
+    assert {tuple(r) for r in O.claims(spark.createDataFrame(pairs, "name_a string, name_b string, overlap double")).collect()} == want
+
+
 CUE = 'TITLE "Album"\nPERFORMER "Band"\nFILE "a.wav" WAVE\n  TRACK 01 AUDIO\n    TITLE "One"\n    INDEX 01 00:00:00\n  TRACK 02 AUDIO\n    TITLE "Two"\n    PERFORMER "Guest"\n    INDEX 00 03:00:00\n    INDEX 01 03:02:10\nFILE "b.wav" WAVE\n  TRACK 03 AUDIO\n    TITLE "Three"\n    INDEX 01 00:00:00\n  TRACK 04 AUDIO\n    TITLE "Broken"\n'
 
 
