@@ -2,37 +2,45 @@
 
 Encoding follows the unigram rule: the segmentation of the largest total piece score. The
 piece table comes from a public vocabulary file; nothing is trained. Spaces become the
-mark U+2581 with one more in front of the text. No piece crosses the start of a run of
-marks or a line feed, so texts split there into units, and each distinct unit is solved once:
-
-* substrings up to the longest piece are exploded and equi-joined to the piece table (one row
-  per vocabulary entry, broadcast: its size is the vocabulary's);
-* the matching edges are grouped by unit and end position;
-* Spark's higher-order ``aggregate`` folds them left to right, with the best score and path
-  of as many last positions as the longest piece spans.
-
-Characters that no piece covers fall back to byte pieces. The solved units meet the texts
-again in chunks of bounded bytes; a chunk brings each of its distinct units once.
+mark U+2581 with one more in front of the text. A marked text is cut into *units* at every
+position whose two neighbours stand side by side in no piece of the vocabulary, so no piece
+crosses a unit's edge, whatever the vocabulary. Each distinct unit is solved once:
+
+* its substrings up to the longest piece are exploded and equi-joined to the piece table (one
+  row per vocabulary entry, broadcast: its size is the vocabulary's). Rows carry a key of the
+  unit, never the unit; long units are exploded by segments, so the work is linear in length;
+* the matching edges are grouped by unit, ordered by end position;
+* Spark's higher-order ``aggregate`` folds them left to right, block by block, and keeps the best
+  edge into every position; a second fold follows these back pointers from the end.
+
+The solved units meet the texts again in two ways. The commonest ones (``hot``, a number
+given as a parameter) are broadcast. Of the others every chunk of texts asks only for those
+it uses, and gets them by a join. The texts themselves are shuffled once, compressed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import durable
 
 MARK = "▁"
-_UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
+_RUNS = re.compile(" +[^ ]*")
+#: Edges that are folded before their back pointers are handed on.
+_BLOCK = 512
+#: An edge is one long: its end position, 6 bits of length, 22 bits of piece id or _UNKNOWN + code point.
+_CODE, _LEN, _UNKNOWN = 22, 6, 1 << 21
 
 
 @dataclass
@@ -48,15 +56,37 @@ class Vocabulary:
     encoded: list[bytes] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.longest = max((len(p) for p, n in zip(self.pieces, self.normal, strict=True) if n), default=1)
+        usable = [p for p, n in zip(self.pieces, self.normal, strict=True) if n]
+        self.longest = max(map(len, usable), default=1)
+        if self.longest >= 1 << _LEN or len(self.pieces) >= _UNKNOWN:
+            raise ValueError("pieces of 64 characters or more, or over two million pieces, don't fit an edge")
         of_byte = {i: bytes([b]) for b, i in enumerate(self.byte_ids) if i >= 0}
         self.encoded = [of_byte.get(i, p.encode()) for i, p in enumerate(self.pieces)]
+        pairs = {p[i : i + 2] for p in usable for i in range(len(p) - 1)}
+        chars = sorted({c for p in pairs for c in p})
+        self._class = np.zeros(0x110000, np.int16)  # characters that stand beside another in a piece
+        self._class[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self._beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for a, b in pairs:
+            self._beside[self._class[ord(a)], self._class[ord(b)]] = True
+        #: Whether a mark always starts a unit, unless another mark is in front of it.
+        self.marks_cut = not any(b == MARK and a != MARK for a, b in pairs)
 
     @property
     def fallback(self) -> float:
         """Score of a character without a piece: ten below the lowest."""
         return min((s for s, n in zip(self.scores, self.normal, strict=True) if n), default=0.0) - 10.0
 
+    def charges(self) -> np.ndarray:
+        """Score of each id in an encoded text; the first byte of a character without a piece brings its fallback."""
+        out = np.array(self.scores, np.float64)
+        for b, i in enumerate(self.byte_ids):
+            if i >= 0 and not 0x80 <= b < 0xC0:
+                out[i] += self.fallback
+        if not self.normal[self.unknown]:
+            out[self.unknown] += self.fallback
+        return out
+
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         import sentencepiece
@@ -65,151 +95,376 @@ class Vocabulary:
         ids = range(sp.get_piece_size())
         pieces = [sp.id_to_piece(i) for i in ids]
         of_byte = {p: i for i, p in enumerate(pieces) if sp.is_byte(i)}
-        return cls(pieces, [sp.get_score(i) for i in ids], [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in ids], [of_byte.get(f"<0x{b:02X}>", -1) for b in range(256)], sp.unk_id())
+        special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in ids]
+        byte_ids = [of_byte.get(f"<0x{b:02X}>", -1) for b in range(256)]
+        return cls(pieces, [sp.get_score(i) for i in ids], [not x for x in special], byte_ids, sp.unk_id())
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(pd.DataFrame([(p, i, s) for i, (p, s, n) in enumerate(zip(self.pieces, self.scores, self.normal, strict=True)) if n], columns=["piece", "id", "score"]), "piece string, id int, score double")
-
-
-def units(text: str) -> list[str]:
+        usable = [(p, i, self.scores[i]) for i, p in enumerate(self.pieces) if self.normal[i]]
+        rows = pd.DataFrame(usable, columns=["piece", "id", "score"])
+        return spark.createDataFrame(rows, "piece string, id int, score double")
+
+    def words(self, text: str) -> list[str]:
+        """Keys of a text: parts that no piece crosses; the marked text is MARK + key with marks for spaces, key by key."""
+        if not text:
+            return []
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        if not self.marks_cut:
+            return [text]
+        if text[0] != " " and "  " not in text:
+            return text.split(" ")
+        return [run[1:] for run in _RUNS.findall(" " + text)]
+
+    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Units of all keys in order, and for each key the end of its own."""
+        if not words:
+            return [], np.zeros(0, np.int64)
+        marked = (MARK + MARK.join(words)).replace(" ", MARK)
+        points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self._class[points]
+        edge = np.ones(len(points) + 1, bool)
+        edge[1:-1] = ~self._beside[kind[:-1], kind[1:]]
+        ends = np.cumsum([len(w) + 1 for w in words])
+        edge[ends] = True
+        at = np.flatnonzero(edge)
+        bounds = at.tolist()
+        return [marked[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.searchsorted(at, ends)
+
+
+def units(text: str, v: Vocabulary) -> list[str]:
     """Parts of a text that no piece crosses, in order; they join to the marked text."""
-    return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
+    return v.cut(v.words(text))[0]
 
 
-@contextmanager
-def _set(spark: SparkSession, key: str, value: str):
-    was = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+def _end(k: Column) -> Column:
+    return F.shiftrightunsigned(k, _CODE + _LEN)
 
 
-def lattice(distinct: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Edges ``(unit, at, len, id, score)`` of distinct ``(unit)`` rows; a character without piece gives id -1 - code point."""
-    table = F.broadcast(vocabulary.table(distinct.sparkSession))
-    starts = distinct.select("unit", F.explode(F.sequence(F.lit(1), F.char_length("unit"))).alias("at"))
-    spans = starts.select("unit", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.char_length("unit") - F.col("at") + 1))).alias("len"))
-    parts = spans.withColumn("part", F.col("unit").substr(F.col("at"), F.col("len")))
-    edges = parts.join(table, parts["part"] == table["piece"], "left").where("id is not null or len = 1")
-    return edges.select("unit", "at", "len", F.coalesce("id", -1 - F.ascii("part")).alias("id"), F.coalesce("score", F.lit(vocabulary.fallback)).alias("score"))
+def _len(k: Column) -> Column:
+    return F.shiftrightunsigned(k, _CODE).bitwiseAND((1 << _LEN) - 1).cast("int")
 
 
-def solve(distinct: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(unit, ids, score)`` of distinct ``(unit)`` rows: the Viterbi path, as a string of numbers.
+def lattice(keyed: DataFrame, vocabulary: Vocabulary, segment: int = 1024) -> DataFrame:
+    """Edges ``(u1, u2, unit, at, len, id, score, code)`` of ``keyed(u1, u2, unit)`` rows of distinct units.
 
-    Of equal scores the one whose last piece is longer wins, position by position.
+    ``unit`` is null but for a unit's first edge. A character without a piece has a null ``id``.
+    """
+    table = F.broadcast(vocabulary.table(keyed.sparkSession))
+    n = F.char_length("unit")
+    longest = F.lit(vocabulary.longest)
+
+    def first(name: str) -> Column:
+        return F.when(F.col(name) == 1, F.col("unit")).alias("unit")
+
+    parts = keyed.select("u1", "u2", "unit", n.alias("n"), F.explode(F.sequence(F.lit(1), n, F.lit(segment))).alias("from"))
+    parts = parts.select(
+        *("u1", "u2", first("from"), (F.col("from") - 1).alias("base")),
+        F.col("unit").substr(F.col("from"), F.lit(segment) + longest - 1).alias("part"),
+        F.least(F.lit(segment), F.col("n") - F.col("from") + 1).alias("m"),
+    )
+    starts = parts.select("u1", "u2", "unit", "base", "part", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("i"))
+    starts = starts.select(
+        *("u1", "u2", first("i"), (F.col("base") + F.col("i")).alias("at")),
+        F.col("part").substr(F.col("i"), longest).alias("window"),
+    )
+    spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.char_length("window"))).alias("len"))
+    spans = spans.select("u1", "u2", first("len"), "at", "len", F.substring("window", F.lit(1), F.col("len")).alias("piece"))
+    edges = spans.join(table, "piece", "left").where("id is not null or len = 1")
+    code = F.coalesce("id", F.ascii("piece") + _UNKNOWN)
+    return edges.select(
+        *("u1", "u2", "unit", "at", "len", "id"),
+        F.coalesce("score", F.lit(vocabulary.fallback)).alias("score"),
+        code.alias("code"),
+    )
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def solve(distinct: DataFrame, vocabulary: Vocabulary, parts: int = 1) -> DataFrame:
+    """``(unit, ids, score)`` of distinct ``(unit)`` rows: the Viterbi path; -1 - code point for a character without piece.
+
+    Of equal scores the path whose last piece is longer wins, position by position. Spark
+    copies the state of a fold at every step, so edges are folded by blocks: the inner state is
+    bounded by the block, and what it found is handed on once a block, as a string, which is
+    the cheapest to copy.
     """
-    edges = lattice(distinct, vocabulary)
-    grouped = edges.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct((F.col("at") + F.col("len")).alias("end"), F.col("len"), F.col("id"), F.col("score")))).alias("edges"))
-    state = lambda s, ids: F.struct(s.alias("s"), ids.alias("ids"))
-    start = F.struct(F.array().cast("array<struct<s:double,ids:string>>").alias("done"), state(F.lit(0.0), F.lit("")).alias("cur"), F.lit(1).alias("end"))
+    keyed = distinct.select(F.xxhash64("unit").alias("u1"), F.hash("unit").alias("u2"), "unit").repartition(parts, "u1", "u2")
+    edges = lattice(keyed, vocabulary)
+    k = F.shiftleft((F.col("at") + F.col("len")).cast("long"), _CODE + _LEN)
+    k = k.bitwiseOR(F.shiftleft(F.col("len").cast("long"), _CODE)).bitwiseOR(F.col("code").cast("long"))
+    packed = F.collect_list(F.struct(k.alias("k"), F.col("score").alias("s")))
+    grouped = edges.groupBy("u1", "u2").agg(F.max("unit").alias("unit"), F.sort_array(packed).alias("edges"))
+    from_ = F.sequence(F.lit(1), F.size("edges"), F.lit(_BLOCK))
+    cut = F.transform(from_, lambda i: F.slice("edges", i, F.lit(_BLOCK)))
+    blocks = F.when(F.size("edges") <= _BLOCK, F.array("edges")).otherwise(cut)
+
+    none, texts = F.array().cast("array<bigint>"), F.array().cast("array<string>")
     keep = vocabulary.longest
 
-    def bound(value, use):
-        """``use`` of a value that is computed once."""
-        return F.transform(F.array(value), use)[0]
-
-    def step(acc, e):
-        # ``done`` has the best paths to the last positions, the nearest last; ``cur`` the best so far to ``end``
-        grown = F.when(e["end"] > acc["end"], F.array_append(F.when(F.size(acc["done"]) < keep, acc["done"]).otherwise(F.slice(acc["done"], 2, keep - 1)), acc["cur"])).otherwise(acc["done"])
-
-        def use(done):
-            def choose(before):
-                better = (e["end"] > acc["end"]) | (before["s"] + e["score"] >= acc["cur"]["s"])
-                path = state(before["s"] + e["score"], F.concat(before["ids"], F.lit(" "), e["id"].cast("string")))
-                return F.struct(done.alias("done"), F.when(better, path).otherwise(acc["cur"]).alias("cur"), e["end"].alias("end"))
-
-            return bound(F.element_at(done, -e["len"]), choose)
-
-        return bound(grown, use)
-
-    best = F.aggregate("edges", start, step, lambda acc: acc["cur"])
-    return grouped.select("unit", best.alias("r")).select("unit", F.ltrim("r.ids").alias("ids"), F.col("r.s").alias("score"))
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = 16 << 20) -> DataFrame:
-    """``(doc_id, ids, score, round_trip)`` of every row: piece ids, total score, and whether decoding gives the text back.
-
-    Null and empty texts have no pieces. Texts that hold the mark itself decode with a
+    def state(near: Column, back: Column, s: Column, k: Column) -> Column:
+        # ``near``: best scores up to the last positions; ``back``: best edges into them; ``s``, ``k``: best so far into this one
+        return F.struct(near.alias("near"), back.alias("back"), s.alias("s"), k.alias("k"))
+
+    def edge(a: Column, e: Column) -> Column:
+        near = F.when(F.size(a["near"]) < keep, a["near"]).otherwise(F.slice(a["near"], 2, keep - 1))
+        # the edge of length 1 comes first at each position
+        on = state(F.array_append(near, a["s"]), F.array_append(a["back"], a["k"]), a["s"] + e["s"], e["k"])
+        score = F.element_at(a["near"], -_len(e["k"])) + e["s"]
+        return F.when(_len(e["k"]) == 1, on).when(score >= a["s"], state(a["near"], a["back"], score, e["k"])).otherwise(a)
+
+    def block(a: Column, part: Column) -> Column:
+        found = F.aggregate(part, state(a["near"], none, a["s"], a["k"]), edge)
+        return _once(found, lambda r: state(r["near"], F.array_append(a["back"], joined(r["back"])), r["s"], r["k"]))
+
+    def joined(longs: Column) -> Column:
+        return F.array_join(longs.cast("array<string>"), ",")
+
+    start = state(F.array().cast("array<double>"), texts, F.lit(0.0), F.lit(0).cast("long"))
+    done = grouped.select("unit", blocks.alias("blocks")).select("unit", F.aggregate("blocks", start, block).alias("r"))
+
+    def back(a: Column, k: Column) -> Column:
+        taken = F.struct((a["want"] - _len(k)).alias("want"), F.array_append(a["path"], k).alias("path"))
+        return F.when(_end(k) == a["want"], taken).otherwise(a)
+
+    def through(a: Column, part: Column) -> Column:
+        longs = F.reverse(F.split(part, ",").cast("array<bigint>"))
+        found = F.aggregate(longs, F.struct(a["want"], none.alias("path")), back)
+        return _once(found, lambda r: F.struct(r["want"], F.array_append(a["path"], joined(r["path"])).alias("path")))
+
+    last = F.struct(_end(F.col("r.k")).alias("want"), texts.alias("path"))
+    parts_back = F.reverse(F.array_append(F.col("r.back"), F.col("r.k").cast("string")))
+    taken = F.filter(F.aggregate(parts_back, last, through)["path"], lambda x: x != "")
+    path = F.reverse(F.flatten(F.transform(taken, lambda x: F.split(x, ",").cast("array<bigint>"))))
+
+    def piece(k: Column) -> Column:
+        code = k.bitwiseAND((1 << _CODE) - 1).cast("int")
+        return F.when(code < _UNKNOWN, code).otherwise(_UNKNOWN - 1 - code)
+
+    return done.select("unit", F.transform(path, piece).alias("ids"), F.col("r.s").alias("score"))
+
+
+def _known(ids: Iterable[int], v: Vocabulary) -> bytes:
+    """Ids as int32 bytes; a character without a piece becomes its byte pieces, or the unknown piece."""
+    out: list[int] = []
+    for x in ids:
+        coded = [x] if x >= 0 else [v.byte_ids[b] for b in chr(-1 - x).encode("utf-8", "surrogatepass")]
+        out += coded if min(coded) >= 0 else [v.unknown]
+    return np.array(out, np.int32).tobytes()
+
+
+class _Book(dict):
+    """Packed ids by key; keys of hot units only stay, up to ``room``, others last for a chunk."""
+
+    def __init__(self, v: Vocabulary, hot: dict[str, bytes], room: int = 300_000) -> None:
+        super().__init__()
+        self.v, self.hot, self.room = v, hot, room
+        self.cold: dict[str, bytes] = {}
+        self.passing: list[str] = []
+
+    def turn(self) -> None:
+        """Start the next chunk."""
+        for w in self.passing:
+            del self[w]
+        self.cold, self.passing = {}, []
+
+    def learn(self, lists: list[list[str]]) -> None:
+        new = list(set().union(*lists) - self.keys())
+        found, ends = self.v.cut(new)
+        hot, cold, at = self.hot, self.cold, 0
+        for w, end in zip(new, ends.tolist(), strict=True):
+            mine = found[at:end]
+            at = end
+            got = [hot.get(u) for u in mine]
+            if None in got:
+                got = [cold[u] if g is None else g for u, g in zip(mine, got, strict=True)]
+                self.passing.append(w)
+            elif len(self) - len(self.passing) > self.room:
+                self.passing.append(w)
+            self[w] = b"".join(got)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Sub-batches of bounded bytes with their texts; a longer text stands alone."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = min(max(at + 1, int(np.searchsorted(ends, before + limit, "right"))), batch.num_rows)
+            part = batch.slice(at, end - at)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
+            at = end
+
+
+def _distinct_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Distinct units of each block of about ``limit`` characters."""
+    words: set[str] = set()
+    size = 0
+    for _, texts in _blocks(batches, 0, limit):
+        for text in texts:
+            words.update(v.words(text))
+            size += len(text)
+        if size >= limit:
+            yield pa.RecordBatch.from_arrays([pa.array(list(set(v.cut(list(words))[0])), pa.string())], ["unit"])
+            words, size = set(), 0
+    if words:
+        yield pa.RecordBatch.from_arrays([pa.array(list(set(v.cut(list(words))[0])), pa.string())], ["unit"])
+
+
+def _cold_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, hot: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+    """Distinct ``(chunk, unit)`` of units that aren't hot."""
+    usual: set[str] = set()  # keys of hot units only
+    for part, texts in _blocks(batches, 0, 8 << 20):
+        odd: dict[int, set[str]] = {}
+        for chunk, text in zip(part.column(1).to_pylist(), texts, strict=True):
+            rest = set(v.words(text))
+            rest -= usual
+            if rest:
+                odd.setdefault(chunk, set()).update(rest)
+        new = list(set().union(*odd.values()))
+        found, ends = v.cut(new)
+        of, at = {}, 0
+        for w, end in zip(new, ends.tolist(), strict=True):
+            cold = [u for u in found[at:end] if u not in hot]
+            at = end
+            if cold:
+                of[w] = cold
+            elif len(usual) < 300_000:
+                usual.add(w)
+        for chunk, words in odd.items():
+            out = list({u for w in words if w in of for u in of[w]})
+            if out:
+                at_chunk = pa.array(np.full(len(out), chunk, np.int32))
+                yield pa.RecordBatch.from_arrays([at_chunk, pa.array(out, pa.string())], ["chunk", "unit"])
+
+
+_OUT = "doc_id long, ids array<int>, score double, decoded_sha256 string, round_trip boolean"
+
+
+def _assemble(batches: Iterator[pa.RecordBatch], v: Vocabulary, hot: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+    """Encoded rows of a partition whose rows come chunk by chunk, units before texts."""
+    book, charges, chunk = _Book(v, hot), v.charges(), None
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        chunks = batch.column(0).to_numpy()
+        is_text = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        edge = np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(chunks)], strict=True):
+            if lo == hi:
+                continue
+            if chunks[lo] != chunk:
+                chunk = chunks[lo]
+                book.turn()
+            if not is_text[lo]:
+                names, ids = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (3, 4))
+                book.cold.update((u, _known(i, v)) for u, i in zip(names, ids, strict=True))
+                continue
+            packed, doc_ids, at = batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), 0
+            while at < len(packed):
+                end, size, raw = at, 0, []
+                while end < len(packed) and size < 4 << 20:
+                    raw.append(unpack(packed[end].as_py()))
+                    size += len(raw[-1])
+                    end += 1
+                yield _encoded(doc_ids.slice(at, end - at), raw, book, charges)
+                at = end
+
+
+def _encoded(doc_ids: pa.Array, raw: list[bytes], book: _Book, charges: np.ndarray) -> pa.RecordBatch:
+    words = [book.v.words(t.decode("utf-8", "surrogatepass")) for t in raw]
+    book.learn(words)
+    ids = [b"".join(map(book.__getitem__, w)) for w in words]
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    flat = np.frombuffer(b"".join(ids), np.int32)
+    sums = np.concatenate([[0.0], np.cumsum(charges[flat])])
+    back = [_bytes_of(flat[a:b], book.v) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [
+            doc_ids,
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+            pa.array(sums[ends[1:]] - sums[ends[:-1]]),
+            pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
+            pa.array([b == t for b, t in zip(back, raw, strict=True)], pa.bool_()),
+        ],
+        ["doc_id", "ids", "score", "decoded_sha256", "round_trip"],
+    )
+
+
+def hot_units(found: DataFrame, solved: DataFrame, hot: int, longest: int = 64) -> dict[str, list[int]]:
+    """Ids of the commonest units of ``found(unit, n)``: at most ``hot``, of at most ``longest`` characters each.
+
+    Units are taken by whole levels of ``n`` (eight to a doubling), so a small table of counts
+    tells where to stop and what is broadcast is bounded.
+    """
+    level = F.floor(F.log2("n") * 8)
+    short = found.where(F.char_length("unit") <= longest)
+    sizes = sorted(map(tuple, short.groupBy(level.alias("level")).count().collect()), reverse=True)
+    least, total = None, 0
+    for name, count in sizes:
+        total += count
+        if total > hot:
+            break
+        least = name
+    if least is None:
+        return {}
+    got = solved.join(F.broadcast(short.where(level >= least).select("unit")), "unit").select("unit", "ids").toArrow()
+    return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = 131_072, chunk_bytes: int = 16 << 20) -> DataFrame:
+    """``(doc_id, ids, score, decoded_sha256, round_trip)`` of every row.
+
+    Piece ids, their total score, the hash of what the ids decode to, and whether that is
+    the text. Null and empty texts have no pieces. Texts that hold the mark itself decode with a
     space in its place, so ``round_trip`` is false for them. Repeated rows give repeated
-    rows; extra columns are ignored; an empty table gives an empty result.
+    rows; extra columns are ignored; an empty table gives an empty result. ``hot`` bounds what is
+    broadcast, ``chunk_bytes`` the text whose rare units one task holds; texts of a chunk pass
+    through it one after the other, so a chunk of any size needs no more memory.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(1, -(-size // chunk_bytes))
-    numbered = docs.withColumn("chunk", F.pmod(F.xxhash64(F.col("doc_id"), F.substring("text", 1, 64)), F.lit(chunks)).cast("int"))
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")
+    held = spark.sparkContext.broadcast(vocabulary)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [zlib.compress(t.as_py().encode(), 1) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], ["doc_id", "packed", "chunk"])
+    seen = docs.select("text").mapInArrow(lambda b: _distinct_units(b, held.value), "unit string")
+    found = durable(seen.groupBy("unit").agg(F.count("*").alias("n")))
+    solved = durable(solve(found.select("unit"), vocabulary, max(1, -(-found.count() // 40_000))))
+    common = hot_units(found, solved, hot)
+    shared = spark.sparkContext.broadcast({u: _known(i, vocabulary) for u, i in common.items()})
 
-    laid = numbered.mapInArrow(pack, "doc_id long, packed binary, chunk int").repartition(chunks, "chunk").sortWithinPartitions("chunk")
+    asked = docs.select("text", chunk).mapInArrow(lambda b: _cold_units(b, held.value, shared.value), "chunk int, unit string")
+    rare = asked.distinct().join(solved.select("unit", "ids"), "unit")
+    rare = rare.select("chunk", F.lit(None).cast("binary").alias("packed"), F.lit(None).cast("long").alias("doc_id"), "unit", "ids")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(chunk: int, found: set[str]) -> Iterator[pa.RecordBatch]:
-            ordered = sorted(found)
-            for lo in range(0, len(ordered), 50000):
-                part = ordered[lo : lo + 50000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk, np.int32))], ["unit", "chunk"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for part, texts in _blocks(batches, 1, 8 << 20):
+            body = pa.array([squeeze(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(2), body, part.column(0)], ["chunk", "packed", "doc_id"])
+
+    texts = docs.select("doc_id", "text", chunk).mapInArrow(pack, "chunk int, packed binary, doc_id long")
+    texts = texts.select("*", F.lit(None).cast("string").alias("unit"), F.lit(None).cast("array<int>").alias("ids"))
+    laid = rare.union(texts).repartition(chunks, "chunk").sortWithinPartitions("chunk", F.col("packed").isNotNull())
+    return laid.mapInArrow(lambda b: _assemble(b, held.value, shared.value), _OUT)
 
-        last, seen = -1, set()  # a chunk's rows come together
-        for batch in batches:
-            for packed, chunk in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                if chunk != last and seen:
-                    yield from rows(last, seen)
-                    seen = set()
-                last = chunk
-                seen.update(units(zlib.decompress(packed.as_py()).decode()))
-        yield from rows(last, seen)
-
-    used = durable(laid.mapInArrow(words, "unit string, chunk int"))
-    parts = max(1, -(-used.count() // 60000))
-    with _set(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000"):
-        solved = durable(solve(used.select("unit").repartition(parts, "unit").distinct(), vocabulary))
-    known = used.join(solved.select("unit", "ids"), "unit")
-    held = spark.sparkContext.broadcast(vocabulary)
 
-    def assemble(texts: pa.Table, table: pa.Table) -> pa.Table:
-        v: Vocabulary = held.value
-        scores = np.array(v.scores)
-
-        def entry(ids: str) -> tuple[bytes, int, bytes]:
-            """Packed ids, characters without a piece, and what the ids decode to."""
-            found = list(map(int, ids.split()))
-            if not found or min(found) >= 0:
-                return np.array(found, np.int32).tobytes(), 0, b"".join([v.encoded[i] for i in found])
-            out: list[int] = []
-            for x in found:
-                coded = [x] if x >= 0 else [v.byte_ids[b] for b in chr(-1 - x).encode()]
-                out += coded if min(coded) >= 0 else [v.unknown]
-            return np.array(out, np.int32).tobytes(), sum(x < 0 for x in found), b"".join([v.encoded[i] for i in out])
-
-        book = {u: entry(i) for u, i in zip(table.column("unit").to_pylist(), table.column("ids").to_pylist(), strict=True)}
-        ids: list[bytes] = []
-        total: list[float] = []
-        same: list[bool] = []
-        for packed in texts.column("packed"):
-            text = zlib.decompress(packed.as_py()).decode()
-            parts = [book[u] for u in units(text)]
-            ids.append(b"".join([e[0] for e in parts]))
-            back = b"".join([e[2] for e in parts]).decode("utf-8", "replace").replace(MARK, " ")
-            total.append(float(scores[np.frombuffer(ids[-1], np.int32)].sum() + v.fallback * sum([e[1] for e in parts])))
-            same.append((back[1:] if back[:1] == " " else back) == text)
-        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-        return pa.table([texts.column("doc_id"), lists, pa.array(total, pa.float64()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "score", "round_trip"])
-
-    return laid.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(assemble, "doc_id long, ids array<int>, score double, round_trip boolean")
+def _bytes_of(ids: np.ndarray, v: Vocabulary) -> bytes:
+    """Bytes that piece ids stand for: marks to spaces, byte pieces to their bytes, the leading space dropped."""
+    out = b"".join(map(v.encoded.__getitem__, ids.tolist())).replace(MARK.encode(), b" ")
+    return out[1:] if out[:1] == b" " else out
 
 
 def decode_ids(ids: np.ndarray, v: Vocabulary) -> str:
-    """Text of piece ids: marks to spaces, byte pieces to their bytes, the leading space dropped."""
-    text = b"".join(map(v.encoded.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
-    return text[1:] if text[:1] == " " else text
+    """Text of piece ids; bytes that are no UTF-8 become U+FFFD."""
+    return _bytes_of(ids, v).decode("utf-8", "replace")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -218,6 +473,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode_ids(np.array(i or [], np.int64), held.value) for i in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            texts = [decode_ids(np.array(i or [], np.int64), held.value) for i in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(of, "doc_id long, text string")

@@ -19,7 +19,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(PIECES))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "round_trip")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "decoded_sha256", "round_trip")
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -255,31 +256,74 @@ def test_quality(spark, empty):
 
 
 def brute_viterbi(unit, v):
+    """Path and score of one marked text: ties at a position go to the longer last piece."""
     table = {p: (i, s) for i, (p, s, n) in enumerate(zip(v.pieces, v.scores, v.normal, strict=True)) if n}
-    best = [0.0] + [-math.inf] * len(unit)
+    best, last = [0.0] + [-math.inf] * len(unit), [0] * (len(unit) + 1)
     for end in range(1, len(unit) + 1):
         for n in range(1, min(v.longest, end) + 1):
             piece = unit[end - n : end]
             s = table[piece][1] if piece in table else v.fallback if n == 1 else -math.inf
-            best[end] = max(best[end], best[end - n] + s)
-    return best[-1]
+            if s > -math.inf and best[end - n] + s >= best[end]:
+                best[end], last[end] = best[end - n] + s, n
+    ids, at = [], len(unit)
+    while at:
+        piece = unit[at - last[at] : at]
+        coded = [table[piece][0]] if piece in table else [v.byte_ids[b] for b in piece.encode()]
+        ids = (coded if min(coded) >= 0 else [v.unknown]) + ids
+        at -= last[at]
+    return ids, best[-1]
 
 
-def test_sentencepiece(spark, odd, empty):
+def marked(text):
+    return pieces.MARK + text.replace(" ", pieces.MARK) if text else ""
+
+
+ODD_TEXTS = ["two  spaces and\ttab\nline end ", "a \U0001f600 face", " lead", "   ", "x1y22zz3..a,b", "a\u2581b \u2581c", "tail  ", "\n\n \n", "e\u0301 \u200b\ufeff"]
+
+
+@pytest.mark.parametrize("hot", [131072, 20, 0])
+def test_sentencepiece(spark, odd, empty, hot):
     docs, rows = odd
     v = pieces.Vocabulary.load(PIECES)
-    rows = rows + [(50, "two  spaces and\ttab\nline end ", None, None), (51, "a \U0001f600 face", None, None), (52, " lead", None, None)]
-    out = pieces.encode(make(spark, rows), v, chunk_bytes=2000)
+    rows = rows + [(50 + i, t, None, None) for i, t in enumerate(ODD_TEXTS)]
+    out = pieces.encode(make(spark, rows), v, hot=hot, chunk_bytes=2000)
     got = out.collect()
     assert len(got) == len(rows)
     text = {i: t or "" for i, t, _, _ in rows}
     for r in got:
-        assert r["round_trip"] and pieces.decode_ids(np.array(r["ids"]), v) == text[r["doc_id"]]
-        assert r["score"] == pytest.approx(sum(brute_viterbi(u, v) for u in pieces.units(text[r["doc_id"]])))
-    assert {r["doc_id"]: r["text"] for r in pieces.decode(out, v).collect()} == text
+        want, score = brute_viterbi(marked(text[r["doc_id"]]), v)
+        assert r["ids"] == want and r["score"] == pytest.approx(score)
+        back = text[r["doc_id"]].replace(pieces.MARK, " ")
+        assert pieces.decode_ids(np.array(r["ids"]), v) == back and r["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()
+        assert r["round_trip"] == (back == text[r["doc_id"]])
+    assert {r["doc_id"]: r["text"] for r in pieces.decode(out, v).collect()} == {i: t.replace(pieces.MARK, " ") for i, t in text.items()}
     assert pieces.encode(empty, v).collect() == []
 
 
+def test_sentencepiece_with_any_vocabulary(spark):
+    """Pieces that cross marks and line feeds, no bytes: units follow the vocabulary, whatever it holds."""
+    rng = random.Random(7)
+    for names in (["a", "b", "ab", "\u2581a", "b\u2581a", "a\nb", "\u2581", "aba", "bab\n"], ["a", "aa", "aaa", "b", "\u2581\u2581", "\u2581a"]):
+        v = pieces.Vocabulary(["<unk>", *names], [0.0, *(-float(rng.randint(1, 4)) for _ in names)], [False] + [True] * len(names), [-1] * 256)
+        texts = ["".join(rng.choice("ab \nc") for _ in range(rng.randint(1, 60))) for _ in range(60)]
+        got = pieces.encode(make(spark, [(i, t, None, None) for i, t in enumerate(texts)]), v, hot=5, chunk_bytes=300).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            assert r["ids"] == brute_viterbi(marked(texts[r["doc_id"]]), v)[0]
+
+
+def test_sentencepiece_is_linear_in_unbroken_text(spark):
+    v = pieces.Vocabulary.load(PIECES)
+    rng = random.Random(8)
+    text = "".join(rng.choice("aeinorst") for _ in range(200_000))
+    assert max(map(len, pieces.units(text, v))) > 1000
+    rows = [(1, text, None, None), (2, "x" * 50_000, None, None)]
+    began = time.time()
+    got = {r["doc_id"]: r for r in pieces.encode(make(spark, rows), v).collect()}
+    assert time.time() - began < 60 and all(r["round_trip"] for r in got.values())
+    assert got[2]["score"] == brute_viterbi(marked("x" * 50_000), v)[1]
+
+
 def test_sentencepiece_agrees_with_the_library_on_words():
     sentencepiece = pytest.importorskip("sentencepiece")
     proto = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
@@ -290,4 +334,4 @@ def test_sentencepiece_agrees_with_the_library_on_words():
     v = pieces.Vocabulary.load(PIECES)
     score = lambda ids: sum(v.scores[i] for i in ids)
     for word in ("hello", "internationalization", "the", "über"):
-        assert brute_viterbi(pieces.MARK + word, v) >= score(sp.encode(word)) - 1e-6
+        assert brute_viterbi(pieces.MARK + word, v)[1] >= score(sp.encode(word)) - 1e-6
