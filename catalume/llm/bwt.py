@@ -39,23 +39,30 @@ def _front_codes(symbols: np.ndarray, before: np.ndarray, m: int) -> np.ndarray:
 
 
 def sort_shard(symbols: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Order of a shard's cyclic suffixes, by doubling; ties (equal strings) in string order."""
+    """Order of a shard's cyclic suffixes, by doubling from seven symbols on; ties (equal strings) in string order."""
     n = len(symbols)
     size = np.diff(start)
     owner = np.repeat(np.arange(len(size)), size)
     local = np.arange(n) - start[owner]
-    _, rank = np.unique(symbols, return_inverse=True)
-    step = 1
+    base, width = start[owner], size[owner]
+    after = np.arange(1, n + 1)
+    after[start[1:] - 1] = start[:-1]
+    key, at = np.zeros(n, np.int64), np.arange(n)
+    for _ in range(7):  # nine bits a symbol
+        key = key << 9 | symbols[at]
+        at = after[at]
+    step = 7
     while True:
-        ahead = start[owner] + (local + step) % size[owner]
-        key = rank.astype(np.int64) * (rank.max() + 1) + rank[ahead]
         order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
         ordered = key[order]
-        new[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank, step = new, step * 2
-        if rank.max() == n - 1 or step > 2 * size.max():
-            return np.argsort(rank, kind="stable")
+        ranks = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        if ranks[-1] == n - 1 or step > 2 * size.max():
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = ranks
+        ahead = local + step
+        ahead = base + np.where(ahead < width, ahead, ahead % width)
+        key, step = rank * (ranks[-1] + 1) + rank[ahead], step * 2
 
 
 def repeated_starts(strings: list[bytes], length: int, shard_bytes: int = 1 << 18) -> list[np.ndarray]:
