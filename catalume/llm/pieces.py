@@ -256,10 +256,20 @@ def _known(ids: Iterable[int], v: Vocabulary) -> bytes:
     return np.array(out, np.int32).tobytes()
 
 
+def _packed(lists: pa.ListArray, v: Vocabulary) -> list[bytes]:
+    """``_known`` of every list, by slices of their flat values where all are pieces."""
+    ends = np.asarray(lists.offsets)
+    flat = lists.values.to_numpy()[ends[0] : ends[-1]].astype(np.int32)
+    if len(flat) and flat.min() < 0:
+        return [_known(i, v) for i in lists.to_pylist()]
+    body, at = flat.tobytes(), ((ends - ends[0]) * 4).tolist()
+    return [body[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 class _Book(dict):
     """Packed ids by key; keys of hot units only stay, up to ``room``, others last for a chunk."""
 
-    def __init__(self, v: Vocabulary, hot: dict[str, bytes], room: int = 300_000) -> None:
+    def __init__(self, v: Vocabulary, hot: dict[str, bytes], room: int = 400_000) -> None:
         super().__init__()
         self.v, self.hot, self.room = v, hot, room
         self.cold: dict[str, bytes] = {}
@@ -334,7 +344,7 @@ def _cold_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, hot: dict[str,
             at = end
             if cold:
                 of[w] = cold
-            elif len(usual) < 300_000:
+            elif len(usual) < 500_000:
                 usual.add(w)
         for chunk, words in odd.items():
             out = list({u for w in words if w in of for u in of[w]})
@@ -361,8 +371,8 @@ def _assemble(batches: Iterator[pa.RecordBatch], v: Vocabulary, hot: dict[str, b
                 chunk = chunks[lo]
                 book.turn()
             if not is_text[lo]:
-                names, ids = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (3, 4))
-                book.cold.update((u, _known(i, v)) for u, i in zip(names, ids, strict=True))
+                names, ids = (batch.column(c).slice(lo, hi - lo) for c in (3, 4))
+                book.cold.update(zip(names.to_pylist(), _packed(ids, v), strict=True))
                 continue
             packed, doc_ids, at = batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), 0
             while at < len(packed):
@@ -416,7 +426,7 @@ def hot_units(found: DataFrame, solved: DataFrame, hot: int, longest: int = 64)
     return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = 131_072, chunk_bytes: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = 262_144, chunk_bytes: int = 16 << 20) -> DataFrame:
     """``(doc_id, ids, score, decoded_sha256, round_trip)`` of every row.
 
     Piece ids, their total score, the hash of what the ids decode to, and whether that is
