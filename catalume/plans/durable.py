@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write to the session's shared checkpoint folder and read back; a temporary folder where none is set."""
+    """Write to the session's shared checkpoint folder, ``spark.checkpoint.dir``, and read back (a temporary folder in a local session without one)."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="catalume-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
