@@ -16,7 +16,7 @@ _TABLES: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """Code point to its lower-case letter, or to a space where it is no letter; beyond the table letters stay."""
+    """Code point below 2**16 to its lower-case letter, or to a space where it is no letter."""
     if not _TABLES:
         table = np.full(1 << 16, 32, U32)
         for i in [*range(0xD800), *range(0xE000, 1 << 16)]:
@@ -35,8 +35,15 @@ def codes(data: np.ndarray, ofs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def folded(points: np.ndarray) -> np.ndarray:
+    """Lower-case letters, and spaces in place of all else, in the whole range of Unicode."""
     table = letters()
-    return np.where(points < len(table), table[np.minimum(points, len(table) - 1)], points)
+    out = table[np.minimum(points, len(table) - 1)]
+    high = points >= len(table)
+    if high.any():  # a block has few distinct ones
+        found, at = np.unique(points[high], return_inverse=True)
+        low = [chr(c).lower() if chr(c).isalpha() else " " for c in found.tolist()]
+        out[high] = np.array([ord(c) if len(c) == 1 else int(p) for c, p in zip(low, found, strict=True)], U32)[at]
+    return out
 
 
 def grams(points: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -57,11 +64,19 @@ def row_blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[p
             yield batch.slice(lo, hi - lo), data[ofs[lo] : ofs[hi]], ofs[lo : hi + 1] - ofs[lo]
 
 
+def agreed(labels: DataFrame, label: str) -> DataFrame:
+    """``(doc_id, label)`` once per doc_id; a doc_id whose labels contradict each other teaches nothing."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    both = known.groupBy("doc_id").agg(F.min(label).cast("int").alias(label), F.max(label).cast("int").alias("_most"))
+    return both.where(F.col(label) == F.col("_most")).drop("_most")
+
+
 def bounded_sample(rows: DataFrame, label: str, key: str, bound: int) -> DataFrame:
     """About ``bound`` rows at most, shared evenly by the labels, chosen by a hash of ``key``.
 
-    The choice doesn't depend on partitions or order, so reruns agree. The label set is
-    collected; it must be small, as it is for a classifier.
+    The choice doesn't depend on partitions or order, so reruns agree; rows without a key are
+    drawn by all their columns. The label set is collected; it must be small, as it is for a
+    classifier.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     share, left = {}, bound
@@ -73,7 +88,8 @@ def bounded_sample(rows: DataFrame, label: str, key: str, bound: int) -> DataFra
     rate = F.lit(0.0)
     for name, part in share.items():
         rate = F.when(F.col(label) == F.lit(name), F.lit(part)).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    name = F.coalesce(F.col(key).cast("string"), F.xxhash64(*rows.columns).cast("string"))
+    draw = F.pmod(F.xxhash64(name, F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return rows.where(draw < rate)
 
 

@@ -114,12 +114,15 @@ def svd(x: np.ndarray, rank: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model | None:
-    """Fit on ``labels(doc_id, label)`` and the texts they name; corpus statistics cover all ``docs``."""
+    """Fit on ``labels(doc_id, label)`` and the texts they name; corpus statistics cover all ``docs``.
+
+    A doc_id with labels of both kinds teaches nothing.
+    """
 
     def present(data: np.ndarray, ofs: np.ndarray) -> np.ndarray:
         return sum((np.count_nonzero(_counts(data[ofs[a] : ofs[b]], ofs[a : b + 1] - ofs[a], p), axis=0) for a, b in _blocks(ofs)), np.zeros(p.size, np.int64))
 
-    labels = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
+    labels = X.agreed(labels, "label")
     total = labels.count()
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1_000_003))
     chosen = labels.where(draw < p.sample / max(total, p.sample) * 1_000_003)  # at most about ``sample`` rows
@@ -145,12 +148,26 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model | N
     return Model(idf, *pickle.loads(got[0])) if got else None
 
 
+def vote(x: np.ndarray, m: Model, k: int) -> np.ndarray:
+    """Weighted share of label 1 among the k nearest vectors of each row; labelled vectors come in order of doc_id."""
+    best = np.zeros((len(x), 0), np.int64)  # distance in 1e-5, then place: no two are equal
+    for lo in range(0, len(m.labels), 1024):
+        cos = np.rint((x @ m.vectors[lo : lo + 1024].T).astype(np.float64) * 1e5).astype(np.int64)
+        best = np.concatenate([best, (200_000 - cos) << 24 | np.arange(lo, lo + cos.shape[1])], 1)
+        if best.shape[1] > k:
+            best = np.partition(best, k - 1, axis=1)[:, :k]
+    best = np.sort(best, axis=1)  # so sums don't depend on blocks
+    near, label = (200_000 - (best >> 24)) / 1e5, m.labels[best & (1 << 24) - 1]
+    weight = np.maximum(near, 0.0) ** 4 + 1e-6
+    return (weight * label).sum(1) / weight.sum(1)
+
+
 def score(docs: DataFrame, model: Model | None, p: Params = Params()) -> DataFrame:
     """``(doc_id, score)``: the similarity-weighted share of label 1 among the nearest labelled texts.
 
-    Null texts count as empty. Without any labelled text every score is 0.5. Extra columns
-    are ignored; equal texts get equal scores; ties between neighbours go to the smaller
-    doc_id.
+    A neighbour's vote weighs the fourth power of its cosine. Null texts count as empty. Without
+    any labelled text every score is 0.5. Extra columns are ignored; equal texts get equal
+    scores; ties between neighbours (cosines to five places) go to the smaller doc_id.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -162,17 +179,7 @@ def score(docs: DataFrame, model: Model | None, p: Params = Params()) -> DataFra
                 if m is not None:
                     x = _unit(_vectors(_counts(data[ofs[a] : ofs[b]], ofs[a : b + 1] - ofs[a], p), m.idf, p) @ m.basis)
                     k = min(p.neighbours, len(m.labels))
-                    near = np.zeros((b - a, 0), np.float32)
-                    label = np.zeros((b - a, 0), np.float32)
-                    for lo in range(0, len(m.labels), 1024):
-                        cos = np.round(x @ m.vectors[lo : lo + 1024].T, 5)
-                        near = np.concatenate([near, cos], 1)
-                        label = np.concatenate([label, np.broadcast_to(m.labels[lo : lo + 1024], cos.shape)], 1)
-                        if near.shape[1] > k:
-                            top = np.argpartition(-near, k - 1, axis=1)[:, :k] if near.shape[1] > 4 * k else np.argsort(-near, axis=1, kind="stable")[:, :k]
-                            near, label = np.take_along_axis(near, top, 1), np.take_along_axis(label, top, 1)
-                    weight = np.maximum(near, 0.0).astype(np.float64) ** 4 + 1e-6
-                    out = (weight * label).sum(1) / weight.sum(1)
+                    out = vote(x, m, k)
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(np.clip(out, 0, 1))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, score double")
@@ -180,6 +187,6 @@ def score(docs: DataFrame, model: Model | None, p: Params = Params()) -> DataFra
 
 def quality(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """Learn ``labels.quality`` on all folds of five but number 0 and score every document."""
-    known = labels.where(fold("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label")).dropDuplicates(["doc_id"])
+    known = labels.where(fold("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
     out = score(docs, train(docs, known, p), p)
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

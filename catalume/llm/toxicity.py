@@ -95,9 +95,11 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, size: int, p: Params) -> tupl
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model | None:
-    """Fit on ``labels(doc_id, toxic)`` and the texts they name; None without both kinds."""
-    labels = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    chosen = X.bounded_sample(labels, "toxic", "doc_id", p.sample)
+    """Fit on ``labels(doc_id, toxic)`` and the texts they name; None without both kinds.
+
+    A doc_id with labels of both kinds teaches nothing.
+    """
+    chosen = X.bounded_sample(X.agreed(labels, "toxic"), "toxic", "doc_id", p.sample)
     taught = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     bits = p.bits
 

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from catalume.llm import bwt, fingerprint, htmltext, langid, minhash, mixing, pieces, quality, suffixdedup, topk, toxicity
+from catalume.llm import bwt, features, fingerprint, htmltext, langid, minhash, mixing, pieces, quality, suffixdedup, topk, toxicity
 from catalume.llm.queries import PIECES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size long, a long, sig string, chunk int, label int"
@@ -144,11 +144,11 @@ def test_language_id(spark, empty):
     rng = random.Random(4)
     alphabets = {"en": "the and thing ", "de": "und schön über ", "fr": "été être où "}
     rows = [(i, "".join(rng.choice(alphabets[l].split()) + " " for _ in range(30)), l, "s") for i in range(200) for l in [rng.choice(sorted(alphabets))]]
-    rows += [(900, None, "en", "s"), (901, "12 34 !!", "de", "s"), (902, "", None, "s"), (903, "und über " * 3000, None, None)]
+    rows += [(900, None, "en", "s"), (901, "12 34 !!", "de", "s"), (902, "", None, "s"), (903, "und über " * 3000, None, None), (904, "\U0001f600\U0001f680 \U0001f600", "de", "s")]
     out = {r["doc_id"]: r for r in langid.language_id(make(spark, rows)).collect()}
     assert len(out) == len(rows)
     assert all(out[i]["lang_pred"] == l for i, t, l, _ in rows[:200])
-    assert [out[i]["lang_pred"] for i in (900, 901, 902, 903)] == ["und", "und", "und", "de"]
+    assert [out[i]["lang_pred"] for i in (900, 901, 902, 903, 904)] == ["und", "und", "und", "de", "und"]
     assert all(0 <= r["score"] <= 1 for r in out.values())
     assert langid.language_id(empty).collect() == []
     unlearned = langid.language_id(make(spark, [(1, "text", None, None)])).collect()
@@ -195,7 +195,7 @@ def test_rounding_keeps_words_and_means():
     z = np.array([50.0, 20, 20, 10, 5, 1])
     got = np.zeros(6)
     for seed in range(3000):
-        p, held = mixing.pivotal(np.full(6, 0.3), z, np.random.default_rng(seed).random(6))
+        p, held = mixing.pivotal(np.full(6, 0.3), z, np.random.default_rng(seed).random(12))
         assert p @ z == pytest.approx(0.3 * z.sum()) and all(x in (0, 1) for k, x in enumerate(p) if k != held)
         got += p
     assert got / 3000 == pytest.approx(np.full(6, 0.3), abs=0.04)
@@ -234,6 +234,9 @@ def test_fingerprints(spark, odd, empty):
     got = [tuple(r) for r in fingerprint.with_neighbours(docs, rows_per_part=3).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert fingerprint.with_neighbours(empty).collect() == []
+    large = (1 << 60) + 1  # beside a null id
+    both = fingerprint.with_neighbours(make(spark, [(None, "a", None, None), (large, "b", None, None)])).collect()
+    assert {r["doc_id"] for r in both} == {None, large}
     one = fingerprint.with_neighbours(docs.where("doc_id = 1")).first()
     assert one["near_next"] == 1.0
 
@@ -255,6 +258,23 @@ def test_quality(spark, empty):
     assert quality.quality(make(spark, rows[:1]), lab.limit(0)).first()["score"] == 0.5
 
 
+def test_votes_of_ties_and_conflicting_labels(spark):
+    rng = np.random.default_rng(3)
+    held = rng.integers(-2, 3, (3000, 4)).astype(np.float32)  # many equal cosines
+    held /= np.maximum(np.linalg.norm(held, axis=1, keepdims=True), 1e-9)
+    m = quality.Model(None, None, held, rng.integers(0, 2, 3000).astype(np.float32))
+    x = held[:50]
+    for k in (1, 7, 40, 2500):
+        got = quality.vote(x, m, k)
+        for row, g in zip(x, got, strict=True):
+            cos = np.rint((row @ held.T).astype(np.float64) * 1e5) / 1e5
+            best = sorted(range(3000), key=lambda j: (-cos[j], j))[:k]
+            w = [max(cos[j], 0) ** 4 + 1e-6 for j in best]
+            assert g == pytest.approx(sum(a * m.labels[j] for a, j in zip(w, best)) / sum(w), abs=1e-9)
+    lab = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (None, 1), (3, None)], "doc_id long, label int")
+    assert [tuple(r) for r in features.agreed(lab, "label").collect()] == [(2, 1)]
+
+
 def brute_viterbi(unit, v):
     """Path and score of one marked text: ties at a position go to the longer last piece."""
     table = {p: (i, s) for i, (p, s, n) in enumerate(zip(v.pieces, v.scores, v.normal, strict=True)) if n}
