@@ -12,7 +12,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +84,12 @@ def _row(doc_id: int | None, text: bytes, following: bytes, prints: dict[bytes,
     return doc_id, _points(text), hashlib.sha256(new).hexdigest(), a.hex(), b.hex(), likeness(a, b), likeness(a, c)
 
 
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as they are: ids stay whole numbers beside nulls."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint)`` alone, without any shuffle; null texts count as empty."""
 
@@ -96,7 +101,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, fingerprint string")
 
 
-def with_neighbours(docs: DataFrame, rows_per_part: int = 20000) -> DataFrame:
+def with_neighbours(docs: DataFrame, rows_per_part: int = 20000, part_bytes: int = 32 << 20) -> DataFrame:
     """Fingerprints of every document and of its text edited with the next document's start.
 
     Documents follow each other by ascending doc_id (nulls first, ties by text), the last
@@ -106,8 +111,8 @@ def with_neighbours(docs: DataFrame, rows_per_part: int = 20000) -> DataFrame:
     empty table gives an empty result; extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    ids = docs.select("doc_id")
-    parts = max(1, -(-ids.count() // rows_per_part), docs.sparkSession.sparkContext.defaultParallelism)
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-n // rows_per_part), -(-size // part_bytes), docs.sparkSession.sparkContext.defaultParallelism)
     laid = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +132,7 @@ def with_neighbours(docs: DataFrame, rows_per_part: int = 20000) -> DataFrame:
             yield _batch([], [(part, 0, *first), (part, 1, *last)])
 
     def _batch(out: list[tuple], marks: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pandas(pd.DataFrame([(*r, None, None, None) for r in out] + [(m[2], None, None, None, None, None, None, m[0], m[1], m[3]) for m in marks], columns=_COLS), schema=_SCHEMA, preserve_index=False)
+        return _rows([(*r, None, None, None) for r in out] + [(m[2], *[None] * 6, m[0], m[1], m[3]) for m in marks], _SCHEMA)
 
     from .session import durable
 
@@ -142,7 +147,7 @@ def with_neighbours(docs: DataFrame, rows_per_part: int = 20000) -> DataFrame:
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_row(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=_COLS[:7]), schema=pa.schema(list(_SCHEMA)[:7]), preserve_index=False)
+            yield _rows(rows, pa.schema(list(_SCHEMA)[:7]))
 
     closing = lasts.join(firsts, "next_part").select("doc_id", "text", "following").mapInArrow(rest, _OUT)
     return both.where("mark is null").select(*_COLS[:7]).union(closing)
