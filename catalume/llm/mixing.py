@@ -76,11 +76,12 @@ def pivotal(p: np.ndarray, z: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray
 
     Rows come by descending size. The larger half is rounded pair by pair; the one that is
     left then deals with all smaller ones together, whose probabilities shift alike, and
-    the smaller half goes on in the same way. So what stays open at last is small.
+    the smaller half goes on in the same way. So what stays open at last is small. Row i's
+    pair draws number i, and the groups draw the numbers after the rows': no number twice.
     """
     p = np.array([_snap(x) for x in p])
     live = [i for i in range(len(p)) if 0 < p[i] < 1]
-    held, at = -1, 0
+    held, at, halves = -1, 0, 0
     while at < len(live):
         end = at + max(1, (len(live) - at) // 2)
         for i in live[at:end]:
@@ -94,7 +95,8 @@ def pivotal(p: np.ndarray, z: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray
         if held >= 0 and rest:
             words = sum(z[i] for i in rest)
             mean = sum(p[i] * z[i] for i in rest) / words
-            p[held], shifted = _move(p[held], z[held], mean, words, draws[held] * 7919 % 1)
+            p[held], shifted = _move(p[held], z[held], mean, words, draws[len(p) + halves])
+            halves += 1
             for i in rest:  # towards 0 or towards 1, in proportion
                 p[i] = _snap(p[i] * shifted / mean if shifted <= mean else 1 - (1 - p[i]) * (1 - shifted) / (1 - mean))
             if not 0 < p[held] < 1:
@@ -107,7 +109,7 @@ def _draws(key: tuple, n: int) -> np.ndarray:
     return np.random.default_rng(xxhash.xxh64_intdigest(repr(key))).random(n)
 
 
-def mix(docs: DataFrame, chunk_rows: int = 20000, fan: int = 64, key: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, chunk_rows: int = 2000, fan: int = 64, key: str | None = None) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` of every row.
 
     Reruns agree: chunks follow a hash of doc_id and all draws follow the chunk. Rows of
@@ -133,7 +135,7 @@ def mix(docs: DataFrame, chunk_rows: int = 20000, fan: int = 64, key: str | None
         ratio = f["target"].iloc[0] / max(int(f["source_size"].iloc[0]), 1)
         whole = int(np.floor(ratio + _EPS))
         p = np.where(z > 0, max(ratio - whole, 0.0), 0.0)
-        got, held = pivotal(p, z, _draws((*map(int, key), 0), len(z)))
+        got, held = pivotal(p, z, _draws((*map(int, key), 0), 2 * len(z)))
         f["copies"] = np.where(z > 0, whole + np.floor(got), 0).astype(np.int64)
         f["open"] = np.where(np.arange(len(z)) == held, got, np.nan)
         return f[["doc_id", "source", "rank", "chunk", "size", "source_size", "target", "copies", "open", "row_key"]]
@@ -144,7 +146,7 @@ def mix(docs: DataFrame, chunk_rows: int = 20000, fan: int = 64, key: str | None
     def meet(level: int, last: bool):
         def of(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
             f = f.sort_values(["size", "chunk"], ascending=[False, True]).reset_index(drop=True)
-            draws = _draws((*map(int, key), level), len(f) + 1)
+            draws = _draws((*map(int, key), level), 2 * len(f) + 1)
             got, held = pivotal(f["p"].to_numpy(), f["size"].to_numpy(np.float64), draws)
             if last and held >= 0:
                 got[held], held = float(draws[-1] < got[held]), -1
