@@ -3,10 +3,14 @@
 The standard library's parser is fed the page in pieces. Its events make lines: a block tag
 ends the line at hand. Each line has a ratio of text characters to tags; the ratios are
 smoothed by a Gaussian kernel and split into two clusters by an iterated mean threshold.
-Lines above it are seeds. The content regions are the containers that hold the seeds: the
-innermost ``article`` or ``main`` around them, or without one the run of lines from the first
-to the last seed. Lines that the markup itself names as something else (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) never count.
+Lines above it are seeds, and where the page has no containers, all else follows from them. The
+content regions are first what HTML itself defines as such, every ``article`` and every ``main``
+without one, kept as a whole however short; of what a ``main`` has around its articles the headings
+and the lines above the threshold count, smoothed or by themselves. Without containers the
+regions are the run of lines from the first to the last seed and the other lines of the seeds'
+parent elements. Lines that
+the markup itself names as something else (menus, headers, footers, sidebars, notices,
+adverts, forms, comments) never count: by their element, or by the last word of a class, id or role.
 """
 
 from __future__ import annotations
@@ -27,29 +31,55 @@ ASIDE = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class, id or role that name a part beside the article.
 PARTS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline-links comment comments consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+#: First words that say what a wrapper has or lacks, not what it is.
+ABOUT = ("has-", "with-", "no-", "without-", "is-", "not-")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that name a page's head or an article's own head alike.
+_HEAD = frozenset("header banner masthead".split())
 _WORD = re.compile(r"[a-z]+")
 _FEED = 1 << 16
 
 
+def _names(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """What an element calls itself: the last word of each class, id and role."""
+    out = set()
+    for k, v in attrs:
+        if v and k in ("class", "id", "role"):
+            for token in v.lower().split():
+                words = _WORD.findall(token)
+                if words and not token.startswith(ABOUT):
+                    out.add(words[-1])
+    return out
+
+
 class _Lines(HTMLParser):
-    """Collects lines as [text parts, tags, region, excluded]."""
+    """Collects lines as (text, tags, region, excluded, heading, parent element)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, hidden, beside the article, region
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.open: list[tuple[str, bool, bool, int, int]] = []  # tag, hidden, beside the article, region, number
+        self.lines: list[tuple[str, int, int, bool, bool, int]] = []
+        self.around: list[int] = [0]  # the region that each region lies in
+        self.seen = 0
         self.text: list[str] = []
         self.tags = 0
         self.regions = 0
 
     def _state(self) -> tuple[bool, bool, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0)
+        return self.open[-1][1:4] if self.open else (False, False, 0)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         _, beside, region = self._state()
         if text or self.tags:
-            self.lines.append((text, self.tags, region, beside))
+            blocks = []
+            for tag, *_, number in reversed(self.open):  # the line's block and its parent
+                if tag in BLOCKS or tag in ("body", "html"):
+                    blocks.append((tag, number))
+                    if len(blocks) == 2:
+                        break
+            heading = bool(blocks) and blocks[0][0] in HEADINGS
+            self.lines.append((text, self.tags, region, beside, heading, blocks[-1][1] if blocks else 0))
         self.text, self.tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -63,14 +93,19 @@ class _Lines(HTMLParser):
             return
         hidden, beside, region = self._state()
         hidden = hidden or tag in HIDDEN or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        names = {w for k, v in attrs if k in ("class", "id", "role") and v for w in _WORD.findall(v.lower())}
+        names = _names(attrs)
+        self.seen += 1
         if tag in ("article", "main") and not beside:
             beside = bool(names & {"comment", "comments", "reply", "replies"})
-            self.regions += not beside
-            region = region if beside else self.regions
-        elif tag in ASIDE or tag == "header" and region == 0 or tag not in ("html", "body") and names & PARTS:
+            if not beside:
+                self.regions += 1
+                self.around.append(region)
+                region = self.regions
+        elif tag in ASIDE or tag == "header" and region == 0:
             beside = True
-        self.open.append((tag, hidden, beside, region))
+        elif tag not in ("html", "body"):
+            beside = beside or bool(names & (PARTS if region == 0 else PARTS - _HEAD))
+        self.open.append((tag, hidden, beside, region, self.seen))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -137,29 +172,33 @@ def main_text(html: str) -> str:
     parser.close()
     parser.flush()
     lines = parser.lines
-    usable = np.array([bool(t) and not beside for t, _, _, beside in lines], bool)
+    usable = np.array([bool(x[0]) and not x[3] for x in lines], bool)
     if not usable.any():
         return ""
-    ratio = np.array([0.0 if beside else len(t) / max(tags, 1) for t, tags, _, beside in lines])
-    region = np.array([r for _, _, r, _ in lines])
+    ratio = np.array([0.0 if x[3] else len(x[0]) / max(x[1], 1) for x in lines])
+    region = np.array([x[2] for x in lines])
+    heading = np.array([x[4] for x in lines], bool)
+    parent = np.array([x[5] for x in lines])
     level = smooth(ratio)
-    seed = usable & (level > threshold(level))
+    least = threshold(level)
+    seed = usable & (level > least)
     if not seed.any():
         seed = usable & (ratio >= ratio[usable].max())
-    weight: dict[int, int] = {}
-    for i in np.flatnonzero(seed):
-        weight[region[i]] = weight.get(region[i], 0) + len(lines[i][0])
-    named = {r for r in weight if r}
+    dense = seed | usable & (ratio > least)
+    named = set(region[usable].tolist()) - {0}
     if named:
-        most = max(weight[r] for r in named)
-        chosen = usable & np.isin(region, [r for r in named if 2 * weight[r] >= most])
+        chosen = usable & np.isin(region, list(named))
+        for r in {parser.around[r] for r in named} & named:  # around articles a container keeps headings and dense lines
+            own = usable & (region == r)
+            chosen[own] = heading[own] | dense[own]
     else:
         at = np.flatnonzero(seed)
-        chosen = usable.copy()
-        chosen[: at[0]] = chosen[at[-1] + 1 :] = False
-        for i in range(at[0] - 1, -1, -1):  # a heading right above the first seed belongs to it
+        chosen = usable & np.isin(parent, parent[seed])
+        chosen[at[0] : at[-1] + 1] |= usable[at[0] : at[-1] + 1]
+        first = np.flatnonzero(chosen)[0]
+        for i in range(first - 1, -1, -1):  # a heading right above belongs to it
             if usable[i]:
-                chosen[i] = lines[i][1] <= 2
+                chosen[i] = lines[i][1] <= 2 and (heading[i] or first == at[0])
                 break
     return "\n".join(lines[i][0] for i in np.flatnonzero(chosen))
 

@@ -165,6 +165,25 @@ def test_html():
     assert htmltext.main_text(plain).endswith(("word " * 50).strip() + "\n" + ("other " * 40).strip())
 
 
+LONG = "A sentence of running text that is long enough to stand above the threshold of its page. " * 4
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<nav><a>m</a></nav><main><h1>Title outside</h1><article><p>{LONG}</p><p>End.</p></article></main>", ["Title outside", LONG.strip(), "End."]),
+        (f"<article><p>{LONG}</p></article><article><p>A second and shorter article of one line of text.</p></article>", [LONG.strip(), "A second and shorter article of one line of text."]),
+        (f'<article><p>{LONG}</p><p class="ad-hoc">Kept one.</p><p id="share-price">Kept two.</p><div class="article-header"><h2>Kept head</h2></div></article>', [LONG.strip(), "Kept one.", "Kept two.", "Kept head"]),
+        (f"<nav><a>x</a></nav><div><h2>Head</h2><p>{LONG}</p><p>{LONG}</p><p>Short last.</p></div><footer>f</footer>", ["Head", LONG.strip(), LONG.strip(), "Short last."]),
+        (f'<div class="content-sidebar-wrap has-sidebar"><article><p>{LONG}</p></article><div class="sidebar">Side</div></div>', [LONG.strip()]),
+        (f'<article><header><h1>Own head</h1></header><p>{LONG}</p><div class="comments"><p>{LONG}</p></div><aside>x</aside><form>y</form></article>', ["Own head", LONG.strip()]),
+        ("<p>" * 3000 + "<b>" * 3000 + LONG, [LONG.strip()]),
+    ],
+)
+def test_html_loses_no_article_text(page, want):
+    assert htmltext.main_text(page).split("\n") == want
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<p>Some words of text here</p>", "x"), (2, None, "<p>Some words of text here</p>", "x")], "page_id long, url string, html string, text string")
     got = sorted(map(tuple, htmltext.extract(df).collect()), key=str)
