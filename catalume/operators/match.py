@@ -20,19 +20,37 @@ def match_downloads(source: DataFrame, downloads: DataFrame) -> DataFrame:
     """``(path, dl_path, matched_by)``.
 
     First pass: same series, season and episode; the download of nearest size (first path on
-    a tie) is picked, and rejected if both groups are known and their first words differ.
+    a tie) is picked, and rejected if both groups are known and their first words differ. Rows
+    without a size have no nearest one.
     Second pass: still unmatched rows outside season 0 take the first download of equal size
     and equal group word.
     """
     s = source.select(*EPISODE, "path", "size", group_word(F.col("release_group")).alias("g"))
     d = downloads.select(*EPISODE, F.col("path").alias("dl_path"), F.col("size").alias("dl_size"), group_word(F.col("release_group")).alias("dg"))
-    near = s.join(d, EPISODE).groupBy("path", "g").agg(F.min(F.struct(F.abs(F.col("size") - F.col("dl_size")).alias("gap"), "dl_path", "dg")).alias("pick"))
+    near = _nearest(s, d).groupBy("path", "g").agg(F.min("pick").alias("pick"))
     one = near.where("g is null or pick.dg is null or g = pick.dg").select("path", F.col("pick.dl_path").alias("dl_path"), F.lit("episode").alias("matched_by"))
     rest = s.where("season <> 0").join(one.select("path"), "path", "left_anti")
-    two = rest.join(d.select("dl_path", F.col("dl_size").alias("size"), F.col("dg").alias("g")), ["size", "g"]).groupBy("path").agg(F.min("dl_path").alias("dl_path")).withColumn("matched_by", F.lit("size"))
+    first = d.groupBy(F.col("dl_size").alias("size"), F.col("dg").alias("g")).agg(F.min("dl_path").alias("dl_path"))
+    two = rest.join(first, ["size", "g"]).groupBy("path").agg(F.min("dl_path").alias("dl_path")).withColumn("matched_by", F.lit("size"))
     return one.unionByName(two)
 
 
+def _nearest(s: DataFrame, d: DataFrame) -> DataFrame:
+    """``(path, g, pick)`` of ``s`` rows: the download of nearest size of their episode, by a sweep in order of size.
+
+    No pairs are made: both sides are sorted together, and each source row looks at the last
+    download up to its size and at the next one from there on (equal sizes: downloads first).
+    """
+    one = d.where("dl_size is not null").groupBy(*EPISODE, F.col("dl_size").alias("size")).agg(F.min(F.struct("dl_path", "dg")).alias("dl"))
+    one = one.withColumn("dl", F.struct("size", "dl.dl_path", "dl.dg"))
+    both = s.where("size is not null").select(*EPISODE, "size", "path", "g").unionByName(one, allowMissingColumns=True)
+    key = Window.partitionBy(*EPISODE)
+    seen = lambda order: F.last("dl", ignorenulls=True).over(key.orderBy(order, F.col("dl").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("below", seen(F.asc("size"))).withColumn("above", seen(F.desc("size"))).where("dl is null")
+    pick = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("size") - F.col(f"{c}.size")).alias("gap"), F.col(f"{c}.dl_path"), F.col(f"{c}.dg")))
+    return both.select("path", "g", F.least(pick("below"), pick("above")).alias("pick")).where("pick is not null")
+
+
 def enrich(source: DataFrame, matches: DataFrame, downloads: DataFrame, overwrite: list[str], flags: list[str], fill: list[str]) -> DataFrame:
     """Values of the matched download overwrite, flags are or-ed, ``fill`` columns only fill gaps."""
     d = downloads.select(F.col("path").alias("dl_path"), *[F.col(c).alias(f"_{c}") for c in [*overwrite, *flags, *fill]])
@@ -116,10 +134,20 @@ def existing_dir(titles: DataFrame, dirs: DataFrame) -> DataFrame:
 
 
 def size_twins(plan: DataFrame, library: DataFrame) -> DataFrame:
-    """Plan entries whose size a library file has: beside the destination a conflict, elsewhere a skip."""
-    lib = library.where("size > 0").select("size", F.col("dir").alias("lib_dir"), F.col("filename").alias("lib_name"))
-    hit = plan.join(lib, "size").withColumn("beside", F.col("dest_dir") == F.col("lib_dir")).where("not (beside and dest_name = lib_name)")
-    best = hit.groupBy("source").agg(F.min(F.struct((~F.col("beside")).alias("far"), "lib_dir", "lib_name")).alias("m"))
+    """Plan entries whose size a library file has: beside the destination a conflict, elsewhere a skip.
+
+    Per size and directory two names are enough (one of them isn't the entry's own), and per size
+    two directories, so a size that many files share makes no pairs. Files without a directory
+    or name are left out.
+    """
+    lib = library.where("size > 0 and dir is not null and filename is not null")
+    lib = lib.select("size", F.col("dir").alias("lib_dir"), F.col("filename").alias("lib_name")).distinct()
+    names = lib.withColumn("_n", F.row_number().over(Window.partitionBy("size", "lib_dir").orderBy("lib_name"))).where("_n <= 2")
+    dirs = names.where("_n = 1").withColumn("_d", F.row_number().over(Window.partitionBy("size").orderBy("lib_dir"))).where("_d <= 2")
+    near = plan.join(names.withColumn("dest_dir", F.col("lib_dir")), ["size", "dest_dir"]).where("dest_name <> lib_name")
+    far = plan.join(dirs, "size").where("dest_dir <> lib_dir")
+    wanted = lambda hit, away: hit.select("source", F.struct(F.lit(away).alias("far"), "lib_dir", "lib_name").alias("m"))
+    best = wanted(near, False).union(wanted(far, True)).groupBy("source").agg(F.min("m").alias("m"))
     return best.select("source", F.when(F.col("m.far"), "skip").otherwise("conflict").alias("action"), F.concat_ws("/", "m.lib_dir", "m.lib_name").alias("twin"))
 
 

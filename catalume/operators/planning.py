@@ -176,7 +176,6 @@ def drop_foreign(files: DataFrame, domains: DataFrame, own: str) -> DataFrame:
     """
     j = files.join(domains, "title", "left").withColumn("foreign", F.coalesce(F.col("domain") != own, F.lit(False)))
     dirs = F.max("foreign").over(Window.partitionBy("torrent_dir"))
-    group = F.min(dirs).over(Window.partitionBy("group_key"))
     return j.withColumn("_d", dirs).withColumn("_g", F.min("_d").over(Window.partitionBy("group_key"))).where("not foreign and not _g").drop("foreign", "domain", "_d", "_g")
 
 

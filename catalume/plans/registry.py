@@ -53,7 +53,7 @@ _BASE = "file_id, dir_id, scan_id, root_path, dir, filename, size, ctime, mtime,
 _files = lambda df: df.select(*_BASE.split(", "))
 
 _add("j1_catalog", lambda t: _files(t.files), f"SELECT {_BASE} FROM {{v_catalog}}")
-_add("f2_find_regex", lambda t: _files(C.find(t.files, r"order_\d*7\.(?:flac|mkv)$")), f"SELECT {_BASE} FROM {{v_catalog}} WHERE regexp_matches(full_path, 'order_[0-9]*7\\.(flac|mkv)$')")
+_add("f2_find_regex", lambda t: _files(C.find(t.files, r"order_\d*[48]\.(?:flac|mkv)$")), f"SELECT {_BASE} FROM {{v_catalog}} WHERE regexp_matches(full_path, 'order_[0-9]*[48]\\.(flac|mkv)$')")
 _add("f2_find_one_scan", lambda t: _files(C.find(t.files, "BUILDING", scan_id=2)), f"SELECT {_BASE} FROM {{v_catalog}} WHERE scan_id = 2 AND regexp_matches(full_path, 'BUILDING')")
 _add("f3_find_insensitive", lambda t: _files(C.find(t.files, r"building/.*\.mp3$", insensitive=True)), f"SELECT {_BASE} FROM {{v_catalog}} WHERE regexp_matches(full_path, 'building/.*\\.mp3$', 'i')")
 _add("f4_exclude_system", lambda t: _files(C.exclude_system(t.files)), f"SELECT {_BASE} FROM {{v_catalog}} WHERE NOT ({_SYS})")

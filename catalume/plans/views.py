@@ -47,7 +47,8 @@ VIEWS = {
   WHERE (p_partkey % 10 <> 0 OR CAST(substr(p_brand, 7) AS INT) % 5 = 0) AND p_brand <> 'Brand#9'
   UNION ALL SELECT 'B', p_brand || CASE WHEN CAST(substr(p_brand, 7) AS INT) % 2 = 0 THEN ' Collection' ELSE '' END, p_partkey FROM {part}
   WHERE (p_partkey % 10 <> 1 OR CAST(substr(p_brand, 7) AS INT) % 5 = 0) AND p_brand <> 'Brand#7'""",
-    "v_titles": "SELECT CAST(l_orderkey AS BIGINT) AS series_id, 't' || CAST(l_partkey AS VARCHAR(20)) AS title FROM {lineitem} WHERE l_orderkey % 100 = 0",
+    "v_titles": """SELECT CAST(l_orderkey AS BIGINT) AS series_id, 't' || CAST(l_partkey AS VARCHAR(20)) || '-' ||
+  CAST(CAST(l_quantity AS INT) AS VARCHAR(9)) || '-' || CAST(l_linenumber AS VARCHAR(9)) AS title FROM {lineitem}""",
     "v_catalog": """SELECT f.file_id, f.dir_id, d.scan_id, s.root_path, d.path AS dir, f.filename, f.size, f.ctime, f.mtime,
   s.root_path || CASE WHEN d.path = '' THEN '' ELSE '/' || d.path END || '/' || f.filename AS full_path
   FROM {v_files} f JOIN {v_dirs} d ON d.dir_id = f.dir_id JOIN {v_scans} s ON s.scan_id = d.scan_id""",
