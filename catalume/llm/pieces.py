@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import durable
+from .session import discard, durable
 
 MARK = "▁"
 _RUNS = re.compile(" +[^ ]*")
@@ -446,12 +446,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = 262_144, chunk_by
 
     seen = docs.select("text").mapInArrow(lambda b: _distinct_units(b, held.value), "unit string")
     found = durable(seen.groupBy("unit").agg(F.count("*").alias("n")))
-    solved = durable(solve(found.select("unit"), vocabulary, max(1, -(-found.count() // 40_000))))
+    parts = max(1, -(-found.count() // 40_000))
+    solved = durable(solve(found.select("unit"), vocabulary, parts).select("unit", "ids"))
     common = hot_units(found, solved, hot)
+    discard(found)
     shared = spark.sparkContext.broadcast({u: _known(i, vocabulary) for u, i in common.items()})
 
     asked = docs.select("text", chunk).mapInArrow(lambda b: _cold_units(b, held.value, shared.value), "chunk int, unit string")
-    rare = asked.distinct().join(solved.select("unit", "ids"), "unit")
+    # one exchange by unit serves both the removal of repeats and the join
+    rare = asked.repartition(parts, "unit").distinct().join(solved.repartition(parts, "unit"), "unit")
     rare = rare.select("chunk", F.lit(None).cast("binary").alias("packed"), F.lit(None).cast("long").alias("doc_id"), "unit", "ids")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,3 +45,11 @@ def durable(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(cleanup, was)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(cut: DataFrame) -> None:
+    """Delete the files of a ``durable`` table that nothing reads any more."""
+    jvm, conf = cut.sparkSession._jvm, cut.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in cut.inputFiles() if "/cut-" in f}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
