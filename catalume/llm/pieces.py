@@ -53,7 +53,7 @@ class Vocabulary:
     byte_ids: list[int]
     unknown: int = 0
     longest: int = field(init=False)
-    encoded: list[bytes] = field(init=False)
+    encoded: pa.Array = field(init=False)
 
     def __post_init__(self) -> None:
         usable = [p for p, n in zip(self.pieces, self.normal, strict=True) if n]
@@ -61,7 +61,8 @@ class Vocabulary:
         if self.longest >= 1 << _LEN or len(self.pieces) >= _UNKNOWN:
             raise ValueError("pieces of 64 characters or more, or over two million pieces, don't fit an edge")
         of_byte = {i: bytes([b]) for b, i in enumerate(self.byte_ids) if i >= 0}
-        self.encoded = [of_byte.get(i, p.encode()) for i, p in enumerate(self.pieces)]
+        plain = [of_byte.get(i, p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
+        self.encoded = pa.array(plain, pa.large_binary())
         pairs = {p[i : i + 2] for p in usable for i in range(len(p) - 1)}
         chars = sorted({c for p in pairs for c in p})
         self._class = np.zeros(0x110000, np.int16)  # characters that stand beside another in a piece
@@ -266,6 +267,18 @@ def _packed(lists: pa.ListArray, v: Vocabulary) -> list[bytes]:
     return [body[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+class _Hot:
+    """Packed ids of the broadcast units, and what a worker found with them: it stays for the worker's next tasks."""
+
+    def __init__(self, ids: dict[str, bytes]) -> None:
+        self.ids = ids
+        self.usual: set[str] = set()  # keys of hot units only
+        self.book: _Book | None = None
+
+    def __reduce__(self) -> tuple:
+        return _Hot, (self.ids,)
+
+
 class _Book(dict):
     """Packed ids by key; keys of hot units only stay, up to ``room``, others last for a chunk."""
 
@@ -278,7 +291,7 @@ class _Book(dict):
     def turn(self) -> None:
         """Start the next chunk."""
         for w in self.passing:
-            del self[w]
+            self.pop(w, None)
         self.cold, self.passing = {}, []
 
     def learn(self, lists: list[list[str]]) -> None:
@@ -326,9 +339,9 @@ def _distinct_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, limit: int
         yield pa.RecordBatch.from_arrays([pa.array(list(set(v.cut(list(words))[0])), pa.string())], ["unit"])
 
 
-def _cold_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, hot: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+def _cold_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, shared: _Hot) -> Iterator[pa.RecordBatch]:
     """Distinct ``(chunk, unit)`` of units that aren't hot."""
-    usual: set[str] = set()  # keys of hot units only
+    hot, usual = shared.ids, shared.usual
     for part, texts in _blocks(batches, 0, 8 << 20):
         odd: dict[int, set[str]] = {}
         for chunk, text in zip(part.column(1).to_pylist(), texts, strict=True):
@@ -356,9 +369,12 @@ def _cold_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, hot: dict[str,
 _OUT = "doc_id long, ids array<int>, score double, decoded_sha256 string, round_trip boolean"
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], v: Vocabulary, hot: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+def _assemble(batches: Iterator[pa.RecordBatch], v: Vocabulary, shared: _Hot) -> Iterator[pa.RecordBatch]:
     """Encoded rows of a partition whose rows come chunk by chunk, units before texts."""
-    book, charges, chunk = _Book(v, hot), v.charges(), None
+    shared.usual.clear()
+    if shared.book is None:
+        shared.book = _Book(v, shared.ids)
+    book, charges, chunk = shared.book, v.charges(), None
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         chunks = batch.column(0).to_numpy()
@@ -392,7 +408,7 @@ def _encoded(doc_ids: pa.Array, raw: list[bytes], book: _Book, charges: np.ndarr
     ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
     flat = np.frombuffer(b"".join(ids), np.int32)
     sums = np.concatenate([[0.0], np.cumsum(charges[flat])])
-    back = [_bytes_of(flat[a:b], book.v) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    back = _bytes_of(flat, ends, book.v)
     return pa.RecordBatch.from_arrays(
         [
             doc_ids,
@@ -450,7 +466,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = 262_144, chunk_by
     solved = durable(solve(found.select("unit"), vocabulary, parts).select("unit", "ids"))
     common = hot_units(found, solved, hot)
     discard(found)
-    shared = spark.sparkContext.broadcast({u: _known(i, vocabulary) for u, i in common.items()})
+    shared = spark.sparkContext.broadcast(_Hot({u: _known(i, vocabulary) for u, i in common.items()}))
 
     asked = docs.select("text", chunk).mapInArrow(lambda b: _cold_units(b, held.value, shared.value), "chunk int, unit string")
     # one exchange by unit serves both the removal of repeats and the join
@@ -469,15 +485,18 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = 262_144, chunk_by
     return laid.mapInArrow(lambda b: _assemble(b, held.value, shared.value), _OUT)
 
 
-def _bytes_of(ids: np.ndarray, v: Vocabulary) -> bytes:
-    """Bytes that piece ids stand for: marks to spaces, byte pieces to their bytes, the leading space dropped."""
-    out = b"".join(map(v.encoded.__getitem__, ids.tolist())).replace(MARK.encode(), b" ")
-    return out[1:] if out[:1] == b" " else out
+def _bytes_of(flat: np.ndarray, ends: np.ndarray, v: Vocabulary) -> list[bytes]:
+    """Bytes that the slices ``ends`` of piece ids stand for: marks to spaces, byte pieces to their bytes, a leading space dropped."""
+    told = v.encoded.take(pa.array(flat, pa.int32()))
+    body, at = told.buffers()[2], np.frombuffer(told.buffers()[1], np.int64, len(flat) + 1)
+    text = body.to_pybytes() if body else b""
+    cuts = at[ends].tolist()
+    return [text[a + 1 : b] if text[a:b].startswith(b" ") else text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def decode_ids(ids: np.ndarray, v: Vocabulary) -> str:
     """Text of piece ids; bytes that are no UTF-8 become U+FFFD."""
-    return _bytes_of(ids, v).decode("utf-8", "replace")
+    return _bytes_of(ids, np.array([0, len(ids)]), v)[0].decode("utf-8", "replace")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
