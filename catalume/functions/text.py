@@ -71,11 +71,43 @@ def strip_year(s: Column) -> Column:
 
 
 def safe_path(s: Column) -> Column:
-    """Separators and colons of any look become dashes."""
-    one = F.regexp_replace(s, "[：꞉∶]", ":")
+    """Separators, colons and their file-name stand-ins become dashes."""
+    one = F.regexp_replace(s, "[꞉∶]", ":")
     return F.replace(F.replace(F.replace(one, F.lit("/"), F.lit(" - ")), F.lit(": "), F.lit(" - ")), F.lit(":"), F.lit("-"))
 
 
+# Folders of extras, and words of a name that tell its folder, the first that fits.
+EXTRAS_FOLDERS = ("Featurettes", "Behind The Scenes", "Deleted Scenes", "Interviews", "Scenes", "Shorts", "Trailers", "Other")
+EXTRAS_WORDS = {
+    "trailer": "Trailers",
+    "interview": "Interviews",
+    "deleted": "Deleted Scenes",
+    "behind the scenes": "Behind The Scenes",
+    "behindthescenes": "Behind The Scenes",
+    "making of": "Behind The Scenes",
+    "short": "Shorts",
+}
+
+
+def extra_name(stem: Column, group: Column) -> Column:
+    """Display name of an extra: without its group, dots and underscores as spaces.
+
+    What follows the last dash goes if it is the group, or, where none is known, if the name has no spaces.
+    """
+    tail, known = F.regexp_extract(stem, r"-([A-Za-z0-9]+)$", 1), F.coalesce(group, F.lit(""))
+    ours = F.when(known != "", F.lower(tail) == F.lower(known)).otherwise(~F.contains(stem, F.lit(" ")))
+    bare = F.when((tail != "") & ours, F.regexp_replace(stem, r"-[A-Za-z0-9]+$", "")).otherwise(stem)
+    return safe_path(F.trim(F.regexp_replace(F.translate(bare, "._", "  "), r"\s+", " ")))
+
+
+def extras_category(stem: Column, folder: Column, group: Column) -> Column:
+    """A folder of extras decides, else a word of the name; Featurettes where neither does."""
+    named = [F.when(F.lower(folder) == f.lower(), F.lit(f)) for f in EXTRAS_FOLDERS]
+    name = F.lower(extra_name(stem, group))
+    words = [F.when(F.contains(name, F.lit(w)), F.lit(f)) for w, f in EXTRAS_WORDS.items()]
+    return F.coalesce(*named, *words, F.when(stem.isNotNull(), F.lit("Featurettes")))
+
+
 def ascii_mask(s: Column) -> Column:
     """G18."""
     return F.regexp_replace(s, "[^ -~]", "?")
@@ -123,6 +155,7 @@ def guid_id(guid: Column) -> Column:
 
 def job_group(cls: Column) -> Column:
     """Keyword ladder over job classes."""
+    # Words of job classes and their groups, in order of precedence.
     c = F.lower(cls)
     has = lambda *words: c.rlike("|".join(words))
     return F.when(has("anidb", "mylist"), "AniDB").when(has("tmdb"), "TMDB").when(has("trakt"), "Trakt").when(has("discoverfile", "processfile", "hashfile"), "File").when(has("stats", "refresh"), "Stats").otherwise("Other")

@@ -25,7 +25,9 @@ KINDS = {
     "bit_depth": r"(?:8|10|12)-?bits?|Hi10P?",
     "edition": r"Director'?s[ .]Cut|Extended|Uncut|Uncensored|Remastered|Theatrical",
 }
-BONUS = r"NCOP|NCED|Creditless|Menu|Trailer|PV|CM|Preview|Making|Interview"
+BONUS = r"Creditless|Menu|Trailer|PV|CM|Preview|Making|Interview"
+OPENING, ENDING = r"(?:NC ?|Creditless )OP\d*", r"(?:NC ?|Creditless )ED\d*"
+BONUS_JAPANESE = {"ノンテロップED": "NCED", "ノンテロップ": "NCOP", "告知CM": "CM", "予告": "Preview", "メニュー画面": "Menu", "特典「PV": "PV", "特典": "Bonus"}
 
 
 def _word(pattern: str) -> str:
@@ -90,22 +92,30 @@ def episode_cols(df: DataFrame, c: str = "component") -> DataFrame:
     ep = r"(?i)\b(?:EP?|Episode[ ._])(\d{1,4})\b"
     jp = r"第(\d{1,4})[話回]"
     end = r"(?i)\b(\d{1,4})[ ._]END\b"
+    sp = r"(?i)(?:^|\s)-\s+SP(\d{1,3})(?=\s|$|\[|\()"
     bare = get(dash)
     bare = F.when(~bare.between(1900, 2099), bare)
-    first = F.coalesce(get(full, 2), get(ep), get(jp), get(end), bare)
+    first = F.coalesce(get(full, 2), get(ep), get(jp), get(end), get(sp), bare)
     last = get(to)
     decimal = s.rlike(r"(?:^|[\s-])\d{1,3}\.5(?:[\s\[(v]|$)")
-    ranged = (last > first) & (last - first <= 100)
+    ranged = last > first
     return (
         df.withColumn("season", get(full, 1))
         .withColumn("episode", first)
         .withColumn("episodes", F.when(ranged, F.sequence(first, last)).when(first.isNotNull(), F.array(first)))
         .withColumn("version", F.coalesce(get(full, 3), get(dash, 2)))
         .withColumn("is_special", decimal | s.rlike(_word(r"SP\d*|OVA\d*|OAD\d*|ONA\d*|Specials?")))
-        .withColumn("bonus", F.nullif(F.regexp_extract(s, _word(f"(?:{BONUS})\\d*"), 1), F.lit("")))
+        .withColumn("bonus", bonus_kind(s))
     )
 
 
+def bonus_kind(s: Column) -> Column:
+    """Kind of a bonus clip by Japanese words, then by openings and endings without credits, then by English words; else null."""
+    japanese = F.coalesce(*[F.when(F.contains(s, F.lit(word)), F.lit(kind)) for word, kind in BONUS_JAPANESE.items()])
+    credits = F.when(s.rlike(_word(OPENING)), "NCOP").when(s.rlike(_word(ENDING)), "NCED")
+    return F.coalesce(japanese, credits, F.nullif(F.regexp_extract(s, _word(f"(?:{BONUS})\\d*"), 1), F.lit("")))
+
+
 def season_cols(df: DataFrame, c: str = "component") -> DataFrame:
     """A season of a directory name: S2, Season 2, 2nd Season, 第2期."""
     s = F.col(c)
@@ -145,11 +155,13 @@ def group_and_title(df: DataFrame, c: str = "component") -> DataFrame:
     lead = F.when((head != "") & (2 * meta < F.size(words)), head)
     tail = F.regexp_extract(s, r"-([A-Za-z0-9_]{2,24})$", 1)
     scene = (F.length(s) - F.length(F.replace(s, F.lit("."), F.lit(""))) >= 2) & ~F.contains(s, F.lit(" "))
-    body = F.regexp_replace(s, r"^\s*[\[【][^\]】]*[\]】]\s*", "")
+    site = r"(?i)^\s*www\.[\w-]+(?:\.[\w-]+)+\s+-\s+"
+    body = F.regexp_replace(F.regexp_replace(s, site, ""), r"^\s*[\[【][^\]】]*[\]】]\s*", "")
     spaced = F.when(scene, F.replace(body, F.lit("."), F.lit(" "))).otherwise(F.replace(body, F.lit("_"), F.lit(" ")))
-    markers = rf"(?i)(?:\s+-\s+\d{{1,4}}(?:v\d)?(?=\s|$|\[|\()|[\s(\[-]+S\d{{1,2}}\s?E\d{{1,4}}.*|[\s(\[]+(?:EP?|Episode\s)\d{{1,4}}\b|第\d+[話回]|[\s(\[]+(?:{media})(?=$|[\s\])-])|[(\[]|\s+(?:19|20)\d{{2}}(?=\s|$)).*$"
+    markers = rf"(?i)(?:\s+-\s+\d{{1,4}}(?:v\d)?(?=\s|$|\[|\()|(?:^|[\s(\[-]+)S\d{{1,2}}\s?E\d{{1,4}}.*|\s+-\s+SP\d{{1,3}}(?=\s|$|\[|\()|[\s(\[-]+(?:{OPENING}|{ENDING})(?=\s|$|\[|\()|\s*(?:映像)?特典|[\s(\[]+(?:EP?|Episode\s)\d{{1,4}}\b|第\d+[話回]|[\s(\[]+(?:{media})(?=$|[\s\])-])|[(\[]|\s+(?:19|20)\d{{2}}(?=\s|$)).*$"
     title = F.trim(F.regexp_replace(F.regexp_replace(spaced, markers, ""), r"[\s\-_]+$", ""))
-    after = F.regexp_extract(spaced, r"(?i)S\d{1,2}\s?E\d{1,4}(?:v\d)?\s+-\s+([^\[(]+)", 1)
+    dash = r"(?:\s+-\s+|-(?!E?\d{1,4}(?!\w))\s*)"
+    after = F.regexp_extract(spaced, rf"(?i)S\d{{1,2}}\s?E\d{{1,4}}(?:v\d)?{dash}([^\[(]+)", 1)
     return df.withColumn("release_group", F.coalesce(lead, F.when(scene & (tail != ""), tail))).withColumn("title", F.nullif(title, F.lit(""))).withColumn("episode_title", F.nullif(F.trim(after), F.lit("")))
 
 

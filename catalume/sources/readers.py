@@ -116,32 +116,40 @@ def read_movie_json(spark: SparkSession, path: str) -> DataFrame:
 
 PROBE = "struct<media:struct<track:array<map<string,string>>>>"
 # Codec names of the probe and their short forms.
-AUDIO_CODECS = {"E-AC-3": "EAC3", "AC-3": "AC3", "MLP FBA": "TrueHD", "DTS XLL": "DTS-HD MA", "DTS": "DTS", "AAC": "AAC", "AAC LC": "AAC", "FLAC": "FLAC", "Opus": "Opus", "PCM": "PCM", "MPEG Audio": "MP3", "Vorbis": "Vorbis"}
-VIDEO_CODECS = {"HEVC": "HEVC", "AVC": "AVC", "AV1": "AV1", "VP9": "VP9", "MPEG Video": "MPEG2", "MPEG-4 Visual": "XviD", "VC-1": "VC-1"}
+AUDIO_CODECS = {"Opus": "opus", "FLAC": "flac", "Vorbis": "vorbis", "PCM": "pcm", "MPEG Audio": "mp3", "TrueHD": "TrueHD"}
+AUDIO_FAMILIES = {"DTS": "DTS", "AC-3": "AC3", "E-AC-3": "EAC3", "AAC": "aac", "MLP": "TrueHD"}
+VIDEO_CODECS = {"MPEG Video": "MPEG2", "MPEG-4 Visual": "XviD"}
+STILLS = ("JPEG", "PNG", "GIF", "BMP")
 
 
-def _named(c: Column, names: dict[str, str]) -> Column:
-    """Exact name, then a known beginning, else lower case."""
-    exact = F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in names.items()])
-    head = F.coalesce(*[F.when(c.startswith(k), F.lit(v)) for k, v in sorted(names.items(), key=lambda x: -len(x[0]))])
-    return F.coalesce(exact, head, F.lower(c))
+def audio_codec(fmt: Column) -> Column:
+    """Short name of an audio format, or of the family that its name begins with; others in lower case."""
+    known = [F.when(fmt == k, F.lit(v)) for k, v in AUDIO_CODECS.items()]
+    return F.coalesce(*known, *[F.when(fmt.startswith(k), F.lit(v)) for k, v in AUDIO_FAMILIES.items()], F.lower(fmt))
+
+
+def video_codec(fmt: Column) -> Column:
+    """Short name of a video format; others as they are."""
+    return F.coalesce(*[F.when(fmt == k, F.lit(v)) for k, v in VIDEO_CODECS.items()], fmt)
 
 
 def media_probe(payloads: DataFrame, column: str = "json") -> DataFrame:
-    """SRC9, G12 to G14: first video track that is no still picture, its class values, and the audio tracks."""
+    """SRC9, G12 to G14: first video track, one that is no still picture if there is any, its class values, and the audio tracks."""
     from ..functions.text import hdr_class, resolution
 
     tracks = F.coalesce(F.from_json(F.col(column), PROBE)["media"]["track"], F.array().cast("array<map<string,string>>"))
     p = payloads.withColumn("_t", tracks)
-    p = p.withColumn("_v", F.get(F.filter("_t", lambda t: (t["@type"] == "Video") & ~F.coalesce(t["Format"], F.lit("")).isin("JPEG", "PNG", "GIF")), F.lit(0)))
+    videos = F.filter("_t", lambda t: t["@type"] == "Video")
+    moving = F.filter(videos, lambda t: ~F.coalesce(t["Format"], F.lit("")).isin(*STILLS))
+    p = p.withColumn("_v", F.coalesce(F.get(moving, F.lit(0)), F.get(videos, F.lit(0))))
     v = lambda k: F.col("_v").getItem(k)
-    audio = F.transform(F.filter("_t", lambda t: t["@type"] == "Audio"), lambda t: F.struct(_named(t["Format"], AUDIO_CODECS).alias("codec"), t["Language"].alias("language"), t["Title"].alias("title"), F.coalesce(F.lower(t["Title"]).contains("commentary"), F.lit(False)).alias("is_commentary")))
+    audio = F.transform(F.filter("_t", lambda t: t["@type"] == "Audio"), lambda t: F.struct(audio_codec(t["Format"]).alias("codec"), t["Language"].alias("language"), t["Title"].alias("title"), F.coalesce(t["Title"].rlike(r"(?i)\bcommentary\b"), F.lit(False)).alias("is_commentary")))
     library = F.coalesce(*[F.nullif(F.lower(F.regexp_extract(F.coalesce(v(k), F.lit("")), r"(?i)\b(x26[45])\b", 1)), F.lit("")) for k in ("Encoded_Library", "Encoded_Library_Name", "Writing_Library")])
     return p.select(
         *[c for c in payloads.columns if c != column],
-        _named(v("Format"), VIDEO_CODECS).alias("video_codec"),
+        video_codec(v("Format")).alias("video_codec"),
         resolution(lenient_int(v("Height")), v("ScanType"), lenient_int(v("Width"))).alias("resolution"),
-        lenient_int(v("BitDepth")).cast("int").alias("bit_depth"),
+        F.coalesce(lenient_int(v("BitDepth")).cast("int"), F.lit(8)).alias("bit_depth"),
         hdr_class(v("HDR_Format"), v("HDR_Format_Compatibility"), v("transfer_characteristics")).alias("hdr"),
         library.alias("encoder"),
         audio.alias("audio"),

@@ -223,11 +223,42 @@ def test_provider_payloads(spark):
     assert readers.pick_titles(s).first()["title"] == "Main"
     probe = '{"media":{"track":[{"@type":"General"},{"@type":"Video","Format":"JPEG"},{"@type":"Video","Format":"HEVC","Width":"1 920","Height":"1 080","BitDepth":"10"},{"@type":"Audio","Format":"FLAC","Language":"ja"},{"@type":"Audio","Format":"AAC LC","Language":"en"},{"@type":"Audio","Format":"AC-3","Title":"Commentary"}]}}'
     p = readers.audio_summary(readers.media_probe(spark.createDataFrame([(1, probe), (2, '{"media":null}')], "file_id long, json string"))).orderBy("file_id").collect()
-    assert (p[0]["video_codec"], p[0]["resolution"], p[0]["bit_depth"], p[0]["audio_codecs"], p[0]["audio_kind"]) == ("HEVC", "1080p", 10, ["FLAC", "AAC"], "Dual Audio")
+    assert (p[0]["video_codec"], p[0]["resolution"], p[0]["bit_depth"], p[0]["audio_codecs"], p[0]["audio_kind"]) == ("HEVC", "1080p", 10, ["flac", "aac"], "Dual Audio")
     assert p[1]["video_codec"] is None and p[1]["audio_codecs"] == []
     assert values(spark, ["com.x://anidb-12", "thetvdb://34?x", "none"], lambda c: G.guid_id(c)["pid"]) == [12, 34, None]
 
 
+def test_codec_names(spark):
+    assert values(spark, ["AAC LC", "Opus", "DTS XLL", "E-AC-3 JOC", "MLP FBA", "WMA Pro"], readers.audio_codec) == ["aac", "opus", "DTS", "EAC3", "TrueHD", "wma pro"]
+    assert values(spark, ["HEVC", "MPEG Video", "VC-1"], readers.video_codec) == ["HEVC", "MPEG2", "VC-1"]
+
+
+def test_extras(spark):
+    rows = [("Crafting.Anomalisa-Grym", "", "Grym"), ("Q&A with Park Chan-wook", "Extras", ""), ("Some_Trailer-GRP", None, None), ("Making of: Part 1", "nc", ""), ("clip", "deleted SCENES", ""), (None, None, None)]
+    t = spark.createDataFrame(rows, "stem string, folder string, release string")
+    got = t.select(G.extra_name(F.col("stem"), F.col("release")).alias("n"), G.extras_category(F.col("stem"), F.col("folder"), F.col("release")).alias("c")).collect()
+    assert [r["n"] for r in got] == ["Crafting Anomalisa", "Q&A with Park Chan-wook", "Some Trailer", "Making of - Part 1", "clip", None]
+    assert [r["c"] for r in got] == ["Featurettes", "Featurettes", "Trailers", "Behind The Scenes", "Deleted Scenes", None]
+
+
+def test_bonus_specials_and_sites(spark):
+    names = {
+        "[ak-Submarines] Girls und Panzer - MLLSD - SP1 [WEB 1080p][D227DE6D].mkv": ("Girls und Panzer - MLLSD", 1, True, None, None),
+        "[アニメ BD] Show(第1期) 映像特典「PV1」(1920x1080 HEVC 10bit FLAC).mkv": ("Show", None, False, "PV", None),
+        "[アニメ BD] Show(第1期) 映像特典「ノンテロップOP「Title」(specs).mkv": ("Show", None, False, "NCOP", None),
+        "[アニメ BD] Show(第1期) 映像特典「ノンテロップED「Title」(specs).mkv": ("Show", None, False, "NCED", None),
+        "[アニメ BD] Show(第4期) 映像特典「予告」(specs).mkv": ("Show", None, False, "Preview", None),
+        "[アニメ BD] Show(第1期) 第01話「Title」(specs).mkv": ("Show", 1, False, None, None),
+        "[G] Show - NCOP1 [1080p].mkv": ("Show", None, False, "NCOP", None),
+        "S01E01-A World Without Books.mkv": (None, 1, False, None, "A World Without Books"),
+        "www.Torrenting.com - Pacific Rim (2013).mkv": ("Pacific Rim", None, False, None, None),
+    }
+    got = R.parse_names(spark.createDataFrame([(n,) for n in names], "name string"), 2026).collect()
+    assert {r["name"]: (r["title"], r["episode"], r["is_special"], r["bonus"], r["episode_title"]) for r in got} == names
+    long = R.parse_names(spark.createDataFrame([("Show S01E001-E250.mkv",)], "name string"), 2026).first()
+    assert len(long["episodes"]) == 250
+
+
 def test_streams_equal_batches(spark, tmp_path):
     logs = spark.createDataFrame([(datetime(2024, 1, 1, 10, 0, i), "Info", f"HashFileJob_{i % 2}", "Get AniDB file info") for i in range(6)], "ts timestamp, level string, context string, message string")
     logs.write.parquet(str(tmp_path / "in"))
