@@ -191,10 +191,11 @@ def resolution(height: Column, scan: Column, width: Column) -> Column:
 
 
 def hdr_class(fmt: Column, compatibility: Column, transfer: Column) -> Column:
-    """G12."""
-    f, c, t = (F.lower(F.coalesce(x, F.lit(""))) for x in (fmt, compatibility, transfer))
-    both = F.contains(f, F.lit("hdr10")) | F.contains(c, F.lit("hdr10"))
-    return F.when(F.contains(f, F.lit("dolby vision")), F.when(both, "DV,HDR10").otherwise("DV")).when(both | F.contains(f, F.lit("smpte st 2086")), "HDR10").when(F.contains(t, F.lit("pq")), "HDR").when(F.contains(t, F.lit("hlg")), "HLG").otherwise("")
+    """DoVi, with HDR where it falls back to HDR10; HDR for HDR10, PQ and HLG by format or transfer; else empty."""
+    f, c, t = (F.coalesce(x, F.lit("")) for x in (fmt, compatibility, transfer))
+    vision = F.when(F.contains(c, F.lit("HDR10")), "DoVi,HDR").otherwise("DoVi")
+    high = f.rlike("HDR10|HLG") | t.rlike("SMPTE ST 2084|PQ|HLG")
+    return F.when(F.contains(f, F.lit("Dolby Vision")), vision).when(high, "HDR").otherwise("")
 
 
 def first_integer(s: Column, pattern: str) -> Column:

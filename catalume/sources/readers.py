@@ -144,7 +144,7 @@ def media_probe(payloads: DataFrame, column: str = "json") -> DataFrame:
     p = p.withColumn("_v", F.coalesce(F.get(moving, F.lit(0)), F.get(videos, F.lit(0))))
     v = lambda k: F.col("_v").getItem(k)
     audio = F.transform(F.filter("_t", lambda t: t["@type"] == "Audio"), lambda t: F.struct(audio_codec(t["Format"]).alias("codec"), t["Language"].alias("language"), t["Title"].alias("title"), F.coalesce(t["Title"].rlike(r"(?i)\bcommentary\b"), F.lit(False)).alias("is_commentary")))
-    library = F.coalesce(*[F.nullif(F.lower(F.regexp_extract(F.coalesce(v(k), F.lit("")), r"(?i)\b(x26[45])\b", 1)), F.lit("")) for k in ("Encoded_Library", "Encoded_Library_Name", "Writing_Library")])
+    library = F.coalesce(*[F.nullif(F.lower(F.regexp_extract(F.coalesce(v(k), F.lit("")), r"(?i)(x26[45])", 1)), F.lit("")) for k in ("Encoded_Library_Name", "Encoded_Library", "Writing_library")])
     return p.select(
         *[c for c in payloads.columns if c != column],
         video_codec(v("Format")).alias("video_codec"),

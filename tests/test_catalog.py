@@ -233,6 +233,12 @@ def test_codec_names(spark):
     assert values(spark, ["HEVC", "MPEG Video", "VC-1"], readers.video_codec) == ["HEVC", "MPEG2", "VC-1"]
 
 
+def test_hdr_classes(spark):
+    rows = [("Dolby Vision", "HDR10", ""), ("Dolby Vision", None, "PQ"), ("SMPTE ST 2094 App 4, HDR10+", "", ""), (None, None, "PQ"), ("", "", "HLG"), (None, None, "BT.709")]
+    t = spark.createDataFrame(rows, "f string, c string, t string").select(G.hdr_class(F.col("f"), F.col("c"), F.col("t")).alias("v"))
+    assert [r["v"] for r in t.collect()] == ["DoVi,HDR", "DoVi", "HDR", "HDR", "HDR", ""]
+
+
 def test_extras(spark):
     rows = [("Crafting.Anomalisa-Grym", "", "Grym"), ("Q&A with Park Chan-wook", "Extras", ""), ("Some_Trailer-GRP", None, None), ("Making of: Part 1", "nc", ""), ("clip", "deleted SCENES", ""), (None, None, None)]
     t = spark.createDataFrame(rows, "stem string, folder string, release string")
