@@ -156,6 +156,21 @@ _add("g3_match_key", lambda t: t.customer.select("c_custkey", G.match_key(F.col(
 _add("g18_ascii_mask", lambda t: t.documents.select("doc_id", G.ascii_mask(F.col("text")).alias("masked")), "SELECT doc_id, regexp_replace(text, '[^ -~]', '?', 'g') AS masked FROM {documents}")
 _add("g25_content_hash", lambda t: t.documents.select("doc_id", G.content_hash(F.col("text")).alias("hash")), "SELECT doc_id, sha256(text) AS hash FROM {documents}")
 _add("g28_sectors", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", G.ms_to_sectors((F.col("l_extendedprice") * 10).cast("long")).alias("sectors")), "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST((CAST(trunc(l_extendedprice * 10) AS BIGINT) * 75 + 500) // 1000 AS BIGINT) AS sectors FROM {lineitem}")
+_JOBS = {"view": "GetAniDBFile", "click": "SearchTMDB", "signup": "SyncTrakt", "purchase": "HashFile", "error": "RefreshStats"}
+_GROUPS = {"view": "AniDB", "click": "TMDB", "signup": "Trakt", "purchase": "File", "error": "Stats"}
+
+
+def _jobs_by_group(t: _Tables) -> DataFrame:
+    job = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(f"{v}Job_")) for k, v in _JOBS.items()], F.lit("PingJob_"))
+    context = F.concat(job, F.col("user_id").cast("string"))
+    return t.events.groupBy(G.job_group(L.job_class(context)).alias("grp")).agg(F.count("*").alias("jobs"))
+
+
+_add(
+    "g29_jobs_by_group",
+    _jobs_by_group,
+    "SELECT CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _GROUPS.items()) + " ELSE 'Other' END AS grp, count(*) AS jobs FROM {events} GROUP BY 1",
+)
 _add("g29_job_group", lambda t: t.v_logs.select("context", G.job_group(L.job_class(F.col("context"))).alias("grp")).distinct(), "SELECT DISTINCT context, 'Other' AS grp FROM {v_logs}")
 _add("g24_episode_tag", lambda t: t.v_names.select("name", G.episode_tag(F.col("season"), F.col("episode")).alias("tag")), "SELECT name, 'S' || lpad(CAST(season AS VARCHAR), 2, '0') || 'E' || lpad(CAST(episode AS VARCHAR), 2, '0') AS tag FROM {v_names}")
 
