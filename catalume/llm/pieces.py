@@ -21,7 +21,6 @@ it uses, and gets them by a join. The texts themselves are shuffled once, compre
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +35,6 @@ from pyspark.sql import functions as F
 from .session import discard, durable
 
 MARK = "▁"
-_RUNS = re.compile(" +[^ ]*")
 #: Edges that are folded before their back pointers are handed on.
 _BLOCK = 512
 #: An edge is one long: its end position, 6 bits of length, 22 bits of piece id or _UNKNOWN + code point.
@@ -65,11 +63,12 @@ class Vocabulary:
         self.encoded = pa.array(plain, pa.large_binary())
         pairs = {p[i : i + 2] for p in usable for i in range(len(p) - 1)}
         chars = sorted({c for p in pairs for c in p})
-        self._class = np.zeros(0x110000, np.int16)  # characters that stand beside another in a piece
+        self._class = np.zeros(0x110000, np.int32)  # characters that stand beside another in a piece
         self._class[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        self._beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        self._apart = np.ones((len(chars) + 1) ** 2, bool)  # by pair of classes
         for a, b in pairs:
-            self._beside[self._class[ord(a)], self._class[ord(b)]] = True
+            self._apart[int(self._class[ord(a)]) * (len(chars) + 1) + self._class[ord(b)]] = False
+        self._classes = len(chars) + 1
         #: Whether a mark always starts a unit, unless another mark is in front of it.
         self.marks_cut = not any(b == MARK and a != MARK for a, b in pairs)
 
@@ -105,37 +104,55 @@ class Vocabulary:
         rows = pd.DataFrame(usable, columns=["piece", "id", "score"])
         return spark.createDataFrame(rows, "piece string, id int, score double")
 
-    def words(self, text: str) -> list[str]:
-        """Keys of a text: parts that no piece crosses; the marked text is MARK + key with marks for spaces, key by key."""
-        if not text:
-            return []
-        if MARK in text:
-            text = text.replace(MARK, " ")
+    def keys(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct keys of texts without nulls, the key of each word in order, and the number of words of each text.
+
+        Keys are parts that no piece crosses: what stands between spaces, a space after another one (or
+        at the start) being a mark of the next key. The marked text is a mark and a key, key by key.
+        """
+        filled = pc.greater(pc.binary_length(texts), 0)
+        some = texts.filter(filled)
+        if pc.any(pc.match_substring(some, MARK)).as_py():
+            some = pc.replace_substring(some, MARK, " ")
+        counts = filled.to_numpy(zero_copy_only=False).astype(np.int64)
         if not self.marks_cut:
-            return [text]
-        if text[0] != " " and "  " not in text:
-            return text.split(" ")
-        return [run[1:] for run in _RUNS.findall(" " + text)]
-
-    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+            words = some.dictionary_encode()
+            return words.dictionary, words.indices.to_numpy(), counts
+        if pc.any(pc.starts_with(some, " ")).as_py():
+            some = pc.replace_substring_regex(some, "^ ", MARK)
+        if pc.any(pc.or_(pc.match_substring(some, "  "), pc.starts_with(some, MARK))).as_py():
+            some = pc.replace_substring(pc.replace_substring(some, "  ", " " + MARK), MARK + " ", MARK + MARK)
+        lists = pc.split_pattern(some, " ")
+        counts[counts > 0] = pc.list_value_length(lists).to_numpy()
+        words = lists.flatten().dictionary_encode()
+        return words.dictionary, words.indices.to_numpy(), counts
+
+    def cut(self, keys: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Units of all keys in order, and for each key the end of its own."""
-        if not words:
-            return [], np.zeros(0, np.int64)
-        marked = (MARK + MARK.join(words)).replace(" ", MARK)
-        points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = self._class[points]
+        if not len(keys):
+            return pa.array([], pa.string()), np.zeros(0, np.int64)
+        marked = pc.replace_substring(pc.binary_join_element_wise(MARK, keys, ""), " ", MARK)
+        ends = np.cumsum(pc.utf8_length(marked).to_numpy())
+        data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(marked)], pa.int32()), marked.cast(pa.binary())), b"")[0].as_py()
+        points = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self._class.take(points)
+        pair = kind[:-1] * self._classes
+        pair += kind[1:]
         edge = np.ones(len(points) + 1, bool)
-        edge[1:-1] = ~self._beside[kind[:-1], kind[1:]]
-        ends = np.cumsum([len(w) + 1 for w in words])
+        self._apart.take(pair, out=edge[1:-1])
         edge[ends] = True
         at = np.flatnonzero(edge)
-        bounds = at.tolist()
-        return [marked[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.searchsorted(at, ends)
+        first = np.frombuffer(data, np.int8) >= -0x40  # bytes that begin a character
+        offsets = np.append(np.flatnonzero(first).astype(np.int32), np.int32(len(data)))[at]
+        parts = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        return parts, np.searchsorted(at, ends)
 
 
 def units(text: str, v: Vocabulary) -> list[str]:
     """Parts of a text that no piece crosses, in order; they join to the marked text."""
-    return v.cut(v.words(text))[0]
+    names, index, _ = v.keys(pa.array([text], pa.string()))
+    parts, ends = v.cut(names.take(pa.array(index)))
+    return parts.to_pylist()
 
 
 def _end(k: Column) -> Column:
@@ -257,61 +274,41 @@ def _known(ids: Iterable[int], v: Vocabulary) -> bytes:
     return np.array(out, np.int32).tobytes()
 
 
-def _packed(lists: pa.ListArray, v: Vocabulary) -> list[bytes]:
-    """``_known`` of every list, by slices of their flat values where all are pieces."""
-    ends = np.asarray(lists.offsets)
-    flat = lists.values.to_numpy()[ends[0] : ends[-1]].astype(np.int32)
-    if len(flat) and flat.min() < 0:
-        return [_known(i, v) for i in lists.to_pylist()]
-    body, at = flat.tobytes(), ((ends - ends[0]) * 4).tolist()
-    return [body[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
+@dataclass
+class _Solved:
+    """Units with the slices of ``flat`` that hold their ids."""
 
-class _Hot:
-    """Packed ids of the broadcast units, and what a worker found with them: it stays for the worker's next tasks."""
+    names: pa.Array
+    flat: np.ndarray
+    lens: np.ndarray
 
-    def __init__(self, ids: dict[str, bytes]) -> None:
-        self.ids = ids
-        self.usual: set[str] = set()  # keys of hot units only
-        self.book: _Book | None = None
+    @classmethod
+    def of(cls, names: pa.Array, lists: pa.ListArray, v: Vocabulary) -> _Solved:
+        lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten().to_numpy().astype(np.int32)
+        if len(flat) and flat.min() < 0:  # characters without a piece
+            coded = [_known(i, v) for i in lists.to_pylist()]
+            lens, flat = np.array([len(x) // 4 for x in coded], np.int64), np.frombuffer(b"".join(coded), np.int32)
+        return cls(names, flat, lens)
 
-    def __reduce__(self) -> tuple:
-        return _Hot, (self.ids,)
+    def cold(self, found: pa.Array) -> np.ndarray:
+        """Which of the units aren't here."""
+        return pc.invert(pc.is_in(found, value_set=self.names)).to_numpy(zero_copy_only=False)
 
 
-class _Book(dict):
-    """Packed ids by key; keys of hot units only stay, up to ``room``, others last for a chunk."""
+def _starts(lens: np.ndarray) -> np.ndarray:
+    return np.cumsum(lens) - lens
 
-    def __init__(self, v: Vocabulary, hot: dict[str, bytes], room: int = 400_000) -> None:
-        super().__init__()
-        self.v, self.hot, self.room = v, hot, room
-        self.cold: dict[str, bytes] = {}
-        self.passing: list[str] = []
 
-    def turn(self) -> None:
-        """Start the next chunk."""
-        for w in self.passing:
-            self.pop(w, None)
-        self.cold, self.passing = {}, []
+def _slices(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Slices of ``flat``, one after the other."""
+    ahead = np.repeat((starts - _starts(lens)).astype(np.int32), lens)
+    ahead += np.arange(len(ahead), dtype=np.int32)
+    return flat[ahead]
 
-    def learn(self, lists: list[list[str]]) -> None:
-        new = list(set().union(*lists) - self.keys())
-        found, ends = self.v.cut(new)
-        hot, cold, at = self.hot, self.cold, 0
-        for w, end in zip(new, ends.tolist(), strict=True):
-            mine = found[at:end]
-            at = end
-            got = [hot.get(u) for u in mine]
-            if None in got:
-                got = [cold[u] if g is None else g for u, g in zip(mine, got, strict=True)]
-                self.passing.append(w)
-            elif len(self) - len(self.passing) > self.room:
-                self.passing.append(w)
-            self[w] = b"".join(got)
 
-
-def _blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Sub-batches of bounded bytes with their texts; a longer text stands alone."""
+def _blocks(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Sub-batches of bounded bytes with their texts, none null; a longer text stands alone."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         ends = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
@@ -320,61 +317,56 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Itera
             before = ends[at - 1] if at else 0
             end = min(max(at + 1, int(np.searchsorted(ends, before + limit, "right"))), batch.num_rows)
             part = batch.slice(at, end - at)
-            yield part, [t or "" for t in part.column(column).to_pylist()]
+            yield part, pc.fill_null(part.column(column), "")
             at = end
 
 
-def _distinct_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Distinct units of each block of about ``limit`` characters."""
-    words: set[str] = set()
+def _distinct_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, limit: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+    """Distinct units of each block of about ``limit`` bytes."""
+    held: list[pa.Array] = []
     size = 0
+
+    def distinct() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([v.cut(pa.concat_arrays(held).unique())[0].unique()], ["unit"])
+
     for _, texts in _blocks(batches, 0, limit):
-        for text in texts:
-            words.update(v.words(text))
-            size += len(text)
+        held.append(v.keys(texts)[0])
+        size += pc.sum(pc.binary_length(texts)).as_py() or 0
         if size >= limit:
-            yield pa.RecordBatch.from_arrays([pa.array(list(set(v.cut(list(words))[0])), pa.string())], ["unit"])
-            words, size = set(), 0
-    if words:
-        yield pa.RecordBatch.from_arrays([pa.array(list(set(v.cut(list(words))[0])), pa.string())], ["unit"])
+            yield distinct()
+            held, size = [], 0
+    if held:
+        yield distinct()
 
 
-def _cold_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, shared: _Hot) -> Iterator[pa.RecordBatch]:
+def _cold_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, hot: _Solved) -> Iterator[pa.RecordBatch]:
     """Distinct ``(chunk, unit)`` of units that aren't hot."""
-    hot, usual = shared.ids, shared.usual
-    for part, texts in _blocks(batches, 0, 8 << 20):
-        odd: dict[int, set[str]] = {}
-        for chunk, text in zip(part.column(1).to_pylist(), texts, strict=True):
-            rest = set(v.words(text))
-            rest -= usual
-            if rest:
-                odd.setdefault(chunk, set()).update(rest)
-        new = list(set().union(*odd.values()))
-        found, ends = v.cut(new)
-        of, at = {}, 0
-        for w, end in zip(new, ends.tolist(), strict=True):
-            cold = [u for u in found[at:end] if u not in hot]
-            at = end
-            if cold:
-                of[w] = cold
-            elif len(usual) < 500_000:
-                usual.add(w)
-        for chunk, words in odd.items():
-            out = list({u for w in words if w in of for u in of[w]})
-            if out:
-                at_chunk = pa.array(np.full(len(out), chunk, np.int32))
-                yield pa.RecordBatch.from_arrays([at_chunk, pa.array(out, pa.string())], ["chunk", "unit"])
+    for part, texts in _blocks(batches, 0, 16 << 20):
+        names, index, counts = v.keys(texts)
+        found, ends = v.cut(names)
+        cold = np.flatnonzero(hot.cold(found))
+        if not len(cold):
+            continue
+        upto = np.searchsorted(cold, np.concatenate([[0], ends]))
+        start, n = upto[:-1], np.diff(upto)
+        odd = n[index] > 0
+        chunk = np.repeat(part.column(1).to_numpy().astype(np.int64), counts)[odd]
+        chunk, word = np.divmod(np.unique(chunk * len(names) + index[odd]), len(names))
+        told = found.take(pa.array(cold)).dictionary_encode()
+        unit = _slices(told.indices.to_numpy(), start[word], n[word])
+        chunk, unit = np.divmod(np.unique(np.repeat(chunk, n[word]) * len(told.dictionary) + unit), len(told.dictionary))
+        out = [pa.array(chunk.astype(np.int32)), told.dictionary.take(pa.array(unit))]
+        yield pa.RecordBatch.from_arrays(out, ["chunk", "unit"])
 
 
 _OUT = "doc_id long, ids array<int>, score double, decoded_sha256 string, round_trip boolean"
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], v: Vocabulary, shared: _Hot) -> Iterator[pa.RecordBatch]:
+def _assemble(batches: Iterator[pa.RecordBatch], v: Vocabulary, hot: _Solved) -> Iterator[pa.RecordBatch]:
     """Encoded rows of a partition whose rows come chunk by chunk, units before texts."""
-    shared.usual.clear()
-    if shared.book is None:
-        shared.book = _Book(v, shared.ids)
-    book, charges, chunk = shared.book, v.charges(), None
+    charges, chunk = v.charges(), None
+    asked: list[pa.RecordBatch] = []
+    rare: _Solved | None = None
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         chunks = batch.column(0).to_numpy()
@@ -384,31 +376,47 @@ def _assemble(batches: Iterator[pa.RecordBatch], v: Vocabulary, shared: _Hot) ->
             if lo == hi:
                 continue
             if chunks[lo] != chunk:
-                chunk = chunks[lo]
-                book.turn()
+                chunk, asked, rare = chunks[lo], [], None
             if not is_text[lo]:
-                names, ids = (batch.column(c).slice(lo, hi - lo) for c in (3, 4))
-                book.cold.update(zip(names.to_pylist(), _packed(ids, v), strict=True))
+                asked.append(batch.slice(lo, hi - lo).select([3, 4]))
                 continue
+            if rare is None:
+                empty = [pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))]
+                names, lists = (pa.concat_arrays([b.column(c) for b in asked]) for c in (0, 1)) if asked else empty
+                rare, asked = _Solved.of(names, lists, v), []
             packed, doc_ids, at = batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), 0
             while at < len(packed):
                 end, size, raw = at, 0, []
-                while end < len(packed) and size < 4 << 20:
+                while end < len(packed) and size < 12 << 20:
                     raw.append(unpack(packed[end].as_py()))
                     size += len(raw[-1])
                     end += 1
-                yield _encoded(doc_ids.slice(at, end - at), raw, book, charges)
+                yield _encoded(doc_ids.slice(at, end - at), raw, v, hot, rare, charges)
                 at = end
 
 
-def _encoded(doc_ids: pa.Array, raw: list[bytes], book: _Book, charges: np.ndarray) -> pa.RecordBatch:
-    words = [book.v.words(t.decode("utf-8", "surrogatepass")) for t in raw]
-    book.learn(words)
-    ids = [b"".join(map(book.__getitem__, w)) for w in words]
-    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-    flat = np.frombuffer(b"".join(ids), np.int32)
+def _encoded(doc_ids: pa.Array, raw: list[bytes], v: Vocabulary, hot: _Solved, rare: _Solved, charges: np.ndarray) -> pa.RecordBatch:
+    names, index, counts = v.keys(pa.array(raw, pa.binary()).cast(pa.string()))
+    found, ends = v.cut(names)
+    of = pc.index_in(found, value_set=hot.names)
+    missed = of.is_null().to_numpy(zero_copy_only=False)
+    of = pc.fill_null(of, 0).to_numpy().astype(np.int64)
+    if missed.any():
+        others = pc.index_in(found.filter(pa.array(missed)), value_set=rare.names)
+        if others.null_count:
+            raise KeyError("a unit without ids")
+        of[missed] = others.to_numpy() + len(hot.names)
+    lens = np.concatenate([hot.lens, rare.lens])
+    told = np.concatenate([hot.flat, rare.flat])
+    mine = lens[of]
+    of_names = _slices(told, _starts(lens)[of], mine)
+    upto = np.concatenate([[0], np.cumsum(mine)])[np.concatenate([[0], ends])]
+    n = np.diff(upto)[index]
+    flat = _slices(of_names, upto[:-1][index], n)
+    words = np.concatenate([[0], np.cumsum(n)])
+    ends = words[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
     sums = np.concatenate([[0.0], np.cumsum(charges[flat])])
-    back = _bytes_of(flat, ends, book.v)
+    back = _bytes_of(flat, ends, v)
     return pa.RecordBatch.from_arrays(
         [
             doc_ids,
@@ -421,8 +429,8 @@ def _encoded(doc_ids: pa.Array, raw: list[bytes], book: _Book, charges: np.ndarr
     )
 
 
-def hot_units(found: DataFrame, solved: DataFrame, hot: int, longest: int = 64) -> dict[str, list[int]]:
-    """Ids of the commonest units of ``found(unit, n)``: at most ``hot``, of at most ``longest`` characters each.
+def hot_units(found: DataFrame, solved: DataFrame, hot: int, longest: int = 64) -> pa.Table:
+    """``(unit, ids)`` of the commonest units of ``found(unit, n)``: at most ``hot``, of at most ``longest`` characters each.
 
     Units are taken by whole levels of ``n`` (eight to a doubling), so a small table of counts
     tells where to stop and what is broadcast is bounded.
@@ -436,10 +444,8 @@ def hot_units(found: DataFrame, solved: DataFrame, hot: int, longest: int = 64)
         if total > hot:
             break
         least = name
-    if least is None:
-        return {}
-    got = solved.join(F.broadcast(short.where(level >= least).select("unit")), "unit").select("unit", "ids").toArrow()
-    return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    chosen = short.where(level >= least) if least is not None else short.limit(0)
+    return solved.join(F.broadcast(chosen.select("unit")), "unit").select("unit", "ids").toArrow()
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = 262_144, chunk_bytes: int = 16 << 20) -> DataFrame:
@@ -466,7 +472,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = 262_144, chunk_by
     solved = durable(solve(found.select("unit"), vocabulary, parts).select("unit", "ids"))
     common = hot_units(found, solved, hot)
     discard(found)
-    shared = spark.sparkContext.broadcast(_Hot({u: _known(i, vocabulary) for u, i in common.items()}))
+    names, ids = (common.column(c).combine_chunks() for c in ("unit", "ids"))
+    shared = spark.sparkContext.broadcast(_Solved.of(names, ids, vocabulary))
 
     asked = docs.select("text", chunk).mapInArrow(lambda b: _cold_units(b, held.value, shared.value), "chunk int, unit string")
     # one exchange by unit serves both the removal of repeats and the join
@@ -476,7 +483,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = 262_144, chunk_by
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for part, texts in _blocks(batches, 1, 8 << 20):
-            body = pa.array([squeeze(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
+            body = pa.array(map(squeeze, texts.cast(pa.binary()).to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(2), body, part.column(0)], ["chunk", "packed", "doc_id"])
 
     texts = docs.select("doc_id", "text", chunk).mapInArrow(pack, "chunk int, packed binary, doc_id long")
