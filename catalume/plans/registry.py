@@ -17,6 +17,7 @@ from ..operators import planning as P
 from ..operators import release as R
 from ..operators import snapshot as S
 from ..sources import writers as W
+from . import steps
 from .views import ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,3 +267,6 @@ def _reports(t: _Tables) -> DataFrame:
     from .pipelines import catalog_reports
 
     return catalog_reports(t.files).withColumn("share", F.round("share", 9))
+
+
+steps.register(_add)
