@@ -3,10 +3,12 @@
 import hashlib
 import math
 import random
+import re
 import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from catalume.llm import bwt, features, fingerprint, htmltext, langid, minhash, mixing, pieces, quality, suffixdedup, topk, toxicity
@@ -374,3 +376,17 @@ def test_sentencepiece_agrees_with_the_library_on_words():
     score = lambda ids: sum(v.scores[i] for i in ids)
     for word in ("hello", "internationalization", "the", "über"):
         assert brute_viterbi(pieces.MARK + word, v)[1] >= score(sp.encode(word)) - 1e-6
+
+
+def test_keys_of_texts_equal_the_runs_between_spaces():
+    def plain(text):
+        marked = " " + text.replace(pieces.MARK, " ")
+        return [run[1:] for run in re.findall(" +[^ ]*", marked)] if text else []
+
+    v, rng = pieces.Vocabulary.load(PIECES), random.Random(5)
+    for _ in range(500):
+        texts = ["".join(rng.choice(f"  ab\n{pieces.MARK}é𝄞") for _ in range(rng.randint(0, 12))) for _ in range(5)]
+        names, index, counts = v.keys(pa.array(texts, pa.string()))
+        words = [w.replace(pieces.MARK, " ") for w in names.take(pa.array(index)).to_pylist()]
+        assert words == [w for t in texts for w in plain(t)] and counts.tolist() == [len(plain(t)) for t in texts]
+        assert all("".join(pieces.units(t, v)) == "".join(pieces.MARK + w for w in plain(t)).replace(" ", pieces.MARK) for t in texts)
