@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, htmltext, langid, minhash, mixing, pieces, quality, sql, suffixdedup, topk, toxicity
-from .session import table
+from . import fingerprint, htmltext, langid, minhash, mixing, pieces, quality, sql, suffixdedup, tokenfiles, topk, toxicity
+from .session import shared_dir, table
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +57,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    tokenfiles.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.summary(spark, path)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +76,7 @@ QUERIES = {
         op8_toxicity,
         op9_fingerprints,
         op10_quality,
+        op11_token_files,
     )
 }
 ORACLES = {"op3_exact_top_k": sql.TOP_K, "op6_minhash_near_dedup": sql.NEAR_DUPLICATES}
