@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, htmltext, langid, minhash, mixing, pieces, quality, sql, suffixdedup, tokenfiles, topk, toxicity
+from . import align, fingerprint, htmltext, langid, minhash, mixing, pieces, quality, sql, suffixdedup, tokenfiles, topk, toxicity, variants
 from .session import shared_dir, table
 
 
@@ -63,6 +63,15 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.summary(spark, path)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_bpe, piece_bpe = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.align(table(spark, sf_dir, "documents"), byte_bpe, piece_bpe)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +86,8 @@ QUERIES = {
         op9_fingerprints,
         op10_quality,
         op11_token_files,
+        op12_spelling_variants,
+        op13_token_alignment,
     )
 }
-ORACLES = {"op3_exact_top_k": sql.TOP_K, "op6_minhash_near_dedup": sql.NEAR_DUPLICATES}
+ORACLES = {"op3_exact_top_k": sql.TOP_K, "op6_minhash_near_dedup": sql.NEAR_DUPLICATES, "op12_spelling_variants": sql.SPELLING_VARIANTS}
