@@ -53,7 +53,7 @@ def _encoded(batches: Iterable[pa.RecordBatch], tokenizer: str, end_id: int) ->
 
     part = TaskContext.get().partitionId()
     encoder = K.loaded(K.ByteBpe, tokenizer)
-    for batch in K.blocks(batches, 1, 12 << 20):
+    for batch in K.blocks(batches, 1, 6 << 20):
         data, ofs = T.flat(batch.column(1))
         ids, ends, _ = encoder.encode(data, ofs)
         rows = batch.num_rows

@@ -65,7 +65,7 @@ def units(data: np.ndarray, ofs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """A tokenizer whose tokens stay within units; ``lengths`` and ``joined`` tell the bytes of ids."""
 
-    def __init__(self, token_bytes: list[bytes], keep: int = 1_000_000) -> None:
+    def __init__(self, token_bytes: list[bytes], keep: int = 600_000) -> None:
         self.token_bytes = token_bytes
         self.lengths = np.array([len(t) for t in token_bytes], np.int64)
         self._table = np.frombuffer(b"".join(token_bytes), np.uint8)
@@ -144,7 +144,7 @@ class ByteBpe(Encoder):
     ``plain`` makes the strings of special tokens ordinary text; otherwise they are found in texts.
     """
 
-    def __init__(self, path: str, plain: bool = False, keep: int = 1_000_000) -> None:
+    def __init__(self, path: str, plain: bool = False, keep: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
@@ -159,7 +159,7 @@ class ByteBpe(Encoder):
         size = max(by_id) + 1
         told = [special[i].encode() if i in special else bytes(byte[c] for c in by_id.get(i, "")) for i in range(size)]
         super().__init__(told, keep)
-        self.lossless = (plain or not special) and set(byte) <= set(by_id.values())
+        self.lossless = set(byte) <= set(by_id.values())  # special tokens join to their strings as well
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._of.encode_batch_fast(texts, add_special_tokens=False)]
@@ -195,7 +195,7 @@ class ByteBpe(Encoder):
 class PieceBpe(Encoder):
     """A SentencePiece model; units start with the space that the library adds itself."""
 
-    def __init__(self, path: str, keep: int = 1_000_000) -> None:
+    def __init__(self, path: str, keep: int = 600_000) -> None:
         import sentencepiece
 
         self._of = sentencepiece.SentencePieceProcessor(model_file=path)
