@@ -17,7 +17,7 @@ from ..operators import planning as P
 from ..operators import release as R
 from ..operators import snapshot as S
 from ..sources import writers as W
-from . import steps
+from . import mechanisms, steps
 from .views import ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,3 +270,4 @@ def _reports(t: _Tables) -> DataFrame:
 
 
 steps.register(_add)
+mechanisms.register(_add)

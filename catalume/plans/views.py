@@ -36,6 +36,18 @@ VIEWS = {
   ELSE '[GRP' || substr(p_brand, 7) || '] ' || p_name || ' - S0' || CAST(l_linenumber AS VARCHAR(9)) || 'E' || lpad(CAST(CAST(l_quantity AS INT) AS VARCHAR(9)), 2, '0') ||
    ' [WEB ' || CASE p_size % 3 WHEN 0 THEN '480p' WHEN 1 THEN '720p' ELSE '1080p' END || ' HEVC].mkv' END AS name
   FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_linenumber < 10""",
+    # release names of six shapes, each made of known attributes
+    "v_releases": """SELECT *, CASE shape
+   WHEN 0 THEN replace(series, ' ', '.') || '.S0' || s || 'E' || e || '.BluRay.1080p.TrueHD.5.1.x265-' || grp || '.mkv'
+   WHEN 1 THEN '[' || grp || '] ' || series || ' - ' || e || 'v2 [WEB 720p HEVC][AAC][' || crc || '].mkv'
+   WHEN 2 THEN replace(series, ' ', '.') || '.S0' || s || 'E' || e || '.The.First.Try.1080p.WEB-DL.DUAL.AAC2.0.H.264-' || grp || '.mkv'
+   WHEN 3 THEN series || ' (196' || s || ') (1080p BluRay x265 10bit EAC3 2.0 r00t)'
+   WHEN 4 THEN '[' || grp || ' BD] ' || series || '(第' || s || '期) 第' || e || '話「' || upper(series) || '」(1920x1080 HEVC 10bit FLAC).mkv'
+   ELSE '[' || grp || '] ' || series || ' [Alt (x [y]) z] - ' || e || ' (BD 1080p.mkv' END AS name
+  FROM (SELECT DISTINCT p_name AS series, CAST(l_linenumber AS INT) AS season, CAST(l_quantity AS INT) AS episode, CAST(l_orderkey % 6 AS INT) AS shape,
+   'GRP' || substr(p_brand, 7) AS grp, CAST(l_linenumber AS VARCHAR(9)) AS s, lpad(CAST(CAST(l_quantity AS INT) AS VARCHAR(9)), 2, '0') AS e,
+   lpad(CAST(CAST(l_quantity AS INT) * 1000 + l_linenumber AS VARCHAR(9)), 8, '0') AS crc
+   FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_linenumber < 10) q""",
     "v_prev": """SELECT doc_id AS file_id, source AS dir, 'd' || CAST(doc_id AS VARCHAR(20)) || '.txt' AS filename, n_chars AS size, sha256(text) AS hash
   FROM {documents} WHERE doc_id % 11 <> 0""",
     "v_cur": """SELECT CASE WHEN doc_id % 5 = 0 THEN 'moved' ELSE source END AS dir, 'd' || CAST(doc_id AS VARCHAR(20)) || '.txt' AS filename, n_chars AS size, sha256(text) AS hash
