@@ -185,7 +185,7 @@ def _scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*arrays, sums], [c.split()[0] for c in _OUT.split(", ")])
 
 
-def align(docs: DataFrame, byte_bpe: str, piece_bpe: str, step: int = 4 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+def align(docs: DataFrame, byte_bpe: str, piece_bpe: str, step: int = 2 << 20, block_bytes: int = 8 << 20, keep: int = 250_000) -> DataFrame:
     """Counts, groups and linked pairs of every document, both tokenizers given by their files.
 
     ``(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)``: tokens of each side,
@@ -194,12 +194,13 @@ def align(docs: DataFrame, byte_bpe: str, piece_bpe: str, step: int = 4 << 20, b
     and texts that either tokenizer doesn't give back byte by byte, have zeros and an empty hash.
     Repeated rows count again and give repeated rows; null ids are kept; extra columns are
     ignored; an empty table gives an empty result. A text is one unit of work, so its
-    tokens must fit a task; texts share a block up to ``block_bytes``.
+    tokens must fit a task; texts share a block up to ``block_bytes``. ``keep`` bounds the words whose
+    ids a worker remembers.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _linked(batches, K.loaded(K.ByteBpe, byte_bpe, True), K.loaded(K.PieceBpe, piece_bpe), step, block_bytes)
+        return _linked(batches, K.loaded(K.ByteBpe, byte_bpe, True, keep), K.loaded(K.PieceBpe, piece_bpe, keep), step, block_bytes)
 
     linked = durable(rows.mapInArrow(link, _LINKED))
     pairs = linked.select("block", F.posexplode(F.arrays_zip("pairs", "n")).alias("at", "p")).select("block", "at", F.col("p.pairs").alias("pair"), F.col("p.n").alias("n"))
