@@ -67,19 +67,29 @@ def enrich(source: DataFrame, matches: DataFrame, downloads: DataFrame, overwrit
 def alias_components(edges: DataFrame) -> DataFrame:
     """``(series_id, component)``, the smallest series id that shares titles, directly or through others.
 
-    Labels go from series to title and back until nothing changes, each round written down.
+    A title links its series to the smallest of them, so links are as many as rows at most. Each
+    round every series goes over to its smallest neighbour and links go with their ends: series
+    that are smallest around them stay, the others and links within a component leave, and the next
+    round has a fraction of both. The rounds' steps are put together at the end, last first.
     """
-    e = durable(edges.select("series_id", "title").where("title is not null").distinct())
-    labels = durable(e.select("series_id").distinct().withColumn("component", F.col("series_id")))
-    while True:
-        of_title = e.join(labels, "series_id").groupBy("title").agg(F.min("component").alias("low"))
-        near = e.join(of_title, "title").groupBy("series_id").agg(F.min("low").alias("low"))
-        hop = near.join(labels, "series_id").select("series_id", F.least("component", "low").alias("to"), F.col("component").alias("was"))
-        root = hop.groupBy("was").agg(F.min("to").alias("root_to"))
-        step = durable(hop.join(root, "was").select("series_id", F.least("to", "root_to").alias("component"), "was"))
-        if step.where("component <> was").isEmpty():
-            return step.select("series_id", "component")
-        labels = step.select("series_id", "component")
+    e = edges.select("series_id", "title").where("title is not null").distinct()
+    low = e.groupBy("title").agg(F.min("series_id").alias("low"), F.count("*").alias("n")).where("n > 1")
+    links = durable(e.join(low, "title").where("series_id <> low").select(F.col("series_id").alias("a"), F.col("low").alias("b")).distinct())
+    steps: list[DataFrame] = []
+    while not links.isEmpty():
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("l")).select("l.*")
+        step = durable(ends.groupBy("x").agg(F.least("x", F.min("y")).alias("to")))
+        steps.append(step)
+        moved = links.join(step.select(F.col("x").alias("a"), F.col("to").alias("ta")), "a").join(step.select(F.col("x").alias("b"), F.col("to").alias("tb")), "b").where("ta <> tb")
+        links = durable(moved.select(F.greatest("ta", "tb").alias("a"), F.least("ta", "tb").alias("b")).distinct())
+    labels = steps.pop() if steps else None
+    while steps:
+        ahead = labels.select(F.col("x").alias("to"), F.col("to").alias("last"))
+        labels = steps.pop().join(ahead, "to", "left").select("x", F.coalesce("last", "to").alias("to"))
+    every = e.select("series_id").distinct()
+    if labels is None:
+        return every.withColumn("component", F.col("series_id"))
+    return every.join(labels.select(F.col("x").alias("series_id"), F.col("to").alias("component")), "series_id", "left").select("series_id", F.coalesce("component", "series_id").alias("component"))
 
 
 def alias_expand(names: DataFrame, titles: DataFrame, components: DataFrame) -> DataFrame:
@@ -89,17 +99,21 @@ def alias_expand(names: DataFrame, titles: DataFrame, components: DataFrame) ->
     return via.select("name", "title").union(names.select("name", F.col("name").alias("title"))).distinct()
 
 
-def prefix_match(left: DataFrame, right: DataFrame, block: int = 4) -> DataFrame:
-    """Pairs ``(key, index_key)`` where one is a prefix of the other.
+def prefix_match(left: DataFrame, right: DataFrame, least: int = 1) -> DataFrame:
+    """Pairs ``(key, index_key)`` where one, of ``least`` characters or more, is a prefix of the other.
 
-    Keys of at least ``block`` characters meet on their first characters; a shorter key meets
-    on each of its whole lengths, so every pair is found by an equi-join.
+    The longer key is exploded into its prefixes, which meet the shorter key as a whole: every
+    row of the join is a pair of the result, so keys that merely begin alike never meet, however
+    frequent their beginning is. Rows grow with the lengths of the keys.
     """
-    heads = lambda c: F.transform(F.sequence(F.lit(1), F.least(F.lit(block), F.greatest(F.lit(1), F.length(c)))), lambda i: F.substring(c, F.lit(1), i))
-    l = left.where("key <> ''").select("key", F.explode(heads(F.col("key"))).alias("h"))
-    r = right.where("index_key <> ''").select("index_key", F.explode(heads(F.col("index_key"))).alias("h"))
-    level = F.least(F.length("key"), F.length("index_key"), F.lit(block))
-    return l.join(r, "h").where((F.length("h") == level) & (F.col("key").startswith(F.col("index_key")) | F.col("index_key").startswith(F.col("key")))).select("key", "index_key")
+    left, right = left.where(F.length("key") >= least), right.where(F.length("index_key") >= least)
+
+    def heads(c: str, last: Column) -> Column:
+        return F.explode(F.transform(F.sequence(F.lit(least), last), lambda i: F.substring(c, F.lit(1), i))).alias("head")
+
+    down = left.select("key", heads("key", F.length("key"))).join(right.select("index_key"), F.col("head") == F.col("index_key")).select("key", "index_key")
+    longer = right.where(F.length("index_key") > least).select("index_key", heads("index_key", F.length("index_key") - 1))
+    return down.unionByName(longer.join(left.select("key"), F.col("head") == F.col("key")).select("key", "index_key"))
 
 
 def phrase_domain(titles: DataFrame, index: DataFrame) -> DataFrame:
@@ -221,7 +235,9 @@ def files_for_series(files: DataFrame, titles: DataFrame) -> DataFrame:
     """Files of unknown title, and those whose key equals or, from four characters on, extends or opens one."""
     keyed = files.withColumn("key", match_key(F.coalesce("title", F.lit(""))))
     wanted = titles.select(match_key(F.col("title")).alias("index_key")).where("index_key <> ''").distinct()
-    near = prefix_match(keyed.select("key").distinct(), wanted).where((F.col("key") == F.col("index_key")) | (F.least(F.length("key"), F.length("index_key")) >= 4)).select("key").distinct()
+    keys = keyed.select("key").where("key <> ''").distinct()
+    same = keys.join(wanted, F.col("key") == F.col("index_key"), "left_semi")
+    near = same.unionByName(prefix_match(keys, wanted, 4).select("key")).distinct()
     return keyed.where("key = ''").unionByName(keyed.where("key <> ''").join(near, "key", "left_semi").select(*keyed.columns)).drop("key")
 
 

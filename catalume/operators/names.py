@@ -105,6 +105,12 @@ def _token(kind: Column | str, text: Column, embedded: bool = False) -> Column:
     return F.struct(kind.alias("kind"), text.alias("text"), F.lit(embedded).alias("embedded"))
 
 
+def distinct_components(rows: DataFrame) -> DataFrame:
+    """Each ``component`` once. The one exchange serves all windows and the assembly; its number of partitions is given, as the work is in the rows and not in their bytes."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("component").where("component is not null").repartition(parts, "component").distinct()
+
+
 def spans(components: DataFrame) -> DataFrame:
     """R2: ordered spans ``(component, at, kind, text, closed)``: brackets at any depth, and the text between them.
 
@@ -139,7 +145,8 @@ def spans(components: DataFrame) -> DataFrame:
 
     start = state(F.array().cast(span), F.lit(""), F.lit(0), F.lit(""))
     found = components.select("component", F.aggregate(atoms, start, step, finish).alias("spans"))
-    return found.select("component", F.posexplode("spans").alias("at", "s")).select("component", "at", "s.*")
+    # outer, so that no filter on the size of the spans is inferred, which would find them twice
+    return found.select("component", F.posexplode_outer("spans").alias("at", "s")).where("s is not null").select("component", "at", "s.*")
 
 
 def longest(words: Column, joint: str) -> Column:
@@ -298,7 +305,7 @@ def tokens(components: DataFrame) -> DataFrame:
         return F.when(t["kind"] == _DOTTED, dotted).when(t["kind"] == _SPACED, longest(_words(t["text"]), " ")).otherwise(F.array(t))
 
     opened = F.flatten(F.transform(F.flatten(F.transform(told, parts)), apart))
-    each = rows.select("component", "at", F.posexplode(opened).alias("pos", "t")).select("component", "at", "pos", "t.*")
+    each = rows.select("component", "at", F.posexplode_outer(opened).alias("pos", "t")).where("t is not null").select("component", "at", "pos", "t.*")
     return in_context(each.withColumn("kind", F.when(kind == _NAMED, kind_of(text)).otherwise(kind)))
 
 
@@ -338,7 +345,7 @@ def assemble(told: DataFrame) -> DataFrame:
 
     The ordered tokens of a component are one array; each attribute reads it once.
     """
-    rows = told.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "kind", "text"))).alias("tokens"))
+    rows = told.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("at", "pos", "kind", "text"))).alias("tokens"))
     every = F.col("tokens")
 
     def where(*kinds: str) -> Column:
@@ -362,9 +369,10 @@ def assemble(told: DataFrame) -> DataFrame:
     at = F.array_position(F.transform(every, lambda t: t["kind"].isin("episode", "special")), True).cast("int")
     rows = rows.withColumn("marker", F.when(at > 0, at)).withColumn("episode_text", of("episode")).withColumn("resolution_text", of("resolution"))
     before = F.when(F.col("marker").isNull(), every).otherwise(F.slice(every, F.lit(1), F.col("marker") - 1))
-    behind = F.slice(every, F.col("marker") + 1, F.size(every))
+    rows = rows.withColumn("behind", F.slice(every, F.col("marker") + 1, F.size(every)))
+    behind = F.col("behind")
     stop = F.array_position(F.transform(behind, lambda t: ~t["kind"].isin(*PLAIN, "episode", "special")), True).cast("int")
-    behind = F.when(stop > 0, F.slice(behind, F.lit(1), stop - 1)).otherwise(behind)
+    behind = _let(stop, lambda n: F.when(n > 0, F.slice("behind", F.lit(1), n - 1)).otherwise(F.col("behind")))
     piece = lambda t: F.when(t["kind"] == "text", t["text"]).when(t["kind"] == "paren", F.concat(F.lit("("), t["text"], F.lit(")"))).when(t["kind"] == "bracket", F.concat(F.lit("["), t["text"], F.lit("]")))
     clean = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r"\s*-\s*$", ""), r"\s+", " ")
     joined = lambda found, told: F.array_join(F.transform(found, told), " ")
@@ -434,7 +442,7 @@ def coverage(found: DataFrame) -> DataFrame:
 
 def parse_components(components: DataFrame) -> DataFrame:
     """Attributes and reasons of each distinct ``component``; those without any token have nulls."""
-    distinct = components.select("component").where("component is not null").distinct()
+    distinct = distinct_components(components)
     return assemble(tokens(distinct)).join(coverage(distinct), "component")
 
 
@@ -462,7 +470,7 @@ def parse_paths(paths: DataFrame, column: str = "path") -> DataFrame:
     """
     rows = path_components(paths.select(F.col(column).alias("path")).distinct())
     filled = ("source_type", "service", "bit_depth", "hdr", "resolution", "video_codec", "year")
-    loose = loose_attributes(rows.where("level > 0").select("component").distinct())
+    loose = loose_attributes(distinct_components(rows.where("level > 0")))
     loose = loose.select("component", *[F.col(c).alias(f"_{c}") for c in (*filled[:-1], "audio_codecs")])
     known = rows.join(parse_components(rows), "component", "left").join(loose, "component", "left")
     known = known.withColumns({c: F.when(F.col("level") > 0, F.coalesce(F.col(c), F.col(f"_{c}"))).otherwise(F.col(c)) for c in filled[:-1]})

@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import durable
+
 
 def jaccard_pairs(members: DataFrame, least: float = 0.5, same_names: bool = False) -> DataFrame:
-    """(name_a, name_b, overlap) of sets that share members; intersections by an equi-join on the member."""
-    m = members.select("library", "name", "pid").distinct()
-    size = m.groupBy("library", "name").agg(F.count("*").alias("n"))
-    a = m.where("library = 'A'").select(F.col("name").alias("name_a"), "pid")
-    b = m.where("library = 'B'").select(F.col("name").alias("name_b"), "pid")
-    both = a.join(b, "pid").groupBy("name_a", "name_b").agg(F.count("*").alias("k"))
-    if not same_names:
-        both = both.where("name_a <> name_b")
-    sa = size.where("library = 'A'").select(F.col("name").alias("name_a"), F.col("n").alias("na"))
-    sb = size.where("library = 'B'").select(F.col("name").alias("name_b"), F.col("n").alias("nb"))
-    return both.join(sa, "name_a").join(sb, "name_b").select("name_a", "name_b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("overlap")).where(F.col("overlap") >= least)
+    """(name_a, name_b, overlap) of sets of both libraries whose overlap is ``least`` or more, above zero.
+
+    A set of n members that overlaps another by t shares t * n of them, so the two share one of
+    their n - t * n + 1 rarest. Only these meet, in sets whose sizes allow the overlap; a
+    member of nearly all sets is among the rarest of none but the smallest. What met is then
+    counted in full. Equal members count once; null names and members are none.
+    """
+    m = durable(members.select("library", "name", "pid").where("name is not null and pid is not null").distinct())
+    sizes = m.groupBy("library", "name").agg(F.count("*").alias("n"))
+    rare = m.groupBy("pid").agg(F.count("*").alias("often"))
+    by_rarity = Window.partitionBy("library", "name").orderBy("often", "pid")
+    ranked = m.join(rare, "pid").withColumn("at", F.row_number().over(by_rarity)).join(sizes, ["library", "name"])
+    heads = durable(ranked.where(F.col("at") <= F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * least - 1e-9)) + 1).select("library", "name", "pid", "n"))
+
+    def side(rows: DataFrame, library: str, c: str, *more: Column) -> DataFrame:
+        return rows.where(F.col("library") == library).select(F.col("name").alias(f"name_{c}"), "pid", *more)
+
+    met = side(heads, "A", "a", F.col("n").alias("na")).join(side(heads, "B", "b", F.col("n").alias("nb")), "pid")
+    met = met.where((F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (F.lit(same_names) | (F.col("name_a") != F.col("name_b"))))
+    shared = met.select("name_a", "name_b", "na", "nb").distinct().join(side(m, "A", "a"), "name_a").join(side(m, "B", "b"), ["name_b", "pid"])
+    both = shared.groupBy("name_a", "name_b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return both.select("name_a", "name_b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("overlap")).where(F.col("overlap") >= least)
 
 
 def drift(members: DataFrame) -> DataFrame:
@@ -37,8 +50,6 @@ def claims(pairs: DataFrame) -> DataFrame:
     tables are small (overlapping sets only); rounds end when none is left, and each
     settles a pair at least. Null names are no names.
     """
-    from ..plans.durable import durable
-
     left, out, rounds = durable(pairs.where("name_a is not null and name_b is not null").distinct()), None, 0
     best_a = Window.partitionBy("name_a").orderBy(F.desc("overlap"), "name_b")
     best_b = Window.partitionBy("name_b").orderBy(F.desc("overlap"), "name_a")

@@ -66,14 +66,16 @@ def changed_dirs(prev_dirs: DataFrame, cur_dirs: DataFrame) -> DataFrame:
     return cur_dirs.join(freshness(prev_dirs, cur_dirs, ["path"]).where(F.col("state").isin("new", "changed")).select("path"), "path", "left_semi")
 
 
-def upsert_files(prev: DataFrame, cur: DataFrame) -> DataFrame:
+def upsert_files(prev: DataFrame, cur: DataFrame, top: int | None = None) -> DataFrame:
     """The new version of the file table.
 
     Known (dir, filename) keeps its id; a changed mtime clears the scan stamp and hash; new
     files get ids above the largest old one, in order of directory and name. Numbering is by
-    range partition with counted offsets, so no task sees all new rows.
+    range partition with counted offsets, so no task sees all new rows. ``top`` is the largest
+    old id, where ``prev`` is a part of the table only.
     """
-    top = prev.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
+    if top is None:
+        top = prev.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
     p = prev.select(*KEY, "file_id", F.col("mtime").alias("_mtime"), "metadata_scanned_at", "content_hash")
     j = cur.select(*KEY, "size", "ctime", "mtime").join(p, KEY, "left")
     same = F.col("_mtime").eqNullSafe(F.col("mtime"))

@@ -5,18 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write to the session's shared checkpoint folder, ``spark.checkpoint.dir``, and read back (a temporary folder in a local session without one)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder, ``spark.checkpoint.dir``; a temporary folder in a local session without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="catalume-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder below the shared one that nothing else has."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back."""
+    path = new_folder(df.sparkSession, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sql as surface
+from ..functions import text as G
+from ..operators import logs as L
 from ..operators import names as N
+from ..operators import planning as P
+from ..operators import sketches as K
+from ..operators import versions as V
+from ..sources import writers as W
+from ..streaming import drain as D
+from .durable import new_folder
 
 _FIELDS = ("title", "season", "episode", "episode_title", "version", "release_group", "source_type", "resolution", "video_codec", "checksum", "bit_depth", "year", "dual_audio")
 
@@ -35,7 +44,7 @@ _COUNTED = {"audio": (1, 1, 1, 1, 1, 0), "checksum": (0, 1, 0, 0, 0, 0), "depth"
 
 
 def _kinds(t) -> DataFrame:
-    found = N.tokens(t.v_releases.select(F.col("name").alias("component")).distinct())
+    found = N.tokens(N.distinct_components(t.v_releases.select(F.col("name").alias("component"))))
     return found.where(F.col("kind").isin(*_COUNTED)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -52,7 +61,135 @@ _PATHS = """SELECT DISTINCT series || ' (199' || s || ') [1080p]/Season 0' || s
  grp AS release_group, CASE WHEN shape = 1 THEN '720' ELSE '1080' END AS resolution FROM {v_releases} WHERE shape IN (1, 4)"""
 
 
+def _find_in_sql(t) -> DataFrame:
+    """F2 written in SQL alone."""
+    surface.register(t.spark)
+    return t.spark.sql(r"SELECT full_path, extension(filename) AS ext FROM {files} WHERE find_regexp('order_\\d*[48]\\.(?:flac|mkv)$', full_path)", files=t.files)
+
+
+def _components_in_sql(t) -> DataFrame:
+    """R1 by a table function: how often each component stands at each level."""
+    surface.register(t.spark)
+    return t.spark.sql("SELECT p.level, p.component, count(*) AS n FROM {files}, LATERAL path_components(full_path) p WHERE p.level > 0 GROUP BY ALL", files=t.files)
+
+
+def _tokens_in_sql(t) -> DataFrame:
+    """R2, R3 and R10 through views, by SQL alone."""
+    surface.register_names(t.v_releases.select(F.col("name").alias("path")), "release")
+    return t.spark.sql("SELECT release_group, video_codec, count(*) AS n FROM release_components JOIN release_attributes USING (component) WHERE level = 0 GROUP BY ALL")
+
+
+_TOKENS_IN_SQL = f"""SELECT release_group, video_codec, count(*) AS n FROM (SELECT DISTINCT name, CASE WHEN shape <> 3 THEN grp END AS release_group,
+ {_by("'x265'", "'HEVC'", "'H.264'", "'x265'", "'HEVC'", 'NULL')} AS video_codec FROM {{v_releases}}) q GROUP BY ALL"""
+
+
+def _sketched(t) -> DataFrame:
+    """Whether the median and the 90th percentile of merged daily sketches have the ranks they should, per class."""
+    runs = L.sessions(t.v_logs, 3600).where("lines >= 2").select("day", "class", "seconds")
+    merged = K.quantiles(K.merged(K.sketches(runs, "day", "class"), "class"), 0.5, 0.9)
+
+    def holds(q: str, rank: float):
+        below, upto = F.avg((F.col("seconds") < F.col(q)).cast("int")), F.avg((F.col("seconds") <= F.col(q)).cast("int"))
+        return ((below - 0.0133 <= rank) & (rank <= upto + 0.0133)).alias(f"{q}_holds")
+
+    return runs.join(merged, "class").groupBy("class", "n").agg(holds("q50", 0.5), holds("q90", 0.9))
+
+
+_JOBS = """SELECT regexp_extract(context, '^(.*)_[0-9]+$', 1) AS class, count(*) AS n FROM (
+ SELECT context, CAST(ts AS DATE) AS day, count(*) AS k, run FROM (SELECT *, sum(cut) OVER (PARTITION BY CAST(ts AS DATE), context ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM (
+  SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY CAST(ts AS DATE), context ORDER BY ts) > 3600000000 THEN 1 ELSE 0 END AS cut FROM {v_logs}) a) b GROUP BY ALL) c WHERE k >= 2 GROUP BY 1"""
+
+
+def _versioned(t) -> DataFrame:
+    """A table by buckets after a listing of some directories: every seventh file of theirs is gone, every third changed."""
+    path = new_folder(t.spark, "catalog")
+    full = F.concat_ws("/", "root_path", F.nullif("dir", F.lit("")))
+    files = t.files.select(full.alias("dir"), "filename", "size", "ctime", "mtime", F.lit(None).cast("timestamp").alias("metadata_scanned_at"), F.lit("h").alias("content_hash"), "file_id")
+    V.create(files, path, 64)
+    chosen = files.where(F.col("dir").endswith("/BUILDING"))
+    listing = chosen.where("file_id % 7 <> 0").withColumn("mtime", F.col("mtime") + F.when(F.col("file_id") % 3 == 0, 1).otherwise(0))
+    V.apply_listing(t.spark, path, listing, files.where(F.col("dir").endswith("/FURNITURE")), 64)
+    return V.read(t.spark, path).select("dir", "filename", "mtime", "content_hash", "file_id")
+
+
+_VERSIONED = """WITH c AS (SELECT *, root_path || CASE WHEN dir = '' THEN '' ELSE '/' || dir END AS d FROM {v_catalog})
+ SELECT d AS dir, filename, mtime + CASE WHEN d LIKE '%/BUILDING' AND file_id % 3 = 0 THEN 1 ELSE 0 END AS mtime,
+ CASE WHEN NOT (d LIKE '%/BUILDING' AND file_id % 3 = 0) THEN 'h' END AS content_hash, file_id FROM c
+ WHERE NOT d LIKE '%/FURNITURE' AND NOT (d LIKE '%/BUILDING' AND file_id % 7 = 0)"""
+
+
+def _drained(t) -> DataFrame:
+    """Daily samples of servers, each up to the one that ends its run."""
+    each = t.events.groupBy((F.col("user_id") % 40).cast("string").alias("server"), F.date_trunc("day", "ts").alias("ts")).agg(F.count("*").alias("total"))
+    samples = each.withColumn("open", F.when(F.col("total") % 11 != 3, F.col("total") % 13))
+    return D.drain(samples, 72.0, 1.0).select("server", "at", "total", "open", F.round("span_hours", 6).alias("span_hours"), "status")
+
+
+_DRAINED = """WITH e AS (SELECT CAST(user_id % 40 AS VARCHAR) AS server, date_trunc('day', ts) AS t, count(*) AS total FROM {events} GROUP BY 1, 2),
+ s AS (SELECT *, CASE WHEN total % 11 <> 3 THEN total % 13 END AS open FROM e),
+ w AS (SELECT a.server, a.t, a.total, a.open, regr_slope(b.open, epoch(b.t) - epoch(a.t)) AS slope, (epoch(max(b.t)) - epoch(min(b.t))) / 3600 AS span
+  FROM s a LEFT JOIN s b ON b.server = a.server AND b.open IS NOT NULL AND b.t BETWEEN a.t - INTERVAL 72 HOUR AND a.t GROUP BY ALL),
+ f AS (SELECT *, CASE WHEN total = 0 OR open = 0 THEN 'done' WHEN span >= 72 AND abs(slope) * 86400 < 1 THEN 'plateau' ELSE 'running' END AS status FROM w),
+ o AS (SELECT *, coalesce(max(CASE WHEN status <> 'running' THEN 1 ELSE 0 END) OVER (PARTITION BY server ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM f)
+ SELECT server, CAST(t AS TIMESTAMP) AS "at", total, open, CAST(nullif(span, 0) AS DOUBLE) AS span_hours, status FROM o WHERE ended = 0"""
+
+# crc32 by bits in SQL, for ASCII texts
+_STEP = "xor(c >> 1, 3988292384 * (c & 1))"
+_TABLE = f"step AS (SELECT list(v ORDER BY b) AS crc FROM (SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), range(8)), lambda c, i: {_STEP}) AS v FROM range(256) r(b)) q)"
+_CRC = "upper(lpad(to_hex(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(p_name, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1])), 4294967295)), 8, '0'))"
+
+
+def _checked(t) -> DataFrame:
+    """Names with the right checksum, with one of other content, and with none."""
+    right, other = G.crc_hex(F.col("p_name").cast("binary")), F.lpad(F.hex("p_partkey"), 8, "0")
+    tag = F.when(F.col("p_partkey") % 3 == 0, right).when(F.col("p_partkey") % 3 == 1, F.lower(other))
+    name = F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.coalesce(F.concat(F.lit(" ["), tag, F.lit("]")), F.lit("")), F.lit(".mkv"))
+    return P.verify_checksum(t.part.select(name.alias("filename"), F.col("p_name").cast("binary").alias("content")))
+
+
+_CHECKED = f"""WITH {_TABLE}, p AS (SELECT p_partkey, {_CRC} AS good, lpad(to_hex(p_partkey), 8, '0') AS other FROM {{part}}, step)
+ SELECT 'f' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN ' [' || good || ']' WHEN 1 THEN ' [' || lower(other) || ']' ELSE '' END || '.mkv' AS filename,
+ CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN upper(other) = good END AS verified FROM p"""
+
+
+def _matches_back(t) -> DataFrame:
+    """The CSV of matches, read back from its files."""
+    path = new_folder(t.spark, "matches")
+    W.write_matches_csv(t.files.where("size % 2 = 0"), path)
+    return t.spark.read.schema("path string, size long, ctime long, mtime long").option("header", "true").csv(path)
+
+
+def _plan_back(t) -> DataFrame:
+    """A plan as JSON, edited between writing and reading: every third entry is skipped."""
+    path = new_folder(t.spark, "plan")
+    entries = t.orders.select(F.col("o_orderkey").cast("string").alias("source"), F.col("o_orderpriority").alias("title"), F.lit("ready").alias("status"), F.lit(None).cast("string").alias("conflict"))
+    W.write_plan(entries.withColumn("status", F.when(F.col("source").cast("long") % 3 == 0, "skip").otherwise(F.col("status"))), entries.select("title").distinct(), path)
+    back, titles = W.read_plan(entries.schema, entries.select("title").schema, t.spark, path)
+    return back.join(titles, "title").select("source", "title", "status", "conflict")
+
+
+def _blobs_back(t) -> DataFrame:
+    """Contents stored once each over two writes, the second with the first one's as known."""
+    path = new_folder(t.spark, "blobs")
+    contents = lambda rows: rows.select(F.col("text").cast("binary").alias("content"))
+    none = t.spark.createDataFrame([], "hash string")
+    W.write_blobs(contents(t.documents.where("doc_id % 3 = 0 and text is not null")), none, path)
+    W.write_blobs(contents(t.documents.where("text is not null")), t.spark.read.parquet(path).select("hash"), path)
+    return t.spark.read.parquet(path).select("hash", F.octet_length("content").cast("long").alias("bytes"), F.col("prefix").cast("string").alias("prefix"))
+
+
 def register(add: Callable) -> None:
     add("r10_assembled_names", _assembled, _ASSEMBLED)
     add("r9_token_kinds", _kinds, _KINDS)
     add("r11_token_paths", _paths, _PATHS)
+    add("u1_sql_find", _find_in_sql, "SELECT full_path, lower(regexp_extract(filename, '\\.([^.]+)$', 1)) AS ext FROM {v_catalog} WHERE regexp_matches(full_path, 'order_[0-9]*[48]\\.(flac|mkv)$')")
+    add("u3_sql_components", _components_in_sql, "SELECT CAST(len(p) - i AS INT) AS level, p[i] AS component, count(*) AS n FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT list_filter(string_split(full_path, '/'), lambda x: trim(x) <> '') AS p FROM {v_catalog}) a) b GROUP BY ALL")
+    add("u3_sql_tokens", _tokens_in_sql, _TOKENS_IN_SQL)
+    add("a16_sketched_durations", _sketched, f"SELECT class, n, true AS q50_holds, true AS q90_holds FROM ({_JOBS}) q")
+    add("i2_versioned_buckets", _versioned, _VERSIONED)
+    add("i10_drain_monitor", _drained, _DRAINED)
+    add("g26_crc_hex", lambda t: t.part.select("p_partkey", G.crc_hex(F.col("p_name").cast("binary")).alias("crc")), f"WITH {_TABLE} SELECT p_partkey, {_CRC} AS crc FROM {{part}}, step")
+    add("j35_checked_names", _checked, _CHECKED)
+    add("snk2_matches_csv", _matches_back, "SELECT full_path AS path, size, ctime, mtime FROM {v_catalog} WHERE size % 2 = 0")
+    add("snk4_plan_json", _plan_back, "SELECT CAST(o_orderkey AS VARCHAR) AS source, o_orderpriority AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'skip' ELSE 'ready' END AS status, CAST(NULL AS VARCHAR) AS conflict FROM {orders}")
+    add("snk5_blob_store", _blobs_back, "SELECT DISTINCT sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS bytes, substr(sha256(text), 1, 2) AS prefix FROM {documents} WHERE text IS NOT NULL")

@@ -242,8 +242,8 @@ _add(
 )
 _add(
     "j27_files_for_series",
-    lambda t: M.files_for_series(t.v_source.select("path", F.when(F.col("episode") == 7, F.lit(None)).otherwise(F.col("series_key")).alias("title")), t.part.where("p_partkey % 50 = 0").select(F.substring("p_name", 1, 6).alias("title"))).select("path"),
-    "WITH i AS (SELECT DISTINCT regexp_replace(substr(p_name, 1, 6), '[^a-z0-9]', '', 'g') AS k FROM {part} WHERE p_partkey % 50 = 0), f AS (SELECT path, CASE WHEN episode = 7 THEN '' ELSE regexp_replace(lower(series_key), '[^a-z0-9]', '', 'g') END AS key FROM {v_source}) SELECT path FROM f WHERE key = '' OR EXISTS (SELECT 1 FROM i WHERE key = k OR (least(length(key), length(k)) >= 4 AND (starts_with(key, k) OR starts_with(k, key))))",
+    lambda t: M.files_for_series(t.v_source.select("path", F.when(F.col("episode") == 7, F.lit(None)).otherwise(F.col("series_key")).alias("title")), t.part.select(F.expr("substring(p_name, 1, p_partkey % 12 + 1)").alias("title"))).select("path"),
+    "WITH i AS (SELECT DISTINCT regexp_replace(substr(p_name, 1, CAST(p_partkey % 12 + 1 AS INT)), '[^a-z0-9]', '', 'g') AS k FROM {part}), f AS (SELECT path, CASE WHEN episode = 7 THEN '' ELSE regexp_replace(lower(series_key), '[^a-z0-9]', '', 'g') END AS key FROM {v_source}) SELECT path FROM f WHERE key = '' OR EXISTS (SELECT 1 FROM i WHERE key = k OR (least(length(key), length(k)) >= 4 AND (starts_with(key, k) OR starts_with(k, key))))",
 )
 _add(
     "j28_existing_episode",
