@@ -7,12 +7,13 @@
 2. Each list is merged against itself: equal coordinates of whole signatures are counted, and
    pairs above the match threshold (and of sizes that allow the similarity) are candidates.
    Rows that are joined already are skipped, so a list gives a spanning forest of its
-   candidates, never all its pairs. Lists too long for one task are posted again under the
-   next ``posted`` coordinates.
+   candidates, never all its pairs. A list too long for one task is cut into blocks that share some
+   of its sets, so that forests of a family meet in them; what isn't joined to the list's
+   main family then meets all blocks.
 3. The connected candidates form clusters. Each set goes to its cluster once, and there the
    full sets are merged through an inverted index, which confirms every link exactly and
-   again emits a spanning forest. Clusters too large for one task are cut into blocks that
-   meet pair by pair.
+   again emits a spanning forest. Clusters too large for one task are cut into blocks in the
+   same way.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ class Params:
     """``percent``: least Jaccard similarity in hundredths; ``matches``: least equal coordinates of a candidate pair.
 
     At 80 % a true pair agrees in 51 of 64 coordinates on average and in fewer than 32 with
-    a chance of 1e-9. ``list_rows`` and ``block_rows`` bound what one task merges.
+    a chance of 1e-9. ``list_rows``, ``block_rows`` and ``block_bytes`` (of sets, at eight bytes a
+    shingle) bound what one task merges; ``shared`` sets, about, are in all blocks of a list or cluster.
     """
 
     width: int = 5
@@ -48,12 +50,14 @@ class Params:
     matches: int = 32
     list_rows: int = 4000
     block_rows: int = 8000
+    block_bytes: int = 128 << 20
+    shared: int = 128
 
 
 def shingle_sets(data: np.ndarray, ofs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles, row after row, and their offsets; short rows give their whole sequence."""
     start, end, n = T.words(T.lower_ascii(data), ofs)
-    h = T.range_hash(T.prefix_hash(T.lower_ascii(data)), start, end)
+    h = T.word_hash(T.lower_ascii(data), start, end)
     first = np.concatenate([[0], np.cumsum(n)])
     count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     at = np.concatenate([[0], np.cumsum(count)])
@@ -149,24 +153,51 @@ def _list_links(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Rec
         yield solve(*held)
 
 
+def _cut(rows: DataFrame, shared: int) -> DataFrame:
+    """Rows ``(key, a, n, blocks)`` with the ``part`` of their block; about ``shared`` of each key are in all its blocks."""
+    own = F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")).cast("int")
+    often = F.pmod(F.xxhash64("a", F.lit("shared")), F.col("n")) < shared
+    parts = F.when(often, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    return rows.withColumn("part", F.explode(parts)).withColumn("part", F.xxhash64("key", "part"))
+
+
+def _rest(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of cut keys outside the largest part of their key that is joined already, each with every block of the key.
+
+    Where the blocks of a key are one family, nothing is left; else the rest, by blocks, meets
+    all rows of the key, so that no pair of different parts is left out.
+    """
+    told = durable(rows.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")))
+    sizes = told.groupBy("key", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
+    main = main.where("`all` > most").withColumn("rest", F.col("all") - F.col("most"))
+    left = told.join(main, "key")
+    # as many blocks of the rest as its share of the rows asks for
+    mine = F.greatest(F.lit(1), F.ceil(F.col("rest") * F.col("blocks") / F.col("n"))).cast("int")
+    left = left.withColumn("mine", mine)
+    own = F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")).cast("int")
+    other = F.pmod(F.xxhash64("a", F.lit("rest")), F.col("mine")).cast("int")
+    every = left.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mine") - 1))).withColumn("j", own)
+    rest = left.where("component <> main").withColumn("i", other).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return every.unionByName(rest).select("a", F.xxhash64("key", "i", "j", F.lit("rest")).alias("part")).distinct()
+
+
 def candidates(sets: DataFrame, p: Params) -> DataFrame:
-    """Spanning candidate links ``(a, b)`` of ``sets(a, size, sig)``."""
-    level, rows, out = 0, sets.withColumn("list", F.lit(0).cast("long")), None
-    while True:
-        last = (level + 2) * p.posted > p.coords
-        coords = range(level * p.posted, (level + 1) * p.posted)
-        keys = F.array(*[F.xxhash64(F.col("list"), F.lit(c), F.substring("sig", 4 * c + 1, 4)) for c in coords])
-        posted = rows.select("a", F.explode(keys).alias("key"))
-        lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        posted = durable(posted.join(lists, "key"))
-        now = posted if last else posted.where(F.col("n") <= p.list_rows)
-        whole = now.join(sets, "a").select("key", "a", "size", "sig").repartition("key").sortWithinPartitions("key")
-        found = durable(whole.mapInArrow(lambda b: _list_links(b, p), "a long, b long"))
-        out = found if out is None else out.union(found)
-        long_lists = posted.where(F.col("n") > p.list_rows)
-        if last or long_lists.isEmpty():
-            return out
-        rows, level = long_lists.select("a", F.col("key").alias("list")).join(sets, "a"), level + 1
+    """Spanning candidate links ``(a, b)`` of ``sets(a, size, sig)``; every set is posted ``posted`` times, whatever the lists' lengths."""
+    keys = F.array(*[F.xxhash64(F.lit(c), F.substring("sig", 4 * c + 1, 4)) for c in range(p.posted)])
+    posted = sets.select("a", F.explode(keys).alias("key"))
+    lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    posted = durable(posted.join(lists, "key").withColumn("blocks", F.ceil(F.col("n") / p.list_rows).cast("int")))
+
+    def linked(parts: DataFrame) -> DataFrame:
+        whole = parts.select("part", "a").join(sets, "a").select("part", "a", "size", "sig").repartition("part").sortWithinPartitions("part")
+        return durable(whole.mapInArrow(lambda b: _list_links(b, p), "a long, b long"))
+
+    whole, long_lists = posted.where("blocks = 1").withColumn("part", F.col("key")), posted.where("blocks > 1")
+    if long_lists.isEmpty():
+        return linked(whole)
+    found = linked(whole.select("part", "a").unionByName(_cut(long_lists, p.shared).select("part", "a")))
+    return found.union(linked(_rest(long_lists, components(found))))
 
 
 def exact_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -215,9 +246,10 @@ def links(sets: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """Components ``(node, component)`` of the exact similarity graph over ``sets(a, size, sig)``; ``docs`` has their texts."""
     sets = durable(sets.select("a", "size", "sig"))
     clusters = durable(components(candidates(sets, p)))
-    blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / p.block_rows).cast("int").alias("blocks"))
-    members = clusters.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "block", "blocks")
+    by_bytes = F.ceil(F.sum("size") * 8 / p.block_bytes)
+    sizes = clusters.join(sets.select(F.col("a").alias("node"), "size"), "node").groupBy("component")
+    sizes = sizes.agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / p.block_rows), by_bytes).cast("int").alias("blocks"))
+    members = durable(clusters.join(sizes, "component").select(F.col("node").alias("a"), F.col("component").alias("key"), "n", "blocks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,17 +257,25 @@ def links(sets: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
             for lo, hi in T.slices(ofs):
                 found, at = shingle_sets(data[ofs[lo] : ofs[hi]], ofs[lo : hi + 1] - ofs[lo], p.width)
                 each = [np.unique(found[at[i] : at[i + 1]]).tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(batch.column(c).slice(lo, hi - lo) for c in (2, 3, 4)), pa.array(each, pa.binary())], ["a", "cluster", "block", "blocks", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(each, pa.binary())], ["a", "items"])
 
-    full = docs.select("doc_id", "text").join(members, "doc_id").select("doc_id", "text", "cluster", "block", "blocks").mapInArrow(cut, "a long, cluster long, block int, blocks int, items binary")
-    met = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    texts = docs.select(F.col("doc_id").alias("a"), "text").join(members.select("a"), "a")
+    full = texts.select("a", "text").mapInArrow(cut, "a long, items binary")
 
     def confirm(f: pd.DataFrame) -> pd.DataFrame:
         a = f["a"].to_numpy()
         pairs = exact_forest([np.frombuffer(x, U64) for x in f["items"]], p.percent)
         return pd.DataFrame({"a": a[[i for i, _ in pairs]], "b": a[[j for _, j in pairs]]})
 
-    return components(met.groupBy("cluster", "low", "high").applyInPandas(confirm, "a long, b long"))
+    def confirmed(parts: DataFrame) -> DataFrame:
+        return parts.join(full, "a").groupBy("part").applyInPandas(confirm, "a long, b long")
+
+    small, large = members.where("blocks = 1").select("a", F.col("key").alias("part")), members.where("blocks > 1")
+    if large.isEmpty():
+        return components(confirmed(small))
+    full = durable(full)
+    found = durable(confirmed(small.unionByName(_cut(large, p.shared).select("a", "part"))))
+    return components(found.union(confirmed(_rest(large, components(found)))))
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -247,15 +287,30 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if _repeats(docs):  # rows are told apart by id and text, and get the smallest id of their component
+        row = F.xxhash64("doc_id", "text")
+        known = docs.where("doc_id is not null")
+        found = _near_rows(known.select(row.alias("doc_id"), "text").distinct(), p).select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+        told = docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), row)).join(durable(found), "row", "left")
+        least = durable(told.where("row is not null").groupBy("component_id").agg(F.min("doc_id").alias("least")))
+        nameless = signatures(docs.where("doc_id is null"), p).select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
+        both = told.where("row is not null").join(least, "component_id").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")).unionByName(nameless)
+    else:
+        both = _near_rows(docs, p)
+    return both.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _near_rows(docs: DataFrame, p: Params) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of rows whose ids are their own."""
     all_sets = durable(signatures(docs, p))
     some = all_sets.where("n_shingles > 0 and doc_id is not null")
     reps = durable(some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("a"), F.min("sig").alias("sig")).withColumn("size", F.col("n_shingles")))
-    found = links(reps, docs.dropDuplicates(["doc_id"]) if _repeats(all_sets) else docs, p)
+    found = links(reps, docs, p)
     whole = reps.join(found.withColumnRenamed("node", "a"), "a", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "a").alias("component_id"))
     keyed = all_sets.drop("sig").join(whole, ["k1", "k2", "n_shingles"], "left")
     keyed = keyed.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return keyed.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return keyed.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _repeats(sets: DataFrame) -> bool:
-    return not sets.groupBy("doc_id").count().where("count > 1").isEmpty()
+def _repeats(docs: DataFrame) -> bool:
+    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
