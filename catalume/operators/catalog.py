@@ -230,6 +230,17 @@ def collation_keys(c: Column) -> list[Column]:
     return [F.collate(bare, "UNICODE"), F.collate(c, "UNICODE")]
 
 
+def same_name(a: Column, b: Column) -> Column:
+    """Whether two names are equal but for case and accents; null where one is null."""
+    return F.collate(a, "UNICODE_CI_AI") == F.collate(b, "UNICODE_CI_AI")
+
+
+def name_counts(df: DataFrame, column: str) -> DataFrame:
+    """``(name, n)`` of names that are one but for case and accents, by the smallest spelling in code-point order."""
+    folded = df.select(F.col(column).alias("name"), F.collate(F.col(column), "UNICODE_CI_AI").alias("folded"))
+    return folded.groupBy("folded").agg(F.min("name").alias("name"), F.count("*").alias("n")).select("name", "n")
+
+
 def collate_order(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*[k for c in columns for k in collation_keys(F.col(c))])
 

@@ -446,6 +446,12 @@ def parse_components(components: DataFrame) -> DataFrame:
     return assemble(tokens(distinct)).join(coverage(distinct), "component")
 
 
+def problems(parsed: DataFrame, key: str = "component") -> DataFrame:
+    """``(key, reasons)`` of what has no title, or whose reasons say that the rules can't decide it."""
+    told = F.when(F.col("title").isNull(), F.array_append("reasons", F.lit("no title"))).otherwise(F.col("reasons"))
+    return parsed.select(key, told.alias("reasons")).where(F.size("reasons") > 0)
+
+
 def loose_attributes(components: DataFrame) -> DataFrame:
     """Attributes of the media words of distinct components, wherever they stand: for directories, which need no brackets."""
     each = components.select("component", F.lit(0).alias("at"), F.posexplode(longest(_words(F.col("component")), " ")).alias("pos", "t")).select("component", "at", "pos", "t.*")

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as surface
 from ..functions import text as G
+from ..operators import catalog as C
 from ..operators import logs as L
 from ..operators import names as N
 from ..operators import planning as P
 from ..operators import sketches as K
 from ..operators import versions as V
+from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import drain as D
+from . import pipelines as plans
 from .durable import new_folder
 
 _FIELDS = ("title", "season", "episode", "episode_title", "version", "release_group", "source_type", "resolution", "video_codec", "checksum", "bit_depth", "year", "dual_audio")
@@ -178,6 +181,93 @@ def _blobs_back(t) -> DataFrame:
     return t.spark.read.parquet(path).select("hash", F.octet_length("content").cast("long").alias("bytes"), F.col("prefix").cast("string").alias("prefix"))
 
 
+def _ingest(t) -> DataFrame:
+    """P1 over made releases: hard-link twins, registered files, ids, destinations, long names, same-size twins, one version, decisions, duplicates."""
+    key = F.col("o_orderkey")
+    title = F.when(key % 50 == 7, F.rpad(F.lit("long"), 260, "x")).otherwise(F.concat(F.lit("Show "), (F.col("o_custkey") % 300).cast("string")))
+    sources = t.orders.select(
+        key.cast("string").alias("source"), key.alias("pos"), (F.lit(10**9) + key).alias("size"), title.alias("title"), F.lit(2000).alias("year"),
+        F.lit(1).alias("season"), (key % 40).cast("int").alias("episode"), F.when(key % 3 == 0, "G").alias("release_group"), F.lit(1).alias("version"), F.lit("mkv").alias("ext"),
+        F.when(key % 20 < 2, F.lit(1)).alias("dev"), F.when(key % 20 < 2, F.floor(key / 20)).alias("inode"),
+    )
+    library = t.orders.where("o_orderkey % 31 = 0").select(F.lit("Elsewhere").alias("dir"), F.concat(F.lit("f"), key.cast("string")).alias("filename"), (F.lit(10**9) + key).alias("size"))
+    ids = [("list", t.orders.where("o_custkey % 300 < 200").select(F.concat(F.lit("Show "), (F.col("o_custkey") % 300).cast("string")).alias("title"), (F.col("o_custkey") % 300).alias("pid")).distinct())]
+    register = t.orders.where("o_orderkey % 13 = 0").select(key.cast("string").alias("source"))
+    prior = t.orders.where("o_orderkey % 17 = 0").select(key.cast("string").alias("source"), F.lit("skip").alias("status"), F.lit(None).cast("string").alias("conflict"))
+    return plans.ingest_plan(sources, library, ids, register, prior).select("source", "pid", "dest_dir", "dest_name", "status")
+
+
+_INGEST = """WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 = 7 THEN rpad('long', 260, 'x') ELSE 'Show ' || (o_custkey % 300) END AS title, o_orderkey % 40 AS episode,
+  CASE WHEN o_orderkey % 20 < 2 THEN o_orderkey // 20 END AS inode FROM {orders}),
+ w AS (SELECT * FROM s QUALIFY inode IS NULL OR row_number() OVER (PARTITION BY inode ORDER BY k) = 1),
+ r AS (SELECT * FROM w WHERE k % 13 <> 0),
+ i AS (SELECT DISTINCT 'Show ' || (o_custkey % 300) AS title, o_custkey % 300 AS pid FROM {orders} WHERE o_custkey % 300 < 200),
+ d AS (SELECT r.*, i.pid, title || ' (2000)/Season 01' AS dest_dir, title || ' - S01E' || CASE WHEN episode < 10 THEN '0' ELSE '' END || episode || CASE WHEN k % 3 = 0 THEN ' [G]' ELSE '' END || '.mkv' AS dest_name FROM r LEFT JOIN i USING (title)),
+ a AS (SELECT *, CASE WHEN strlen(dest_name) > 255 THEN 'skip' WHEN k % 31 = 0 THEN 'skip' ELSE 'ready' END AS s1 FROM d),
+ v AS (SELECT *, CASE WHEN s1 = 'ready' AND row_number() OVER (PARTITION BY title, episode, s1 ORDER BY k) > 1 THEN 'skip' ELSE s1 END AS s2 FROM a),
+ p AS (SELECT *, CASE WHEN k % 17 = 0 THEN 'skip' ELSE s2 END AS s3 FROM v),
+ f AS (SELECT *, CASE WHEN s3 = 'ready' AND row_number() OVER (PARTITION BY lower(dest_dir), lower(dest_name), s3 ORDER BY k) > 1 THEN 'skip' ELSE s3 END AS status FROM p)
+ SELECT CAST(k AS VARCHAR) AS source, pid, dest_dir, dest_name, status FROM f"""
+
+
+def _outcomes(t) -> DataFrame:
+    """Every entry's decision, and whether the register holds it afterwards."""
+    key = F.col("o_orderkey")
+    plan = t.orders.select(key.cast("string").alias("source"), F.element_at(F.array(F.lit("ready"), F.lit("skip"), F.lit("conflict")), (key % 3 + 1).cast("int")).alias("status"), F.element_at(F.array(F.lit("keep"), F.lit("replace"), F.lit("both"), F.lit(None).cast("string")), (key % 4 + 1).cast("int")).alias("conflict"))
+    done = t.orders.where("o_orderkey % 5 < 4").select(key.cast("string").alias("source"), (key % 5 < 3).alias("done"))
+    old = t.orders.where("o_orderkey % 19 = 0").select(key.cast("string").alias("source"))
+    decided, register = plans.apply_outcomes(plan, done, old)
+    return decided.join(register.withColumn("registered", F.lit(True)), "source", "left").select("source", "decision", F.coalesce("registered", F.lit(False)).alias("registered"))
+
+
+_OUTCOMES = """WITH d AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 1 THEN 'skipped' WHEN 2 THEN CASE o_orderkey % 4 WHEN 1 THEN 'replaced' WHEN 2 THEN 'both' ELSE 'kept' END
+ ELSE CASE WHEN o_orderkey % 5 < 3 THEN 'copied' ELSE 'failed' END END AS decision FROM {orders})
+ SELECT CAST(k AS VARCHAR) AS source, decision, k % 19 = 0 OR decision IN ('copied', 'replaced', 'both') AS registered FROM d"""
+
+
+def _listing_back(t) -> DataFrame:
+    """SRC1: the catalog as a listing in CSV, read back with directory and name taken from the path."""
+    path = new_folder(t.spark, "listing")
+    t.files.select(F.col("full_path").alias("path"), "size", "ctime", "mtime").write.csv(path, header=True)
+    return R.read_listing(t.spark, path).select("dir", "filename", "size", "ctime", "mtime")
+
+
+def _accented(t) -> DataFrame:
+    """Names with accents and in capitals, counted as one; every fifth has another last letter."""
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper(F.translate("p_name", "ae", "áé"))).otherwise(F.col("p_name"))
+    return C.name_counts(t.part.select(F.concat(name, F.when(F.col("p_partkey") % 5 == 0, "x").otherwise("")).alias("name")), "name")
+
+
+_ACCENTED = """SELECT min(name) AS name, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(translate(p_name, 'ae', 'áé')) ELSE p_name END || CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE '' END AS name
+ FROM {part}) q GROUP BY strip_accents(lower(name))"""
+
+
+def _problems(t) -> DataFrame:
+    """Names as they are, with a bracket that nothing closes, and of a group alone."""
+    broken = F.when(F.col("shape") == 2, F.concat(F.lit("["), "name")).when(F.col("shape") == 4, F.concat(F.lit("["), "grp", F.lit("].mkv"))).otherwise(F.col("name"))
+    found = N.parse_components(t.v_releases.select(broken.alias("component")))
+    return N.problems(found).select(F.col("component").alias("name"), F.array_join("reasons", ",").alias("reasons"))
+
+
+_PROBLEMS = """SELECT DISTINCT CASE shape WHEN 2 THEN '[' || name WHEN 4 THEN '[' || grp || '].mkv' ELSE name END AS name,
+ CASE shape WHEN 4 THEN 'no title' ELSE 'bracket is not closed' END AS reasons FROM {v_releases} WHERE shape IN (2, 4, 5)"""
+
+#: The greedy choice of pairs, one after the other.
+RECONCILED = """WITH RECURSIVE m AS (SELECT DISTINCT library, name, pid FROM {v_members}), z AS (SELECT library, name, count(*) AS k FROM m GROUP BY 1, 2),
+ s AS (SELECT name, bool_or(library = 'A') AS in_a, bool_or(library = 'B') AS in_b FROM m GROUP BY 1),
+ d AS (SELECT DISTINCT name FROM (SELECT name, pid FROM m WHERE name IN (SELECT name FROM s WHERE in_a AND in_b) GROUP BY 1, 2 HAVING count(*) = 1) q),
+ p AS (SELECT a.name AS name_a, b.name AS name_b, count(*) AS k FROM m a JOIN m b ON a.pid = b.pid AND a.library = 'A' AND b.library = 'B' AND a.name <> b.name GROUP BY 1, 2),
+ j AS (SELECT name_a, name_b, p.k / (x.k + y.k - p.k) AS overlap FROM p JOIN z x ON x.library = 'A' AND x.name = name_a JOIN z y ON y.library = 'B' AND y.name = name_b),
+ r AS (SELECT row_number() OVER (ORDER BY overlap DESC, name_a, name_b) AS i, * FROM j WHERE overlap >= 0.5 AND (name_a IN (SELECT name FROM s WHERE NOT in_b) OR name_b IN (SELECT name FROM s WHERE NOT in_a))),
+ g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS ta, CAST([] AS VARCHAR[]) AS tb, false AS won
+  UNION ALL SELECT r.i, CASE WHEN list_contains(ta, name_a) OR list_contains(tb, name_b) THEN ta ELSE list_append(ta, name_a) END,
+   CASE WHEN list_contains(ta, name_a) OR list_contains(tb, name_b) THEN tb ELSE list_append(tb, name_b) END, NOT (list_contains(ta, name_a) OR list_contains(tb, name_b)) FROM g JOIN r ON r.i = g.i + 1),
+ w AS (SELECT name_a, name_b, overlap FROM r JOIN g USING (i) WHERE won)
+ SELECT CASE WHEN name IN (SELECT name FROM d) THEN 'drifted' ELSE 'identical' END AS kind, name, CAST(NULL AS VARCHAR) AS other, CAST(NULL AS DOUBLE) AS overlap, false AS review FROM s WHERE in_a AND in_b
+ UNION ALL SELECT 'rename', name_a, name_b, overlap, overlap < 0.8 FROM w
+ UNION ALL SELECT CASE WHEN in_a THEN 'only_a' ELSE 'only_b' END, name, NULL, NULL, false FROM s WHERE NOT (in_a AND in_b) AND name NOT IN (SELECT name_a FROM w UNION SELECT name_b FROM w)"""
+
+
 def register(add: Callable) -> None:
     add("r10_assembled_names", _assembled, _ASSEMBLED)
     add("r9_token_kinds", _kinds, _KINDS)
@@ -193,3 +283,8 @@ def register(add: Callable) -> None:
     add("snk2_matches_csv", _matches_back, "SELECT full_path AS path, size, ctime, mtime FROM {v_catalog} WHERE size % 2 = 0")
     add("snk4_plan_json", _plan_back, "SELECT CAST(o_orderkey AS VARCHAR) AS source, o_orderpriority AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'skip' ELSE 'ready' END AS status, CAST(NULL AS VARCHAR) AS conflict FROM {orders}")
     add("snk5_blob_store", _blobs_back, "SELECT DISTINCT sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS bytes, substr(sha256(text), 1, 2) AS prefix FROM {documents} WHERE text IS NOT NULL")
+    add("p1_ingest_plan", _ingest, _INGEST)
+    add("p3_apply_outcomes", _outcomes, _OUTCOMES)
+    add("src1_listing_csv", _listing_back, "SELECT regexp_extract(full_path, '^(.*)/[^/]*$', 1) AS dir, filename, size, ctime, mtime FROM {v_catalog}")
+    add("u5_accents_and_case", _accented, _ACCENTED)
+    add("r16_name_problems", _problems, _PROBLEMS)

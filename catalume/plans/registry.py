@@ -36,6 +36,11 @@ class _Tables:
         return view(self.spark, self.sf_dir, name)
 
 
+def tables(spark: SparkSession, sf_dir: str) -> _Tables:
+    """The views over the tables of a folder, by attribute."""
+    return _Tables(spark, sf_dir)
+
+
 def _add(name: str, build: Callable[[_Tables], DataFrame], oracle: str | None = None) -> None:
     QUERIES[name] = lambda spark, sf_dir: build(_Tables(spark, sf_dir))
     if oracle is not None:
@@ -118,7 +123,7 @@ _add("a19_queue_counts", lambda t: L.queue_counts(t.events.select(F.col("event_t
 _PAIRS = "m AS (SELECT DISTINCT library, name, pid FROM {v_members}), s AS (SELECT library, name, count(*) AS k FROM m GROUP BY 1, 2), p AS (SELECT a.name AS name_a, b.name AS name_b, count(*) AS k FROM m a JOIN m b ON a.pid = b.pid AND a.library = 'A' AND b.library = 'B' GROUP BY 1, 2), j AS (SELECT name_a, name_b, p.k / (x.k + y.k - p.k) AS overlap FROM p JOIN s x ON x.library = 'A' AND x.name = name_a JOIN s y ON y.library = 'B' AND y.name = name_b)"
 _add("j29_jaccard_pairs", lambda t: O.jaccard_pairs(t.v_members, same_names=True), f"WITH {_PAIRS} SELECT * FROM j WHERE overlap >= 0.5")
 _add("j30_drift", lambda t: O.drift(t.v_members), "WITH m AS (SELECT DISTINCT library, name, pid FROM {v_members}), b AS (SELECT name FROM m GROUP BY 1 HAVING count(DISTINCT library) = 2) SELECT name, pid, min(library) AS only_in FROM m WHERE name IN (SELECT name FROM b) GROUP BY 1, 2 HAVING count(*) = 1")
-_add("a24_reconcile", lambda t: O.reconcile(t.v_members))
+_add("a24_reconcile", lambda t: O.reconcile(t.v_members), mechanisms.RECONCILED)
 _add("o7_union_members", lambda t: O.union_members(t.v_members).select("name", F.array_join("libraries", "+").alias("libraries"), F.size("members").cast("long").alias("n_members")), "SELECT name, string_agg(DISTINCT library, '+' ORDER BY library) AS libraries, count(DISTINCT pid) AS n_members FROM {v_members} GROUP BY 1")
 
 # names and matching
