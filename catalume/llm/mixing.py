@@ -2,7 +2,7 @@
 
 Each source takes target / size copies of its documents on average: every document gets the
 whole part, and the fractional part is its probability of one more copy. Two documents meet
-at a time (or one and all smaller ones) and words (probability times size) move between
+at a time, or one and all smaller ones together, and words (probability times size) move between
 them at random, with the probabilities kept in the mean, until one of them is integral; so the words that a source
 takes stay the same at every step. Chunks of a source leave at most one fractional document
 each; these residuals meet again, ``fan`` chunks at a time, up a reduction tree, and only the
@@ -28,17 +28,17 @@ _EPS = 1e-9
 
 
 def sizes(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """``(doc_id, source, size, row_key)`` with the number of words; null texts have none. ``row_key`` is the long column ``key``, or 0."""
+    """``(doc_id, source, size, row_key, h)`` with the number of words; null texts have none. ``row_key`` is the long column ``key``, or 0, and ``h`` a hash of the text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ofs = T.flat(batch.column(2))
             parts = [T.words(data[ofs[lo] : ofs[hi]], ofs[lo : hi + 1] - ofs[lo])[2] for lo, hi in T.slices(ofs)]
             n = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], ["doc_id", "source", "size", "row_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3), batch.column(4)], ["doc_id", "source", "size", "row_key", "h"])
 
     row_key = F.lit(0) if key is None else F.col(key)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), row_key.cast("long").alias("row_key")).mapInArrow(count, "doc_id long, source string, size long, row_key long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), row_key.cast("long").alias("row_key"), F.xxhash64("text").alias("h")).mapInArrow(count, "doc_id long, source string, size long, row_key long, h long")
 
 
 def targets(totals: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> dict[str | None, float]:
@@ -71,37 +71,38 @@ def _snap(p: float) -> float:
     return 0.0 if p <= _EPS else 1.0 if p >= 1 - _EPS else p
 
 
-def pivotal(p: np.ndarray, z: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
+def pivotal(p: np.ndarray, z: np.ndarray, draws: np.ndarray, gap: float = 1.5, share: float = 0.5) -> tuple[np.ndarray, int]:
     """Round the probabilities; the words sum(p * z) stay. Returns them and the index still fractional, or -1.
 
-    Rows come by descending size. The larger half is rounded pair by pair; the one that is
-    left then deals with all smaller ones together, whose probabilities shift alike, and
-    the smaller half goes on in the same way. So what stays open at last is small. Row i's
-    pair draws number i, and the groups draw the numbers after the rows': no number twice.
+    Rows come by descending size. Two of like size meet, and the one left open meets the next. Where
+    it is ``gap`` times as large as the next, and the smaller ones can take up all it may move
+    (``share`` of their words at most), it meets them together instead: their probabilities
+    shift alike, towards 0 or towards 1 in proportion, and it is 0 or 1 afterwards. So what is open
+    at last is among the smallest, unless a row outweighs what is left. The shift is one linear map for
+    all of them, so a chunk takes one pass. ``draws`` has two numbers for each row.
     """
     p = np.array([_snap(x) for x in p])
-    live = [i for i in range(len(p)) if 0 < p[i] < 1]
-    held, at, halves = -1, 0, 0
-    while at < len(live):
-        end = at + max(1, (len(live) - at) // 2)
-        for i in live[at:end]:
-            if not 0 < p[i] < 1:
-                continue
-            if held >= 0:
-                p[held], p[i] = _move(p[held], z[held], p[i], z[i], draws[i])
-            if held < 0 or not 0 < p[held] < 1:
-                held = i if 0 < p[i] < 1 else -1
-        rest = [i for i in live[end:] if 0 < p[i] < 1]
-        if held >= 0 and rest:
-            words = sum(z[i] for i in rest)
-            mean = sum(p[i] * z[i] for i in rest) / words
-            p[held], shifted = _move(p[held], z[held], mean, words, draws[len(p) + halves])
-            halves += 1
-            for i in rest:  # towards 0 or towards 1, in proportion
-                p[i] = _snap(p[i] * shifted / mean if shifted <= mean else 1 - (1 - p[i]) * (1 - shifted) / (1 - mean))
-            if not 0 < p[held] < 1:
-                held = -1
-        at = end
+    live = np.flatnonzero((p > 0) & (p < 1)).tolist()
+    words = np.concatenate([np.cumsum(z[live][::-1])[::-1], [0.0]])
+    taken = np.concatenate([np.cumsum((p * z)[live][::-1])[::-1], [0.0]])
+    by, plus = 1.0, 0.0  # what is still to come has the probability by * p + plus
+    held, k, draw = -1, 0, iter(draws)
+    while k < len(live):
+        i, left = live[k], words[k]
+        mean = min(max((by * taken[k] + plus * left) / left, 0.0), 1.0)
+        fits = held >= 0 and gap * z[i] <= z[held] <= share * left
+        if fits and (1 - p[held]) * z[held] < mean * left and p[held] * z[held] < (1 - mean) * left:
+            p[held], shifted = _move(p[held], z[held], mean, left, next(draw))
+            c = shifted / mean if shifted <= mean else (1 - shifted) / (1 - mean)
+            by, plus = by * c, plus * c if shifted <= mean else 1 - (1 - plus) * c
+            held = held if 0 < p[held] < 1 else -1
+            continue
+        p[i] = _snap(by * p[i] + plus)
+        k += 1
+        if held >= 0 and 0 < p[i] < 1:
+            p[held], p[i] = _move(p[held], z[held], p[i], z[i], next(draw))
+        if held < 0 or not 0 < p[held] < 1:
+            held = i if 0 < p[i] < 1 else -1
     return p, held
 
 
@@ -112,11 +113,11 @@ def _draws(key: tuple, n: int) -> np.ndarray:
 def mix(docs: DataFrame, chunk_rows: int = 2000, fan: int = 64, key: str | None = None) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` of every row.
 
-    Reruns agree: chunks follow a hash of doc_id and all draws follow the chunk. Rows of
+    Reruns agree: chunks follow a hash of doc_id and text, and all draws follow the chunk. Rows of
     null source form the last source; documents without words take nothing and keep no
     copy; repeated rows are rounded one by one; an empty table gives an empty result. With
     ``key``, a long column of ``docs``, each row brings it along as ``row_key``, and it settles
-    the order of rows of one doc_id and size.
+    the order of rows of one doc_id and text.
     """
     spark = docs.sparkSession
     rows = durable(sizes(docs, key))
@@ -127,10 +128,10 @@ def mix(docs: DataFrame, chunk_rows: int = 2000, fan: int = 64, key: str | None
     known = {s: (n, -(-k // chunk_rows)) for s, n, k in stats}
     plan = spark.createDataFrame([(s, i, known[s][0], float(goal[s]), known[s][1]) for i, s in enumerate(order)], "source string, rank int, source_size long, target double, chunks long")
     laid = rows.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    laid = laid.withColumn("chunk", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), F.col("chunks")))
+    laid = laid.withColumn("chunk", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix"), "h"), F.col("chunks")))
 
     def first(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["size", "doc_id", "row_key"], ascending=[False, True, True]).reset_index(drop=True)
+        f = f.sort_values(["size", "doc_id", "h", "row_key"], ascending=[False, True, True, True]).reset_index(drop=True)
         z = f["size"].to_numpy(np.float64)
         ratio = f["target"].iloc[0] / max(int(f["source_size"].iloc[0]), 1)
         whole = int(np.floor(ratio + _EPS))
