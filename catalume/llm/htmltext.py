@@ -59,6 +59,8 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool, int, int]] = []  # tag, hidden, beside the article, region, number
         self.lines: list[tuple[str, int, int, bool, bool, int]] = []
+        self.at: dict[str, list[int]] = {}  # places in ``open`` of each tag's elements
+        self.blocks: list[int] = []  # and of blocks, body and html
         self.around: list[int] = [0]  # the region that each region lies in
         self.seen = 0
         self.text: list[str] = []
@@ -72,12 +74,8 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         _, beside, region = self._state()
         if text or self.tags:
-            blocks = []
-            for tag, *_, number in reversed(self.open):  # the line's block and its parent
-                if tag in BLOCKS or tag in ("body", "html"):
-                    blocks.append((tag, number))
-                    if len(blocks) == 2:
-                        break
+            # the line's block and its parent
+            blocks = [(self.open[i][0], self.open[i][4]) for i in self.blocks[:-3:-1]]
             heading = bool(blocks) and blocks[0][0] in HEADINGS
             self.lines.append((text, self.tags, region, beside, heading, blocks[-1][1] if blocks else 0))
         self.text, self.tags = [], 0
@@ -105,6 +103,9 @@ class _Lines(HTMLParser):
             beside = True
         elif tag not in ("html", "body"):
             beside = beside or bool(names & (PARTS if region == 0 else PARTS - _HEAD))
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS or tag in ("body", "html"):
+            self.blocks.append(len(self.open))
         self.open.append((tag, hidden, beside, region, self.seen))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -115,26 +116,34 @@ class _Lines(HTMLParser):
     def _close_implied(self, tag: str) -> None:
         """A block start ends an open paragraph, an item its sibling."""
         ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name == "p" or name in ends:
-                self.flush()
-                del self.open[i:]
-                return
-            if name in BLOCKS:
-                return
+        if self.blocks and self.open[self.blocks[-1]][0] in ("p", *ends):
+            self.flush()
+            self._drop(self.blocks[-1])
+
+    def _drop(self, to: int) -> None:
+        """Closes the elements from place ``to`` on. Each is closed once, so a page takes time in proportion to its length."""
+        while len(self.open) > to or self.open and not self.open[-1][0]:
+            tag = self.open.pop()[0]
+            if tag:
+                self.at[tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.open):
+                self.blocks.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if tag not in BLOCKS and any(t in BLOCKS for t, *_ in self.open[i + 1 :]):
-                    self.open = self.open[:i] + self.open[i + 1 :]  # an inline end doesn't close blocks inside it
-                else:
-                    del self.open[i:]
-                break
+        if not self.at.get(tag):
+            return
+        last = self.at[tag][-1]
+        inside = next((i for i in reversed(self.blocks) if self.open[i][0] in BLOCKS), -1)
+        if tag not in BLOCKS and inside > last:  # an inline end doesn't close blocks inside it
+            self.at[tag].pop()
+            self.open[last] = ("", *self.open[last][1:])
+            if last in self.blocks[:2]:  # body or html
+                self.blocks.remove(last)
+        else:
+            self._drop(last)
 
     def handle_data(self, data: str) -> None:
         if not self._state()[0]:
