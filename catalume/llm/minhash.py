@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
@@ -103,44 +103,53 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lambda b: _signatures(b, p), "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
 
 
-def _forest(a: np.ndarray, size: np.ndarray, sig: np.ndarray, p: Params) -> list[tuple[int, int]]:
-    """Spanning candidate links of one posting list."""
+def _families(size: np.ndarray, sig: np.ndarray, p: Params) -> np.ndarray:
+    """Label of each set of one posting list: those that candidate pairs connect have the same."""
     order = np.argsort(size, kind="stable")
-    a, size, sig = a[order], size[order], sig[order]
-    label = np.arange(len(a))
+    size, sig = size[order], sig[order]
+    label = np.arange(len(size))
     reach = np.searchsorted(size, size * 100 // p.percent, "right")
-    out: list[tuple[int, int]] = []
-    for i in range(len(a) - 1):
+    for i in range(len(size) - 1):
         at = np.flatnonzero(label[i + 1 : reach[i]] != label[i]) + i + 1
         if not len(at):
             continue
         hit = at[(sig[at] == sig[i]).sum(1) >= p.matches]
-        for k in np.unique(label[hit]):
-            out.append((int(a[i]), int(a[hit[label[hit] == k][0]])))
         if len(hit):
             label[np.isin(label, label[hit])] = label[i]
+    out = np.empty_like(label)
+    out[order] = label
     return out
 
 
 def _list_links(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Candidate links of the lists of a partition sorted by list key; batches may cut a list anywhere."""
+    """Candidate links of the lists of a partition sorted by list key; batches may cut a list anywhere.
+
+    A family of a list is linked to its set of lowest rank. Ranks are the same in all lists, so lists
+    and blocks that hold one family give the same links.
+    """
 
-    def solve(key: np.ndarray, a: np.ndarray, size: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+    def solve(key: np.ndarray, a: np.ndarray, size: np.ndarray, rank: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         end = np.concatenate([start[1:], [len(key)]])
         two = start[end - start == 2]
         good = ((sig[two] == sig[two + 1]).sum(1) >= p.matches) & (100 * np.minimum(size[two], size[two + 1]) >= p.percent * np.maximum(size[two], size[two + 1]))
-        pairs = [*zip(a[two[good]].tolist(), a[two[good] + 1].tolist(), strict=True)]
+        left, right = [a[two[good]]], [a[two[good] + 1]]
         for lo, hi in zip(start, end, strict=True):
             if hi - lo > 2:
-                pairs += _forest(a[lo:hi], size[lo:hi], sig[lo:hi], p)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+                label = _families(size[lo:hi], sig[lo:hi], p)
+                order = np.lexsort((rank[lo:hi], label))
+                first = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]]))
+                centre = np.repeat(order[first], np.diff(np.append(first, hi - lo)))
+                other = centre != order
+                left.append(a[lo:hi][centre[other]])
+                right.append(a[lo:hi][order[other]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (left, right)], ["a", "b"])
 
     held = None
     for batch in batches:
-        key, a, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        sig = T.flat(batch.column(3))[0].view(np.uint32).reshape(len(a), p.coords)
-        now = (key, a, size, sig)
+        key, a, size, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        sig = T.flat(batch.column(4))[0].view(np.uint32).reshape(len(a), p.coords)
+        now = (key, a, size, rank, sig)
         if held is not None:
             now = tuple(np.concatenate([x, y]) for x, y in zip(held, now, strict=True))
         if not len(now[0]):
@@ -153,10 +162,15 @@ def _list_links(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Rec
         yield solve(*held)
 
 
+def _rank() -> Column:
+    """A number from 0 to 2**63 - 1 that each set has everywhere."""
+    return F.shiftrightunsigned(F.xxhash64("a", F.lit("shared")), 1)
+
+
 def _cut(rows: DataFrame, shared: int) -> DataFrame:
-    """Rows ``(key, a, n, blocks)`` with the ``part`` of their block; about ``shared`` of each key are in all its blocks."""
+    """Rows ``(key, a, n, blocks)`` with the ``part`` of their block; about ``shared`` of each key, those of lowest rank, are in all its blocks."""
     own = F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")).cast("int")
-    often = F.pmod(F.xxhash64("a", F.lit("shared")), F.col("n")) < shared
+    often = _rank() * F.col("n").cast("double") < float(shared << 63)
     parts = F.when(often, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     return rows.withColumn("part", F.explode(parts)).withColumn("part", F.xxhash64("key", "part"))
 
@@ -190,7 +204,7 @@ def candidates(sets: DataFrame, p: Params) -> DataFrame:
     posted = durable(posted.join(lists, "key").withColumn("blocks", F.ceil(F.col("n") / p.list_rows).cast("int")))
 
     def linked(parts: DataFrame) -> DataFrame:
-        whole = parts.select("part", "a").join(sets, "a").select("part", "a", "size", "sig").repartition("part").sortWithinPartitions("part")
+        whole = parts.select("part", "a").join(sets, "a").select("part", "a", "size", _rank().alias("rank"), "sig").repartition("part").sortWithinPartitions("part")
         return durable(whole.mapInArrow(lambda b: _list_links(b, p), "a long, b long"))
 
     whole, long_lists = posted.where("blocks = 1").withColumn("part", F.col("key")), posted.where("blocks > 1")
