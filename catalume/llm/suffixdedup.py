@@ -182,9 +182,10 @@ def remove(docs: DataFrame, p: Params = Params()) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     slim = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), text.alias("text"))
     spans = covered(slim.where(F.octet_length("text") >= p.length), p).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("found"))
-    names = [c for c in docs.columns]
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text")))
-    return keyed.join(spans.select(F.col("key").alias("_key"), F.col("found").alias("_found")), "_key", "left").select(*names, "_found")
+    taken = {c.lower() for c in docs.columns}
+    key, found = (next(x for x in (f"{'_' * k}{name}" for k in range(1, len(taken) + 2)) if x not in taken) for name in ("key", "found"))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text")))
+    return keyed.join(spans.select(F.col("key").alias(key), F.col("found").alias(found)), key, "left").select(*docs.columns, found)
 
 
 def dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:

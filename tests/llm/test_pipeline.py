@@ -72,6 +72,21 @@ def test_stages_take_an_empty_table(spark, corpus, tmp_path):
         docs = spark.createDataFrame([], docs.schema)
 
 
+def test_stages_keep_extra_columns_of_any_name(spark, corpus):
+    rng = random.Random(14)
+    folder, _ = corpus
+    clash = ("_key", "_copy", "_copies", "_n", "_found", "n", "copies", "key", "found", "row_key", "component_id")
+    rows = [(i, sentence(rng, 50 + 3000 * (i == 4)), "en", f"s{i % 2}", 9, *(f"{c}{i}" for c in clash)) for i in range(30)]
+    rows += [(90, rows[0][1], *rows[0][2:])]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {c} string" for c in clash))
+    given = {r["doc_id"]: tuple(r[c] for c in clash) for r in docs.collect()}
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.repeat_removal, corpus_pipeline.source_mix):
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns
+        kept = got.collect()
+        assert kept and all(tuple(r[c] for c in clash) == given[r["doc_id"]] for r in kept)
+
+
 def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark, corpus):
     rng = random.Random(12)
     folder, _ = corpus
