@@ -122,17 +122,17 @@ _VERSIONED = """WITH c AS (SELECT *, root_path || CASE WHEN dir = '' THEN '' ELS
 
 
 def _drained(t) -> DataFrame:
-    """Daily samples of servers, each up to the one that ends its run."""
+    """Daily samples of servers, each up to the one that ends its run; flat is less than 0.97 a day, a slope that whole counts never have."""
     each = t.events.groupBy((F.col("user_id") % 40).cast("string").alias("server"), F.date_trunc("day", "ts").alias("ts")).agg(F.count("*").alias("total"))
     samples = each.withColumn("open", F.when(F.col("total") % 11 != 3, F.col("total") % 13))
-    return D.drain(samples, 72.0, 1.0).select("server", "at", "total", "open", F.round("span_hours", 6).alias("span_hours"), "status")
+    return D.drain(samples, 72.0, 0.97).select("server", "at", "total", "open", F.round("span_hours", 6).alias("span_hours"), "status")
 
 
 _DRAINED = """WITH e AS (SELECT CAST(user_id % 40 AS VARCHAR) AS server, date_trunc('day', ts) AS t, count(*) AS total FROM {events} GROUP BY 1, 2),
  s AS (SELECT *, CASE WHEN total % 11 <> 3 THEN total % 13 END AS open FROM e),
  w AS (SELECT a.server, a.t, a.total, a.open, regr_slope(b.open, epoch(b.t) - epoch(a.t)) AS slope, (epoch(max(b.t)) - epoch(min(b.t))) / 3600 AS span
   FROM s a LEFT JOIN s b ON b.server = a.server AND b.open IS NOT NULL AND b.t BETWEEN a.t - INTERVAL 72 HOUR AND a.t GROUP BY ALL),
- f AS (SELECT *, CASE WHEN total = 0 OR open = 0 THEN 'done' WHEN span >= 72 AND abs(slope) * 86400 < 1 THEN 'plateau' ELSE 'running' END AS status FROM w),
+ f AS (SELECT *, CASE WHEN total = 0 OR open = 0 THEN 'done' WHEN span >= 72 AND abs(slope) * 86400 < 0.97 THEN 'plateau' ELSE 'running' END AS status FROM w),
  o AS (SELECT *, coalesce(max(CASE WHEN status <> 'running' THEN 1 ELSE 0 END) OVER (PARTITION BY server ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM f)
  SELECT server, CAST(t AS TIMESTAMP) AS "at", total, open, CAST(nullif(span, 0) AS DOUBLE) AS span_hours, status FROM o WHERE ended = 0"""
 
