@@ -138,13 +138,16 @@ def phrase_domain(titles: DataFrame, index: DataFrame) -> DataFrame:
 def existing_dir(titles: DataFrame, dirs: DataFrame) -> DataFrame:
     """The library directory of the first title, in order, whose name equals it after tags and brackets go.
 
-    ``titles(block, pos, title, year)``, ``dirs(dir, name)``.
+    ``titles(block, pos, title, year)``, ``dirs(dir, name)``. Of a name only its first directory, and of
+    a block's equal titles only the first, can be picked, so no others meet, however often a name occurs.
     """
     bare = title_key(F.regexp_replace(F.regexp_replace("name", r"\{[^}]*\}|\[[^\]]*\]", ""), r"\s+$", ""))
-    d = dirs.select("dir", bare.alias("k"))
+    names = dirs.groupBy("name").agg(F.min(F.struct("dir")).alias("d"))
+    d = names.groupBy(bare.alias("k")).agg(F.min("d").alias("d"))
     label = F.when(F.col("year") > 0, F.concat("title", F.lit(" ("), F.col("year").cast("string"), F.lit(")"))).otherwise(F.col("title"))
-    t = titles.select("block", "pos", title_key(label).alias("k"))
-    return t.join(d, "k").groupBy("block").agg(F.min(F.struct("pos", "dir")).alias("m")).select("block", F.col("m.dir").alias("dir"))
+    first = titles.groupBy("block", label.alias("label")).agg(F.min(F.struct("pos")).alias("p"))
+    t = first.groupBy("block", title_key(F.col("label")).alias("k")).agg(F.min("p").alias("p"))
+    return t.join(d, "k").groupBy("block").agg(F.min(F.struct("p.pos", "d.dir")).alias("m")).select("block", F.col("m.dir").alias("dir"))
 
 
 def size_twins(plan: DataFrame, library: DataFrame) -> DataFrame:

@@ -67,6 +67,15 @@ def test_a_member_of_all_sets_joins_nothing(spark):
     assert O.jaccard_pairs(spark.createDataFrame(rows, "library string, name string, pid long"), 0.5).collect() == []
 
 
+def test_directories_of_one_name_make_no_pairs(spark):
+    n = 60_000
+    titles = spark.range(n).select((F.col("id") % 2).alias("block"), (F.col("id") + 5).alias("pos"), F.lit("Same Show").alias("title"), F.lit(2000).alias("year"))
+    dirs = spark.range(n).select(F.format_string("/lib/%06d", F.col("id") + 3).alias("dir"), F.concat(F.lit("Same Show (2000) {id-"), "id", F.lit("}")).alias("name"))
+    began = time.time()
+    assert sorted(map(tuple, M.existing_dir(titles, dirs).collect())) == [(0, "/lib/000003"), (1, "/lib/000003")]
+    assert time.time() - began < 30
+
+
 def test_prefixes_with_a_common_beginning(spark):
     rng = random.Random(5)
     words = lambda n: sorted({"common" + "".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(n)} | {"", "c", "zz"})
