@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import disc_id, msf_to_sectors
 
 
-def _value(pattern: str):
+def _value(pattern: str, line: Column | str = "line") -> Column:
     """Quoted or bare value of a line."""
-    return F.coalesce(F.nullif(F.regexp_extract("line", pattern + r'\s+"([^"]*)"', 1), F.lit("")), F.nullif(F.trim(F.regexp_extract("line", pattern + r"\s+([^\"]\S*.*)$", 1)), F.lit("")))
+    return F.coalesce(F.nullif(F.regexp_extract(line, pattern + r'\s+"([^"]*)"', 1), F.lit("")), F.nullif(F.trim(F.regexp_extract(line, pattern + r"\s+([^\"]\S*.*)$", 1)), F.lit("")))
+
+
+def _first(values: Column) -> Column:
+    """The first value of an array that isn't null."""
+    return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
+
+
+def _where(items: Column | str, test: Callable[[Column, Column], Column]) -> Column:
+    """Positions, from 1, of the items that ``test(item, index)`` holds for."""
+    return F.filter(F.transform(items, lambda x, i: F.when(test(x, i), i + 1)), lambda x: x.isNotNull())
+
+
+def _runs(items: str, at: str) -> Column:
+    """Parts of the array ``items``, each from one position in ``at`` up to the next. Both are columns, as they are read once a part."""
+    return F.transform(at, lambda b, j: F.slice(items, b, F.coalesce(F.get(at, j + 1), F.size(items) + 1) - b))
 
 
 def cue_lines(sheets: DataFrame) -> DataFrame:
@@ -23,13 +40,53 @@ def cue_lines(sheets: DataFrame) -> DataFrame:
 
 
 def cue_tracks(sheets: DataFrame) -> DataFrame:
-    """One row per track; ``error`` where an audio track has no first index."""
-    lines = cue_lines(sheets)
-    album = lines.where("track is null or track < 0").groupBy("file_id").agg(F.first(_value("(?i)^TITLE"), True).alias("album"), F.first(_value("(?i)^PERFORMER"), True).alias("album_artist"))
-    one = lambda c, name: F.first(c, ignorenulls=True).alias(name)
-    index = lambda n: F.when(F.col("line").rlike(rf"(?i)^INDEX\s+{n}\s"), msf_to_sectors(F.regexp_extract("line", r"(\d+:\d+:\d+)", 1)))
-    tracks = lines.where("track > 0").groupBy("file_id", "file_no", "track").agg(one(F.col("file"), "file"), one(F.nullif(F.upper(F.regexp_extract("line", r"(?i)^TRACK\s+\d+\s+(\S+)", 1)), F.lit("")), "kind"), one(_value("(?i)^TITLE"), "title"), one(_value("(?i)^PERFORMER"), "performer"), one(_value("(?i)^ISRC"), "isrc"), one(index("00"), "index00"), one(index("01"), "index01"), one(F.when(F.col("line").rlike("(?i)^PREGAP"), msf_to_sectors(F.regexp_extract("line", r"(\d+:\d+:\d+)", 1))), "pregap"))
-    return tracks.withColumn("error", F.when((F.col("kind") == "AUDIO") & F.col("index01").isNull(), "no INDEX 01")).join(album, "file_id", "left")
+    """One row per track; ``error`` where an audio track has no first index.
+
+    A sheet is cut into its files and these into tracks within its row, so no lines are sorted or
+    shuffled. Parts of a file that name the same track are one track; the first value counts.
+    """
+    # the word that opens each line is looked for once
+    word = lambda x: F.upper(F.regexp_extract(x, r"(?i)^(FILE(?=\s)|TRACK(?=\s+\d)|(?:TITLE|PERFORMER|ISRC|INDEX)(?=\s)|PREGAP)", 1)).alias("word")
+    opens = lambda name: lambda x, i=None: x["word"] == name
+    lines = F.filter(F.transform(F.split("content", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    each = sheets.select("file_id", F.transform(lines, lambda x: F.struct(word(x), x.alias("line"))).alias("lines"))
+    each = each.withColumn("at", F.concat(F.array(F.lit(1)), _where("lines", opens("FILE"))))
+    each = each.select("file_id", _runs("lines", "at").alias("files"))
+    first_track = lambda f: F.nullif(F.array_position(f["word"], "TRACK"), F.lit(0))
+    head = F.flatten(F.transform("files", lambda f: F.slice(f, F.lit(1), F.coalesce(first_track(f) - 1, F.size(f)).cast("int"))))
+    each = each.select("file_id", "files", head.alias("head"), F.transform("files", lambda f: _value("(?i)^FILE", F.get(f, F.lit(0))["line"])).alias("names"))
+    found = lambda items, name, value: _first(F.transform(F.filter(items, opens(name)), lambda x: value(x["line"])))
+    of = lambda name: lambda x: _value(f"(?i)^{name}", x)
+    album = [found("head", name, of(name)).alias(c) for name, c in (("TITLE", "album"), ("PERFORMER", "album_artist"))]
+    each = each.select("file_id", *album, "names", F.posexplode_outer("files").alias("file_no", "lines")).where("lines is not null")
+
+    # a file without a name of its own goes by the one before
+    before = _first(F.reverse(F.slice("names", F.lit(1), F.col("file_no"))))
+    each = each.withColumn("file", F.coalesce(F.get("names", F.col("file_no")), before)).withColumn("at", _where("lines", opens("TRACK")))
+    kept = ("file_id", "file_no", "file", "album", "album_artist")
+    number = lambda part: F.regexp_extract(part[0]["line"], r"(?i)^TRACK\s+(\d+)", 1).cast("int").alias("track")
+    each = each.select(*kept, F.array_sort(F.transform(_runs("lines", "at"), lambda p, i: F.struct(number(p), i.alias("i"), p.alias("lines")))).alias("parts"))
+    each = each.withColumn("at", _where("parts", lambda p, i: (i == 0) | (p["track"] != F.get(F.col("parts"), i - 1)["track"])))
+    each = each.select(*kept, F.explode_outer(_runs("parts", "at")).alias("parts"))
+    each = each.select(*kept, F.col("parts")[0]["track"].alias("track"), F.flatten(F.col("parts.lines")).alias("lines")).where("track > 0")
+
+    one = lambda name, value, c: found("lines", name, value).alias(c)
+    msf = lambda x: F.transform(F.array(F.regexp_extract(x, r"(\d+:\d+:\d+)", 1)), msf_to_sectors)[0]
+    index = lambda n: lambda x: F.when(x.rlike(rf"(?i)^INDEX\s+{n}\s"), msf(x))
+    kind = lambda x: F.nullif(F.upper(F.regexp_extract(x, r"(?i)^TRACK\s+\d+\s+(\S+)", 1)), F.lit(""))
+    tracks = each.select(
+        *("file_id", F.col("file_no").cast("long").alias("file_no"), "track", "file"),
+        one("TRACK", kind, "kind"),
+        one("TITLE", of("TITLE"), "title"),
+        one("PERFORMER", of("PERFORMER"), "performer"),
+        one("ISRC", of("ISRC"), "isrc"),
+        one("INDEX", index("00"), "index00"),
+        one("INDEX", index("01"), "index01"),
+        one("PREGAP", msf, "pregap"),
+        *("album", "album_artist"),
+    )
+    error = F.when((F.col("kind") == "AUDIO") & F.col("index01").isNull(), "no INDEX 01").alias("error")
+    return tracks.select(*tracks.columns[:-2], error, "album", "album_artist")
 
 
 def cue_offsets(tracks: DataFrame, durations: DataFrame) -> DataFrame:

@@ -183,10 +183,11 @@ _add("g24_episode_tag", lambda t: t.v_names.select("name", G.episode_tag(F.col("
 
 # cue sheets made of orders: one file a sheet, a track per line
 def _sheets(t: _Tables) -> DataFrame:
-    line = F.format_string('  TRACK %02d AUDIO\n    TITLE "%s"\n    INDEX 01 %02d:%02d:00', F.col("n"), F.col("l_returnflag"), (F.col("n") * 4).cast("int"), (F.col("l_partkey") % 60).cast("int"))
-    numbered = t.lineitem.withColumn("n", F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity)"))
-    g = numbered.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("x")))), lambda s: s["x"]), "\n").alias("body"))
-    return g.select(F.col("l_orderkey").alias("file_id"), F.concat(F.lit('TITLE "Album"\nPERFORMER "Artist"\nFILE "a.flac" WAVE\n'), "body").alias("content"))
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    line = lambda s, i: F.format_string('  TRACK %02d AUDIO\n    TITLE "%s"\n    INDEX 01 %02d:%02d:00', i + 1, s["l_returnflag"], (i + 1) * 4, (s["l_partkey"] % 60).cast("int"))
+    rows = t.lineitem.repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order, "l_returnflag"))).alias("x"))
+    body = F.array_join(F.transform("x", line), "\n")
+    return rows.select(F.col("l_orderkey").alias("file_id"), F.concat(F.lit('TITLE "Album"\nPERFORMER "Artist"\nFILE "a.flac" WAVE\n'), body).alias("content"))
 
 
 _SHEET = "n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM {lineitem}), x AS (SELECT l_orderkey AS file_id, CAST(n AS INT) AS track, l_returnflag AS title, CAST(n * 4 * 4500 + l_partkey % 60 * 75 AS BIGINT) AS start FROM n)"

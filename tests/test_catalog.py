@@ -184,6 +184,20 @@ def test_cue(spark):
     assert [r["line"] for r in Q.cue_summary(tracks).orderBy("track").collect()][:2] == ["One", "Guest - Two"]
 
 
+def test_cue_lines_are_neither_sorted_nor_shuffled(spark):
+    odd = 'title First\r\n\r\n  FILE "a.wav" WAVE\n TITLE "Late"\n PERFORMER "P"\nTRACK 2 AUDIO\nINDEX 01 00:01:00\nTRACK 1 MODE1/2352\nTITLE "x"\nTRACK 2 AUDIO\nTITLE "two"\nINDEX 01 00:09:00\nTRACK 0 AUDIO\nTITLE "none"\nFILE "" WAVE\nTRACK 7 AUDIO\nISRC AB\n'
+    tracks = Q.cue_tracks(spark.createDataFrame([(1, odd), (2, "TRACK 5 AUDIO"), (3, ""), (4, None)], "file_id long, content string"))
+    plan = tracks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort " not in plan
+    got = {(r["file_id"], r["file_no"], r["track"], r["file"], r["kind"], r["title"], r["isrc"], r["index01"], r["album"], r["album_artist"]) for r in tracks.collect()}
+    assert got == {
+        (1, 1, 1, "a.wav", "MODE1/2352", "x", None, None, "First", "P"),
+        (1, 1, 2, "a.wav", "AUDIO", "two", None, 75, "First", "P"),
+        (1, 2, 7, "a.wav", "AUDIO", None, "AB", None, "First", "P"),
+        (2, 0, 5, None, "AUDIO", None, None, None, None, None),
+    }
+
+
 def test_disc_id_of_a_known_table_of_contents(spark):
     import base64
     import hashlib
