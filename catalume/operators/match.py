@@ -72,8 +72,9 @@ def alias_components(edges: DataFrame) -> DataFrame:
     that are smallest around them stay, the others and links within a component leave, and the next
     round has a fraction of both. The rounds' steps are put together at the end, last first.
     """
-    e = edges.select("series_id", "title").where("title is not null").distinct()
-    low = e.groupBy("title").agg(F.min("series_id").alias("low"), F.count("*").alias("n")).where("n > 1")
+    # one exchange by title serves the smallest series of each title and the links to it
+    e = edges.select("series_id", "title").where("title is not null").repartition("title")
+    low = e.groupBy("title").agg(F.min("series_id").alias("low"), F.max("series_id").alias("high")).where("low < high").select("title", "low")
     links = durable(e.join(low, "title").where("series_id <> low").select(F.col("series_id").alias("a"), F.col("low").alias("b")).distinct())
     steps: list[DataFrame] = []
     while not links.isEmpty():
@@ -86,17 +87,31 @@ def alias_components(edges: DataFrame) -> DataFrame:
     while steps:
         ahead = labels.select(F.col("x").alias("to"), F.col("to").alias("last"))
         labels = steps.pop().join(ahead, "to", "left").select("x", F.coalesce("last", "to").alias("to"))
-    every = e.select("series_id").distinct()
+    every = edges.where("title is not null").select("series_id").distinct()
     if labels is None:
         return every.withColumn("component", F.col("series_id"))
     return every.join(labels.select(F.col("x").alias("series_id"), F.col("to").alias("component")), "series_id", "left").select("series_id", F.coalesce("component", "series_id").alias("component"))
 
 
-def alias_expand(names: DataFrame, titles: DataFrame, components: DataFrame) -> DataFrame:
-    """``(name, title)``: each name and every title of its series' component."""
-    known = titles.join(components, "series_id")
-    via = names.join(known.select(F.col("title").alias("name"), "component").distinct(), "name").join(known.select("component", "title").distinct(), "component")
-    return via.select("name", "title").union(names.select("name", F.col("name").alias("title"))).distinct()
+def alias_expand(names: DataFrame | None, titles: DataFrame, components: DataFrame) -> DataFrame:
+    """``(name, title)``: each name and every title of its series' component; without ``names``, each title is one.
+
+    Each title is laid down once with its component. Where no title has two components, as in those of
+    :func:`alias_components`, pairs of titles are distinct as they come, so the result isn't shuffled again.
+    """
+    of = titles.select("series_id", "title").join(components, "series_id", "left").select("title", "component")
+    one = durable(of.groupBy("title").agg(F.min("component").alias("component"), F.max("component").alias("last")))
+    several = not one.where("component < last").isEmpty()
+    known = (of.distinct() if several else one.select("title", "component")).where("component is not null")
+    if names is None:
+        via = known.where("title is not null").select(F.col("title").alias("name"), "component")
+        alone = one.where("component is null or title is null").select(F.col("title").alias("name"))
+    else:
+        names = names.select("name").distinct()
+        via = names.join(known.select(F.col("title").alias("name"), "component"), "name")
+        alone = names.join(known.select(F.col("title").alias("name")), "name", "left_anti")
+    pairs = via.join(known, "component").select("name", "title").unionByName(alone.withColumn("title", F.col("name")))
+    return pairs.distinct() if several else pairs
 
 
 def prefix_match(left: DataFrame, right: DataFrame, least: int = 1) -> DataFrame:

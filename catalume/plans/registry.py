@@ -133,7 +133,7 @@ _add("r10_release_titles", lambda t: R.parse_names(t.v_names.select("name"), 202
 _add("r11_release_paths", lambda t: R.parse_paths(t.v_names.select(F.concat_ws("/", "series", F.concat(F.lit("Season "), "season"), "name").alias("path")), 2026).select("path", "title", "season", "episode", "release_group", F.size("reasons").alias("n_reasons")), "SELECT series || '/Season ' || season || '/' || name AS path, series AS title, season, episode, grp AS release_group, 0 AS n_reasons FROM {v_names}")
 _add("r3_r4_vocabulary", lambda t: R.vocabulary(R.lexical_tokens(R.structural_tokens(R.path_components(t.v_names.select(F.col("name").alias("path")))))).where("word_kind is not null").groupBy("word_kind").agg(F.count("*").alias("n")), "SELECT 'resolution' AS word_kind, count(*) AS n FROM {v_names} UNION ALL SELECT 'video_codec', count(*) FROM {v_names} UNION ALL SELECT 'medium', count(*) FROM {v_names}")
 _add("r13_alias_components", lambda t: M.alias_components(t.v_titles), "WITH RECURSIVE e AS (SELECT DISTINCT a.series_id AS a, b.series_id AS b FROM {v_titles} a JOIN {v_titles} b USING (title)), c(s, r) AS (SELECT a, a FROM e UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.s) SELECT s AS series_id, min(r) AS component FROM c GROUP BY 1")
-_add("j14_alias_expand", lambda t: M.alias_expand(t.v_titles.select(F.col("title").alias("name")).distinct(), t.v_titles, M.alias_components(t.v_titles)), "WITH RECURSIVE e AS (SELECT DISTINCT a.series_id AS a, b.series_id AS b FROM {v_titles} a JOIN {v_titles} b USING (title)), c(s, r) AS (SELECT a, a FROM e UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.s), k AS (SELECT s AS series_id, min(r) AS component FROM c GROUP BY 1), t AS (SELECT DISTINCT title, component FROM {v_titles} JOIN k USING (series_id)) SELECT DISTINCT a.title AS name, b.title FROM t a JOIN t b USING (component)")
+_add("j14_alias_expand", lambda t: M.alias_expand(None, t.v_titles, M.alias_components(t.v_titles)), "WITH RECURSIVE e AS (SELECT DISTINCT a.series_id AS a, b.series_id AS b FROM {v_titles} a JOIN {v_titles} b USING (title)), c(s, r) AS (SELECT a, a FROM e UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.s), k AS (SELECT s AS series_id, min(r) AS component FROM c GROUP BY 1), t AS (SELECT DISTINCT title, component FROM {v_titles} JOIN k USING (series_id)) SELECT DISTINCT a.title AS name, b.title FROM t a JOIN t b USING (component)")
 _MATCH = """WITH s AS (SELECT *, nullif(lower(regexp_extract(release_group, '([\\w-]+)', 1)), '') AS g FROM {v_source}), d AS (SELECT *, nullif(lower(regexp_extract(release_group, '([\\w-]+)', 1)), '') AS g FROM {v_download}),
  n AS (SELECT s.path, s.g, d.path AS dl_path, d.g AS dg, row_number() OVER (PARTITION BY s.path ORDER BY abs(s.size - d.size), d.path) AS k FROM s JOIN d ON s.series_key = d.series_key AND s.season = d.season AND s.episode = d.episode),
  one AS (SELECT path, dl_path, 'episode' AS matched_by FROM n WHERE k = 1 AND (g IS NULL OR dg IS NULL OR g = dg)),

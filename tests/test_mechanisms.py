@@ -67,6 +67,29 @@ def test_a_member_of_all_sets_joins_nothing(spark):
     assert O.jaccard_pairs(spark.createDataFrame(rows, "library string, name string, pid long"), 0.5).collect() == []
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_titles_expand_without_another_shuffle(spark, split):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, *(f"t{i}" for i in range(60))])) for _ in range(90)]
+    titles = spark.createDataFrame(rows, "series_id long, title string")
+    components = spark.createDataFrame([(s, s % 7) for s in range(40)], "series_id long, component long") if split else M.alias_components(titles)
+    of = dict(map(tuple, components.collect()))
+    known = {(t, of[s]) for s, t in rows if of.get(s) is not None}
+
+    def want(names):
+        return {(n, n) for n in names} | {(n, t) for n in names for k, c in known for t, d in known if k == n and k is not None and c == d}
+
+    every = {t for _, t in rows}
+    got = M.alias_expand(None, titles, components)
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want(every)))
+    some = {"t1", "t2", "t3", "else", None}
+    if not split:
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "Deduplicate" not in plan
+    got = M.alias_expand(spark.createDataFrame([(n,) for n in [*some, "t1"]], "name string"), titles, components)
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want(some)))
+
+
 def test_directories_of_one_name_make_no_pairs(spark):
     n = 60_000
     titles = spark.range(n).select((F.col("id") % 2).alias("block"), (F.col("id") + 5).alias("pos"), F.lit("Same Show").alias("title"), F.lit(2000).alias("year"))
