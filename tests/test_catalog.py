@@ -123,6 +123,15 @@ def test_release_names(spark):
     assert [r["reasons"] for r in flagged] == [["unbalanced brackets"], ["contradictory episodes"], []]
 
 
+def test_titles_are_grouped_in_one_pass(spark):
+    names = ["Some Show - 01.mkv", "Some.Show.S02E03.1080p.BluRay.x265-TEAM.mkv", "some show - 02.mkv", "Some Show - 03.mkv", "Film (1999).mkv", "Film (2001).mkv", "(1080p).mkv"]
+    parsed = R.parse_names(spark.createDataFrame([(n,) for n in names], "name string"), 2026).withColumn("path", F.col("name"))
+    groups = R.group_titles(parsed)
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 1 and "Filter" not in plan[plan.rindex("Aggregate") :]
+    assert [(r["group_key"], r["title"], r["files"], r["seasons"]) for r in groups.collect()] == [("someshow", "Some Show", 4, [2]), ("film|1999", "Film", 1, []), ("film|2001", "Film", 1, [])]
+
+
 def test_planning(spark):
     plan = spark.createDataFrame([("s1", 1, 10, "T", 1, 1, "ready", "D", "n.mkv", ""), ("s2", 2, 10, "T", 1, 2, "ready", "d", "N.mkv", ""), ("s3", 3, 10, "T", 1, 1, "ready", "D", "z.mkv", "")], "source string, pos int, size long, title string, season int, episode int, status string, dest_dir string, dest_name string, note string")
     assert {r["source"]: r["status"] for r in P.mark_dup_dests(plan).collect()} == {"s1": "ready", "s2": "skip", "s3": "ready"}
