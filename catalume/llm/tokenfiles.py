@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import textops as T
 from . import tokens as K
 
+#: Bytes of text that are encoded at once, and words that a worker remembers.
+BLOCK, KEEP = 3 << 20, 300_000
 #: Columns of the files.
 FILES = "part int, doc_id long, at long, n_ids long, ids array<int>"
 
@@ -52,8 +54,8 @@ def _encoded(batches: Iterable[pa.RecordBatch], tokenizer: str, end_id: int) ->
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    encoder = K.loaded(K.ByteBpe, tokenizer)
-    for batch in K.blocks(batches, 1, 6 << 20):
+    encoder = K.loaded(K.ByteBpe, tokenizer, False, KEEP)
+    for batch in K.blocks(batches, 1, BLOCK):
         data, ofs = T.flat(batch.column(1))
         ids, ends, _ = encoder.encode(data, ofs)
         rows = batch.num_rows
@@ -71,6 +73,7 @@ def _encoded(batches: Iterable[pa.RecordBatch], tokenizer: str, end_id: int) ->
             ["part", "doc_id", "at", "n_ids", "ids"],
         )
         at += int(ends[-1])
+    pa.default_memory_pool().release_unused()
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, layout: Layout | None = None) -> None:
