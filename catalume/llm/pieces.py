@@ -321,7 +321,7 @@ def _blocks(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Itera
             at = end
 
 
-def _distinct_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, limit: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def _distinct_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Distinct units of each block of about ``limit`` bytes."""
     held: list[pa.Array] = []
     size = 0
@@ -337,6 +337,8 @@ def _distinct_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, limit: int
             held, size = [], 0
     if held:
         yield distinct()
+    held.clear()
+    pa.default_memory_pool().release_unused()  # the JVM's stages that follow need it
 
 
 def _cold_units(batches: Iterator[pa.RecordBatch], v: Vocabulary, hot: _Solved) -> Iterator[pa.RecordBatch]:
