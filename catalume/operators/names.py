@@ -1,10 +1,10 @@
 """Release names by tokens: nested spans, longest-match compounds, rules of context, assembly.
 
-Distinct path components become ordered rows of tokens. Spans of brackets and compounds of
-several words are folds over arrays within a row; what a token means beside its neighbours
-(the first bracket, a title word that is also a codec, a marker after an episode) is decided
-by windows over the ordered tokens of a component, all on one partitioning. Attributes are
-aggregates over those rows, and paths take them from their components by a join.
+Distinct path components become ordered rows of tokens. Spans of brackets are a fold over an
+array, compounds of several words are marked in the text; both stay within a row. What a token
+means beside its neighbours (a title word that is also a codec, a marker after an episode) is
+decided by windows over the ordered tokens of a component, all on one partitioning. Attributes
+are aggregates over those rows, and paths take them from their components by a join.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from .release import path_components
 
 # Endings of files, words of each kind, site names and the like.
 ENDINGS = ("mkv", "mp4", "m4v", "avi", "rar", "iso", "zip", "7z", "webdl")
-AUDIO = r"(?:DTS-?HD\s*MA|DTS-?HDMA|DTS-HD|DTSHD|DTS|DDP|DD\+|DD|EAC3|E-AC-3|AC3|AAC|FLAC|Opus|TrueHD|PCM|LPCM)(?:[.\s]?\d\.\d)?"
+_AUDIO = r"(?:DTS-?HD\s*MA|DTS-?HDMA|DTS-HD|DTSHD|DTS|DDP|DD\+|DD|EAC3|E-AC-3|AC3|AAC|FLAC|Opus|TrueHD|PCM|LPCM)"
+AUDIO = rf"{_AUDIO}(?:[.\s]?\d\.\d)?"
 VIDEO = r"HEVC|AVC|x26[45]|h\.?26[45]|AV1|XviD|DivX|MPEG2|VP9"
 SERVICES = ("amzn", "cr", "nf", "dsnp", "hidive", "hidi", "hulu", "adn", "unext", "atvp", "funi", "pcok", "pmtp", "stan", "it", "ma", "kntv", "tver", "abema", "vrv", "bili")
 MEDIA = {"BD": "bd|blu-ray|bluray|bdrip|bdremux", "Web": "web|web-dl|webdl|webrip|" + "|".join(SERVICES), "DVD": "dvd|dvdrip", "DVD-R": "dvd-r|dvdr", "HDTV": "hdtv|raw", "SDTV": "sdtv", "VCD": "vcd", "CD-R": "cd-r|cdr"}
@@ -67,6 +68,12 @@ KINDS = (
     ("unknown", r"REPACK\d?"),
     ("site", r"www\.\w+\.\w+"),
 )
+#: Several words that are one, in whole texts by dots and by spaces: what of the kinds holds such a joint.
+COMPOUNDS = {
+    ".": rf"{_AUDIO}[.\s]?\d\.\d|h\.26[45]|\d{{0,4}}v\d+\.\d+|Dual\.Audio|www\.\w+\.\w+",
+    " ": rf"\d{{1,4}}(?: [~～] ?|[~～] )\d{{1,4}}|\d+(?:st|nd|rd|th) Season|Season \d{{1,2}}|\d{{1,4}}(?:v\d+)? END|(?:NC|Creditless) (?:OP|ED)\d*"
+    rf"|DTS-?HD MA(?:[. ]?\d\.\d)?|{_AUDIO} \d\.\d|Dual Audio|multiple subtitle|dolby vision|(?:Hi)?\d+ bit",
+}
 #: Kinds that tell nothing about where a title ends.
 PLAIN = ("text", "segment", "separator", "paren", "bracket", "episode_title")
 
@@ -76,6 +83,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _fits(text: Column, pattern: str) -> Column:
+    """``rlike`` for functions over arrays, where that decodes its pattern once more for every element."""
+    return F.regexp_instr(text, F.lit(pattern)) > 0
+
+
 def kind_of(word: Column) -> Column:
     """The kind of a word, or of several that belong together; null where none fits."""
     return F.coalesce(*[F.when(word.rlike(f"^(?i:{p})$"), F.lit(k)) for k, p in KINDS])
@@ -87,17 +99,19 @@ def _one_of(*kinds: str) -> str:
 
 
 def _known(word: Column) -> Column:
-    return word.rlike(_one_of())
+    return _fits(word, _one_of())
 
 
 def is_media_word(word: Column) -> Column:
     """Whether the word, or one of its parts between dashes, has a kind."""
-    return _known(word) | F.exists(F.split(word, "-"), _known)
+    return _known(word) | (word.contains("-") & F.exists(F.split(word, "-"), _known))
 
 
 _TOKENS = "array<struct<kind:string,text:string,embedded:boolean>>"
 #: Kinds of tokens on their way: one that :func:`kind_of` names, and texts that are still taken apart.
 _NAMED, _DOTTED, _SPACED, _PART = "?", "by dots", "by words", "part"
+#: Noncharacters around a compound on its way.
+_MARKS = ("\uFDD0", "\uFDD1")
 
 
 def _token(kind: Column | str, text: Column, embedded: bool = False) -> Column:
@@ -111,13 +125,13 @@ def distinct_components(rows: DataFrame) -> DataFrame:
     return rows.select("component").where("component is not null").repartition(parts, "component").distinct()
 
 
-def spans(components: DataFrame) -> DataFrame:
-    """R2: ordered spans ``(component, at, kind, text, closed)``: brackets at any depth, and the text between them.
+def _spans(component: Column) -> Column:
+    """R2: ordered spans ``(kind, text, closed)``: brackets at any depth, and the text between them.
 
     A fold over the marks: inside a span only its own kind of bracket counts, and the span
     ends where that depth comes back to zero. A span that is never closed reaches to the end.
     """
-    ends = F.regexp_replace("component", rf"(?i)\.(?:{'|'.join(ENDINGS)})$", "")
+    ends = F.regexp_replace(component, rf"(?i)\.(?:{'|'.join(ENDINGS)})$", "")
     atoms = F.regexp_extract_all(ends, F.lit(r"([\[\]()「」]|[^\[\]()「」]+)"), 1)
     span = "array<struct<kind:string,text:string,closed:boolean>>"
     opens = F.create_map(*[F.lit(x) for x in ("[", "bracket", "(", "paren", "「", "quote")])
@@ -144,7 +158,12 @@ def spans(components: DataFrame) -> DataFrame:
         return F.when(a["mark"] == "", put(a, F.lit("text"), True)).otherwise(put(a, opens[a["mark"]], False))
 
     start = state(F.array().cast(span), F.lit(""), F.lit(0), F.lit(""))
-    found = components.select("component", F.aggregate(atoms, start, step, finish).alias("spans"))
+    return F.aggregate(atoms, start, step, finish)
+
+
+def spans(components: DataFrame) -> DataFrame:
+    """R2: rows ``(component, at, kind, text, closed)`` of the spans of each component."""
+    found = components.select("component", _spans(F.col("component")).alias("spans"))
     # outer, so that no filter on the size of the spans is inferred, which would find them twice
     return found.select("component", F.posexplode_outer("spans").alias("at", "s")).where("s is not null").select("component", "at", "s.*")
 
@@ -152,55 +171,39 @@ def spans(components: DataFrame) -> DataFrame:
 def longest(words: Column, joint: str) -> Column:
     """Tokens of ``words``; up to three that have a kind together are one, longest first, from left to right.
 
-    A dash and a name behind a compound are a token of their own, ``H.264-GROUP``; so are the
-    parts of a dashed word of which one has a kind.
+    Compounds are marked in the joined text, by noncharacters, before it is parted again. A dash
+    and a name behind a compound are a token of their own, ``H.264-GROUP``; so are the parts of a
+    dashed word of which one has a kind.
     """
-    tail = r"-[A-Za-z][^.]*$"
-
-    def taken(n: int, tokens: Column) -> Column:
-        return F.struct(F.lit(n).alias("n"), tokens.alias("tokens"))
-
-    def rest(text: Column) -> Column:
-        return _token(F.when(_known(text), _NAMED).otherwise("group"), text)
-
-    def at(w: Column, i: Column) -> Column:
-        tries = []
-        for n in (3, 2):
-            whole = F.array_join(F.slice(w, i + 1, n), joint)
-            fits = i + n <= F.size(w)
-            tries.append(F.when(fits & _known(whole), taken(n, F.array(_token(_NAMED, whole)))))
-            if joint == ".":
-                bare = F.regexp_replace(whole, tail, "")
-                more = F.regexp_extract(F.get(w, i + n - 1), r"-([A-Za-z][^.]*)$", 1)
-                tries.append(F.when(fits & (more != "") & _known(bare), taken(n, F.array(_token(_NAMED, bare), rest(more)))))
-        one = F.get(w, i)
+    end = r"(?:\r\n|[\n\r\u0085\u2028\u2029])?"
+    whole = rf"(?i:{COMPOUNDS[joint]}){end}"
+    if joint == ".":
+        whole = rf"{whole}(?:-[A-Za-z][^.]*)?|{CHANNELS}{end}"
+    marked = F.regexp_replace(F.array_join(words, joint), rf"(?<![^{joint}])(?:{whole})(?![^{joint}])", f"{_MARKS[0]}$0{_MARKS[1]}")
+    items = F.regexp_extract_all(marked, F.lit(rf"{_MARKS[0]}[^{_MARKS[1]}]*{_MARKS[1]}|[^{joint}]+"), F.lit(0))
+
+    def compound(text: Column) -> Column:
+        if joint == " ":
+            return F.array(_token(_NAMED, text))
+        tail = r"-([A-Za-z][^.]*)$"
+        told = lambda more: F.when(more == "", F.array(_token(_NAMED, text))).otherwise(F.array(_token(_NAMED, F.regexp_replace(text, tail, "")), _token(F.when(_known(more), _NAMED).otherwise("group"), more)))
+        return F.when(_fits(text, f"^{CHANNELS}$"), F.array(_token("channels", text))).otherwise(_let(F.regexp_extract(text, tail, 1), told))
+
+    def single(one: Column, i: Column) -> Column:
+        named = F.array(_token(_NAMED, one))
         if joint == ".":
-            pair = F.concat_ws(".", one, F.get(w, i + 1))
-            tries.append(F.when((i + 2 <= F.size(w)) & pair.rlike(f"^{CHANNELS}$"), taken(2, F.array(_token("channels", pair)))))
             head, more = F.regexp_extract(one, r"^(.+)-([A-Za-z][A-Za-z0-9]+)$", 1), F.regexp_extract(one, r"^(.+)-([A-Za-z][A-Za-z0-9]+)$", 2)
-            tries.append(F.when(_known(one), taken(1, F.array(_token(_NAMED, one)))))
-            tries.append(F.when((head != "") & _known(head), taken(1, F.array(_token(_NAMED, head), _token("group", more)))))
-            tries.append(taken(1, F.array(_token("segment", one))))
-        else:
-            tries.append(F.when(one.rlike(_DECIMAL), taken(1, F.array(_token("episode", one)))))
-            tries.append(F.when(_known(one), taken(1, F.array(_token(_NAMED, one)))))
-            parts = F.filter(F.split(one, "-"), lambda p: p != "")
-            last = F.when(is_media_word(one), "group").otherwise("unknown")
-            told = F.transform(parts, lambda p, k: _token(F.when(_known(p), _NAMED).when((k > 0) & (k == F.size(parts) - 1), last).otherwise("unknown"), p))
-            tries.append(F.when(one.contains("-") & ~one.startswith("-"), taken(1, told)))
-            name = F.regexp_replace(one, "^-", "")
-            tries.append(taken(1, F.array(_token(F.when(one.startswith("-") & (i > 0), "group").otherwise("unknown"), name))))
-        return F.coalesce(*tries)
+            dashed = one.contains("-") & (head != "") & _known(head)
+            return F.when(_known(one), named).when(dashed, F.array(_token(_NAMED, head), _token("group", more))).otherwise(F.array(_token("segment", one)))
+        parts = F.filter(F.split(one, "-"), lambda p: p != "")
+        last = F.when(is_media_word(one), "group").otherwise("unknown")
+        told = F.transform(parts, lambda p, k: _token(F.when(_known(p), _NAMED).when((k > 0) & (k == F.size(parts) - 1), last).otherwise("unknown"), p))
+        name = F.array(_token(F.when(one.startswith("-") & (i > 0), "group").otherwise("unknown"), F.regexp_replace(one, "^-", "")))
+        out = F.when(_fits(one, _DECIMAL), F.array(_token("episode", one))).when(_known(one), named)
+        return out.when(one.contains("-") & ~one.startswith("-"), told).otherwise(name)
 
-    def fold(w: Column) -> Column:
-        start = F.struct(F.lit(0).alias("next"), F.array().cast(_TOKENS).alias("out"))
-
-        def step(a: Column, i: Column) -> Column:
-            return F.when(i < a["next"], a).otherwise(_let(at(w, i), lambda t: F.struct((i + t["n"]).alias("next"), F.concat(a["out"], t["tokens"]).alias("out"))))
-
-        return F.when(F.size(w) > 0, F.aggregate(F.sequence(F.lit(0), F.size(w) - 1), start, step)["out"]).otherwise(start["out"])
-
-    return _let(words, fold)
+    each = lambda x, i: F.when(x.startswith(_MARKS[0]), _let(F.translate(x, "".join(_MARKS), ""), compound)).otherwise(single(x, i))
+    return F.flatten(F.transform(items, each))
 
 
 def _words(text: Column) -> Column:
@@ -219,28 +222,28 @@ def _part(text: Column) -> Column:
     marked = F.regexp_replace(text, marks, "\u0001$1\u0001")
     # the first number between spaces: no year, not behind a word that counts parts or another number, no channel layout
     number = rf"(?i)^(|.*? )(?<!(?:^| )(?:{'|'.join(COUNTED)}) )(?<!\d )(?!(?:19|20)\d\d(?: |$))(?![2567] [012](?: |$))(\d{{1,4}}(?:v\d+(?:\.\d+)?)?)(?= |$)"
-    cut = F.when(marked != text, marked).otherwise(F.regexp_replace(text, number, "$1\u0001$2\u0001"))
+    cut = _let(marked, lambda m: F.when(m != text, m).otherwise(F.regexp_replace(text, number, "$1\u0001$2\u0001")))
     pieces = F.filter(F.transform(F.split(cut, "\u0001"), lambda p: F.regexp_replace(p, r"^[\s-]+|\s+$", "")), lambda p: ~p.isin("", "(終)", "（終）"))
 
     def told(p: Column, after: Column) -> Column:
         """A marker or other word with a kind; else a title, with the words of media behind it if a marker is before it."""
 
         def parted(w: Column) -> Column:
-            flags = F.transform(w, lambda x: is_media_word(x) & ~x.rlike(r"^\d+$"))
+            flags = F.transform(w, lambda x: is_media_word(x) & ~_fits(x, r"^\d+$"))
             at = F.array_position(flags, True).cast("int")
             two = F.array(_token("text", F.array_join(F.slice(w, F.lit(1), at - 1), " "), True), _token(_SPACED, F.array_join(F.slice(w, at, F.size(w)), " ")))
             return F.when(at > 1, two).otherwise(F.array(_token("text", p, True)))
 
-        bonus = p.rlike(rf"(?i){early}(?:{_BONUS})")
+        bonus = _fits(p, rf"(?i){early}(?:{_BONUS})")
         out = F.when(_known(p), F.array(_token(_NAMED, p, True))).when(bonus, F.array(_token("bonus", p, True)))
         return out.when(after, _let(F.filter(F.split(p, " "), lambda x: x != ""), parted)).otherwise(F.array(_token("text", p, True)))
 
     def all_told(found: Column) -> Column:
-        behind = lambda i: F.exists(F.slice(found, F.lit(1), i), lambda q: q.rlike(_one_of("episode", "special")))
+        behind = lambda i: F.exists(F.slice(found, F.lit(1), i), lambda q: _fits(q, _one_of("episode", "special")))
         return F.flatten(F.transform(found, lambda p, i: told(p, behind(i))))
 
-    whole = F.when(text.rlike(f"^{CHANNELS}$"), "channels").when(text.rlike(_DECIMAL), "episode").when(_known(text), _NAMED)
-    return F.when(whole.isNotNull(), F.array(_token(whole, text))).otherwise(_let(pieces, all_told))
+    whole = F.when(_fits(text, f"^{CHANNELS}$"), "channels").when(_fits(text, _DECIMAL), "episode").when(_known(text), _NAMED)
+    return _let(whole, lambda k: F.when(k.isNotNull(), F.array(_token(k, text))).otherwise(_let(pieces, all_told)))
 
 
 def _text(text: Column) -> Column:
@@ -262,7 +265,7 @@ _CHECKSUM = r"^(?i:[0-9A-F]{8})$"
 
 
 def _subtitled(text: Column) -> Column:
-    return F.lower(text).contains("subtitle") | F.lower(text).rlike(f"^(?:{SUBTITLES})$")
+    return F.lower(text).contains("subtitle") | _fits(F.lower(text), f"^(?:{SUBTITLES})$")
 
 
 def _bracket(text: Column, first: Column) -> Column:
@@ -270,47 +273,69 @@ def _bracket(text: Column, first: Column) -> Column:
     inner = F.trim(text)
     one = lambda kind: F.array(_token(kind, inner))
     site = F.lower(inner).isin(*SITES)
-    count, words = _media_count(text), F.split(text, r"[\s,]+")
-    media = (count > 0) & (count >= F.floor(F.size(words) / 2))
+    words = F.split(text, r"[\s,]+")
+    media = _let(_media_count(text), lambda n: (n > 0) & (n >= F.floor(F.size(words) / 2)))
     head = F.regexp_extract(text, r"^([^\s,]*)", 1)
     rest = F.regexp_replace(text, r"^[^\s,]*[\s,]*", "")
     expanded = F.when((head != "") & ~is_media_word(head), F.array(_token("group", head), _token(_SPACED, rest))).otherwise(F.array(_token(_SPACED, text)))
     dotted = inner.contains(".") & ~inner.contains(" ") & F.exists(F.split(inner, r"\."), is_media_word)
-    out = F.when(inner.rlike(_CHECKSUM), one("checksum")).when(_subtitled(text), one("subtitle")).when(dotted, one(_DOTTED))
-    out = out.when(first & ~media & ~site, F.array(_token("group", text))).when(media, expanded)
-    return out.when(inner.rlike(r"^\p{L}{2,6}$") & ~site, one("group")).otherwise(F.array(_token("bracket", text)))
+    out = F.when(_fits(inner, _CHECKSUM), one("checksum")).when(_subtitled(text), one("subtitle")).when(dotted, one(_DOTTED))
+
+    def other(media: Column) -> Column:
+        named = F.when(first & ~media & ~site, F.array(_token("group", text))).when(media, expanded)
+        return named.when(_fits(inner, r"^\p{L}{2,6}$") & ~site, one("group")).otherwise(F.array(_token("bracket", text)))
+
+    return out.otherwise(_let(media, other))
 
 
 def _paren(text: Column) -> Column:
     inner = F.trim(text)
     plain = F.when(text.contains("_"), F.regexp_replace(F.replace(text, F.lit("_"), F.lit(" ")), r"([a-zA-Z])(\d+p\b)", "$1 $2")).otherwise(text)
     alone = _one_of("year", "season", "episode", "special", "dual_audio", "uncensored", "edition")
-    out = F.when(inner.rlike(alone), F.array(_token(_NAMED, inner))).when(F.lower(text).contains("softsub"), F.array(_token("subtitle", text)))
+    out = F.when(_fits(inner, alone), F.array(_token(_NAMED, inner))).when(F.lower(text).contains("softsub"), F.array(_token("subtitle", text)))
     out = out.when(_media_count(plain) >= 2, F.array(_token(_SPACED, plain)))
-    return out.when(inner.rlike(r"^\p{L}{2}$"), F.array(_token("language", inner))).otherwise(F.array(_token("paren", text)))
+    return out.when(_fits(inner, r"^\p{L}{2}$"), F.array(_token("language", inner))).otherwise(F.array(_token("paren", text)))
 
 
-def tokens(components: DataFrame) -> DataFrame:
-    """The ordered tokens ``(component, at, pos, kind, text)`` of distinct components, as their context tells them."""
-    before = Window.partitionBy("component").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    claims = (F.col("kind") == "bracket") & ~F.trim("text").rlike(_CHECKSUM) & ~_subtitled(F.col("text"))
-    rows = spans(components).withColumn("claims", claims).withColumn("first", ~F.coalesce(F.max("claims").over(before), F.lit(False)))
-    text, kind = F.col("text"), F.col("kind")
-    quote = F.array(_token(F.when(text.rlike(rf"(?i)(?<![^ \t_-])(?:{_BONUS})"), "bonus").otherwise("episode_title"), text))
-    told = F.when(kind == "bracket", _bracket(text, F.col("first"))).when(kind == "paren", _paren(text)).when(kind == "quote", quote).otherwise(_text(text))
+def _open(told: Column) -> Column:
+    """Tokens of a span, with parts and words taken apart."""
     parts = lambda t: F.when(t["kind"] == _PART, _part(t["text"])).otherwise(F.array(t))
 
     def apart(t: Column) -> Column:
         dotted = longest(F.filter(F.split(t["text"], r"\."), lambda w: w != ""), ".")
         return F.when(t["kind"] == _DOTTED, dotted).when(t["kind"] == _SPACED, longest(_words(t["text"]), " ")).otherwise(F.array(t))
 
-    opened = F.flatten(F.transform(F.flatten(F.transform(told, parts)), apart))
-    each = rows.select("component", "at", F.posexplode_outer(opened).alias("pos", "t")).where("t is not null").select("component", "at", "pos", "t.*")
-    return in_context(each.withColumn("kind", F.when(kind == _NAMED, kind_of(text)).otherwise(kind)))
+    return F.flatten(F.transform(F.flatten(F.transform(told, parts)), apart))
+
+
+def _told(components: DataFrame) -> DataFrame:
+    """The ordered tokens of distinct components, each with its component's ``reasons``, as their context tells them."""
+    rows = components.select("component", _spans(F.col("component")).alias("spans"))
+    claims = lambda s: (s["kind"] == "bracket") & ~_fits(F.trim(s["text"]), _CHECKSUM) & ~_subtitled(s["text"])
+
+    def tokens_of(s: Column, first: Column) -> Column:
+        text, kind = s["text"], s["kind"]
+        quote = F.array(_token(F.when(_fits(text, rf"(?i)(?<![^ \t_-])(?:{_BONUS})"), "bonus").otherwise("episode_title"), text))
+        return _open(F.when(kind == "bracket", _bracket(text, first)).when(kind == "paren", _paren(text)).when(kind == "quote", quote).otherwise(_text(text)))
+
+    def opened(claim: Column) -> Column:
+        """Tokens of all spans, with their places; up to the first bracket that claims it a bracket may name the group."""
+        placed = lambda s, at: F.transform(tokens_of(s, (claim == 0) | (at < claim)), lambda t, pos: F.struct(at.alias("at"), pos.alias("pos"), t["kind"].alias("kind"), t["text"].alias("text"), t["embedded"].alias("embedded")))
+        return F.flatten(F.transform("spans", placed))
+
+    claim = F.array_position(F.transform("spans", claims), True).cast("int")
+    # outer, so that no filter on the size of the tokens is inferred, which would find them twice
+    each = rows.select("component", coverage(F.col("spans")).alias("reasons"), F.explode_outer(_let(claim, opened)).alias("t")).where("t is not null").select("component", "reasons", "t.*")
+    return in_context(each.withColumn("kind", F.when(F.col("kind") == _NAMED, kind_of(F.col("text"))).otherwise(F.col("kind"))))
+
+
+def tokens(components: DataFrame) -> DataFrame:
+    """The ordered tokens ``(component, at, pos, kind, text)`` of distinct components, as their context tells them."""
+    return _told(components).drop("reasons")
 
 
 def in_context(found: DataFrame) -> DataFrame:
-    """Kinds that depend on what stands before or behind a token in its component."""
+    """Kinds that depend on what stands before or behind a token in its component; other columns stay."""
     order = Window.partitionBy("component").orderBy("at", "pos")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     kind, text = F.col("kind"), F.lower("text")
@@ -325,11 +350,11 @@ def in_context(found: DataFrame) -> DataFrame:
     marked = marked.when((kind == "segment") & F.col("seen") & F.col("last") & F.col("text").rlike(r"^[\p{L}\p{N}]{2,8}$"), "group")
     marked = marked.when(kind == "segment", "text").otherwise(kind)
     rows = found.withColumn("seen", seen).withColumn("numbered", numbered).withColumn("last", last)
-    return rows.select("component", "at", "pos", marked.alias("kind"), "text")
+    return rows.select("component", "at", "pos", marked.alias("kind"), "text", *[c for c in found.columns if c not in ("component", "at", "pos", "kind", "text", "embedded")])
 
 
 def _bonus_kind(text: Column) -> Column:
-    english = [F.when(text.rlike(rf"(?i)(?:{p})"), F.lit(k)) for k, p in BONUS_ENGLISH.items()]
+    english = [F.when(_fits(text, rf"(?i)(?:{p})"), F.lit(k)) for k, p in BONUS_ENGLISH.items()]
     return F.coalesce(*[F.when(text.contains(w), F.lit(k)) for w, k in BONUS_JAPANESE.items()], *english)
 
 
@@ -343,9 +368,11 @@ FIELDS = ("title", "title_alt", "episode_title", "season", "episode", "episodes"
 def assemble(told: DataFrame) -> DataFrame:
     """One row of attributes a component; the first token that tells an attribute wins, of several groups the last.
 
-    The ordered tokens of a component are one array; each attribute reads it once.
+    The ordered tokens of a component are one array; each attribute reads it once. Columns that
+    its tokens have in common stay.
     """
-    rows = told.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("at", "pos", "kind", "text"))).alias("tokens"))
+    kept = [c for c in told.columns if c not in ("component", "at", "pos", "kind", "text")]
+    rows = told.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("at", "pos", "kind", "text"))).alias("tokens"), *[F.first(c).alias(c) for c in kept])
     every = F.col("tokens")
 
     def where(*kinds: str) -> Column:
@@ -365,7 +392,7 @@ def assemble(told: DataFrame) -> DataFrame:
 
     season_in = lambda t: _number(t, r"^S(\d{1,2})(?:E|OVA|OAD|ONA|SP|OP|ED)")
     season_no = lambda t: F.coalesce(_number(t, r"第(\d+)期"), _number(t, r"^(\d+)(?:st|nd|rd|th)"), _number(t, r"^(?:Season\s+|S)(\d{1,2})$"))
-    source = lambda t: F.coalesce(*[F.when(F.lower(t).rlike(f"^(?:{p})$"), F.lit(k)) for k, p in MEDIA.items()])
+    source = lambda t: F.coalesce(*[F.when(_fits(F.lower(t), f"^(?:{p})$"), F.lit(k)) for k, p in MEDIA.items()])
     at = F.array_position(F.transform(every, lambda t: t["kind"].isin("episode", "special")), True).cast("int")
     rows = rows.withColumn("marker", F.when(at > 0, at)).withColumn("episode_text", of("episode")).withColumn("resolution_text", of("resolution"))
     before = F.when(F.col("marker").isNull(), every).otherwise(F.slice(every, F.lit(1), F.col("marker") - 1))
@@ -388,7 +415,7 @@ def assemble(told: DataFrame) -> DataFrame:
     tall = F.coalesce(_number(r, r"x(\d{3,4})"), _number(r, r"^(\d{3,4})[pi]$"), F.when(F.lower(r) == "4k", 2160))
     wide = _number(r, r"^(\d{3,4})x")
     tall = F.greatest(tall, F.coalesce(*[F.when(wide >= a, F.lit(b)) for a, b in ((3200, 2160), (1800, 1080), (1200, 720))], F.lit(0)))
-    credit = lambda t: F.when(t.rlike(r"(?i)^S\d+OP$"), "NCOP").when(t.rlike(r"(?i)^S\d+ED$"), "NCED")
+    credit = lambda t: F.when(_fits(t, r"(?i)^S\d+OP$"), "NCOP").when(_fits(t, r"(?i)^S\d+ED$"), "NCED")
     bonuses = F.filter(F.transform(where("bonus", "episode_title", "special"), lambda t: F.when(t["kind"] == "special", credit(t["text"])).otherwise(_bonus_kind(t["text"]))), lambda b: b.isNotNull())
     batch = of("batch")
     pair = F.struct(_number(batch, r"^(\d+)").alias("first"), _number(batch, r"(\d+)$").alias("last"))
@@ -419,6 +446,7 @@ def assemble(told: DataFrame) -> DataFrame:
         of("video").alias("video_codec"),
         F.transform(texts("audio"), lambda t: F.regexp_replace(t, r"(?<=[a-zA-Z])\.(?=\d)", " ")).alias("audio_codecs"),
         of("year").try_cast("int").alias("year"),
+        *kept,
     )
     cjk = r"[　-鿿＀-￯]"
     left, right = F.regexp_extract("titles", r"^(.*?)\s*[/|]\s*(.*)$", 1), F.regexp_extract("titles", r"^(.*?)\s*[/|]\s*(.*)$", 2)
@@ -430,38 +458,38 @@ def assemble(told: DataFrame) -> DataFrame:
         F.when(two, none(right)).alias("title_alt"),
         F.coalesce(none(F.col("behind")), F.col("song")).alias("episode_title"),
         *FIELDS[3:],
+        *kept,
     )
 
 
-def coverage(found: DataFrame) -> DataFrame:
-    """``(component, reasons)``: brackets that don't close, marks that contradict each other, and no title."""
-    spans_of = spans(found)
-    open_ = spans_of.groupBy("component").agg(F.max(~F.col("closed")).alias("open"), F.max((F.col("kind") == "text") & F.col("text").rlike(r"[\])」]")).alias("stray"))
-    return open_.select("component", F.array_compact(F.array(F.when(F.col("open"), F.lit("bracket is not closed")), F.when(F.col("stray"), F.lit("bracket is not opened")))).alias("reasons"))
+def coverage(found: Column) -> Column:
+    """Reasons of an array of spans: brackets that don't close, and marks that contradict each other."""
+    stray = F.exists(found, lambda s: (s["kind"] == "text") & _fits(s["text"], r"[\])」]"))
+    return F.array_compact(F.array(F.when(F.exists(found, lambda s: ~s["closed"]), F.lit("bracket is not closed")), F.when(stray, F.lit("bracket is not opened"))))
 
 
 def parse_components(components: DataFrame) -> DataFrame:
-    """Attributes and reasons of each distinct ``component``; those without any token have nulls."""
-    distinct = distinct_components(components)
-    return assemble(tokens(distinct)).join(coverage(distinct), "component")
+    """Attributes and reasons of each distinct ``component``, in one pass over them; those without any token are left out."""
+    return assemble(_told(distinct_components(components)))
 
 
 def problems(parsed: DataFrame, key: str = "component") -> DataFrame:
     """``(key, reasons)`` of what has no title, or whose reasons say that the rules can't decide it."""
     told = F.when(F.col("title").isNull(), F.array_append("reasons", F.lit("no title"))).otherwise(F.col("reasons"))
-    return parsed.select(key, told.alias("reasons")).where(F.size("reasons") > 0)
+    # as an exploded column, so that the filter stays above it and no title is assembled twice
+    return parsed.select(key, F.explode(F.array(told)).alias("reasons")).where(F.size("reasons") > 0)
 
 
 def loose_attributes(components: DataFrame) -> DataFrame:
     """Attributes of the media words of distinct components, wherever they stand: for directories, which need no brackets."""
-    each = components.select("component", F.lit(0).alias("at"), F.posexplode(longest(_words(F.col("component")), " ")).alias("pos", "t")).select("component", "at", "pos", "t.*")
+    each = components.select("component", F.lit(0).alias("at"), F.posexplode_outer(longest(_words(F.col("component")), " ")).alias("pos", "t")).where("t is not null").select("component", "at", "pos", "t.*")
     return assemble(in_context(each.withColumn("kind", F.when(F.col("kind") == _NAMED, kind_of(F.col("text"))).otherwise(F.col("kind")))))
 
 
 def clean_title(title: Column) -> Column:
     """A directory's title up to its first season or media word."""
     words = F.split(F.regexp_replace(title, r"\.", " "), " ")
-    flags = F.transform(words, lambda w: w.rlike(r"(?i)^S\d{1,2}(?:[-+E].*)?$") | (is_media_word(w) & ~w.rlike(r"^\d+$")))
+    flags = F.transform(words, lambda w: _fits(w, r"(?i)^S\d{1,2}(?:[-+E].*)?$") | (is_media_word(w) & ~_fits(w, r"^\d+$")))
     at = F.array_position(flags, True)
     return F.when(at > 1, F.array_join(F.slice(words, F.lit(1), (at - 1).cast("int")), " ")).otherwise(title)
 

@@ -137,3 +137,32 @@ def test_compounds_equal_a_plain_tokenizer(spark):
     words = F.filter(F.split("t", r"\."), lambda w: w != "")
     for r in rows.select("t", F.transform(N.longest(words, "."), lambda x: x["text"]).alias("got")).collect():
         assert r["got"] == plain_tokens(r["t"]), r["t"]
+
+
+def spaced_tokens(words):
+    """Greedy from left to right: three words that have a kind together, two, one."""
+    known = lambda w: re.fullmatch("(?i:" + "|".join(f"(?:{p})" for _, p in N.KINDS) + ")", w) is not None
+    out, i = [], 0
+    while i < len(words):
+        n = next((n for n in (3, 2) if i + n <= len(words) and known(" ".join(words[i : i + n]))), 1)
+        out, i = [*out, " ".join(words[i : i + n])], i + n
+    return out
+
+
+def test_compounds_of_words_equal_a_plain_tokenizer(spark):
+    rng = random.Random(7)
+    bits = ["DTS-HD", "MA", "5.1", "MA5.1", "FLAC", "2.0", "AAC", "1", "~", "13", "～2", "7v2", "END", "2nd", "Season", "3", "NC", "Creditless", "OP1", "ED", "Dual", "Audio", "multiple", "Subtitle", "Dolby", "vision", "Hi10", "10", "bit", "Show", "H.264", "S2"]
+    texts = sorted({" ".join(rng.choice(bits) for _ in range(rng.randint(1, 8))) for _ in range(1500)})
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select("t", F.transform(N.longest(F.split("t", " "), " "), lambda x: x["text"]).alias("got")).collect():
+        want = spaced_tokens(r["t"].split(" "))
+        assert r["got"] == want, r["t"]
+
+
+def test_problems_read_and_parse_names_once(spark):
+    """One pass over the names: one scan, one fold into spans and one search for tokens, however the rows are filtered afterwards."""
+    rows = spark.range(20).selectExpr("concat('[G] Show ', id, ' [x') AS component")
+    found = N.problems(N.parse_components(rows))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("Range ("), plan.count("regexp_extract_all(regexp_replace(component"), plan.count("explode(")) == (1, 1, 2)
+    assert {tuple(r["reasons"]) for r in found.collect()} == {("bracket is not closed",)} and found.count() == 20
