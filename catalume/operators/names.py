@@ -120,9 +120,12 @@ def _token(kind: Column | str, text: Column, embedded: bool = False) -> Column:
 
 
 def distinct_components(rows: DataFrame) -> DataFrame:
-    """Each ``component`` once. The one exchange serves all windows and the assembly; its number of partitions is given, as the work is in the rows and not in their bytes."""
+    """Each ``component`` once. The one exchange serves all windows and the assembly; its number of partitions is given, as the work is in the rows and not in their bytes.
+
+    Nulls are left out of an exploded column: a filter on the given one would go down to the input and make every row's name there once more.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("component").where("component is not null").repartition(parts, "component").distinct()
+    return rows.select(F.explode(F.array("component")).alias("component")).where("component is not null").repartition(parts, "component").distinct()
 
 
 def _spans(component: Column) -> Column:
